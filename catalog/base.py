@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairscreen.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
@@ -114,8 +116,9 @@ class _Paths(dict):
         super().__init__({t: f"parquet.`{folder}/{t}.parquet`" for t in TABLES})
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, spread_by) if spread_by else df
 
 
 def role(spark: SparkSession, sf: str, name: str) -> DataFrame:

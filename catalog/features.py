@@ -9,7 +9,7 @@ from catalog.base import long_vector, query, r, role, rounded, table
 from pairscreen.functions import vectors
 from pairscreen.functions.text import clean_sequence
 from pairscreen.operators import features, sequences
-from pairscreen.session import scratch_path
+from pairscreen.session import scratch_path, spread
 from pairscreen.sources import scans, sinks
 
 _LONG = """v AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
@@ -156,7 +156,8 @@ def cleaned_sequences(spark, sf):
 
 
 def _sequences(spark, sf):
-    return sequences.valid_sequences(role(spark, sf, "sequences"), "prot_id", "seq").select("prot_id", "seq")
+    rows = spread(role(spark, sf, "sequences"), "prot_id")
+    return sequences.valid_sequences(rows, "prot_id", "seq").select("prot_id", "seq")
 
 
 @query("valid_sequences", f"WITH {_SEQ} SELECT prot_id, md5(seq) AS digest FROM s WHERE lower(seq) <> 'nan'")
@@ -223,7 +224,7 @@ _TOKENS = """t AS (SELECT doc_id, pos, length(word) AS a, ascii(word) AS b, pos
 
 
 def tokens(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("residue", "word"))
+    words = table(spark, sf, "documents", "doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("residue", "word"))
     return words.select("doc_id", "residue", F.array(
         F.length("word").cast("float"), F.ascii("word").cast("float"), (F.col("residue") % 7).cast("float")).alias("vec"))
 
@@ -254,15 +255,16 @@ def pooled_cls(spark, sf):
     FROM t JOIN w USING (doc_id) WHERE pos >= start AND pos < start + 64 GROUP BY ALL""")
 def stitched(spark, sf):
     """Each window shifts the first number by its start, so overlaps differ."""
-    t = tokens(spark, sf)
-    lengths = t.groupBy("doc_id").agg(F.count("*").cast("int").alias("length"))
-    starts = lengths.select("doc_id", F.explode(
-        sequences.window_starts(F.col("length"), 64, 32, tail_anchored=True)).alias("start"))
-    seen = t.join(starts, "doc_id").filter(
-        (F.col("residue") >= F.col("start")) & (F.col("residue") < F.col("start") + 64))
-    moved = seen.select("doc_id", "start", (F.col("residue") - F.col("start")).alias("offset"), F.transform(
-        "vec", lambda x, i: F.when(i == 0, x + F.col("start")).otherwise(x)).alias("vec"))
-    return _wide(sequences.stitch_windows(moved, "doc_id", lengths), "doc_id", "residue_idx")
+    words = F.split("text", " ")
+    docs = table(spark, sf, "documents", "doc_id").select("doc_id", words.alias("words"), F.size(words).alias("length"))
+    starts = sequences.window_starts(F.col("length"), 64, 32, tail_anchored=True)
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, 64).alias("piece")))
+    windows = docs.select("doc_id", F.explode(pieces).alias("w")).select("doc_id", "w.*")
+    seen = windows.select("doc_id", "start", F.posexplode("piece").alias("offset", "word"))
+    vecs = seen.select("doc_id", "start", "offset", F.array(
+        (F.length("word") + F.col("start")).cast("float"), F.ascii("word").cast("float"),
+        ((F.col("start") + F.col("offset")) % 7).cast("float")).alias("vec"))
+    return _wide(sequences.stitch_windows(vecs, "doc_id", docs.select("doc_id", "length")), "doc_id", "residue_idx")
 
 
 @query("boundary_trim", """

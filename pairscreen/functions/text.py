@@ -41,8 +41,16 @@ def parse_number(c: Column) -> Column:
 
     The pattern guard keeps out literals only Java accepts, such as ``1d``.
     """
-    text = F.regexp_replace(strip(c.cast("string")), "(?<=[0-9])_(?=[0-9])", "")
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    text = strip(c.cast("string"))
+    plain = F.when(text.contains("_"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)
+    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """A column's value as DOUBLE; numeric columns need no parsing."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).cast("double")
+    return parse_number(F.col(name))
 
 
 def clean_text(c: Column) -> Column:
@@ -61,7 +69,8 @@ def false_ok(c: Column) -> Column:
 
 def normalize_id(c: Column) -> Column:
     """Stripped id without one trailing ``.0``."""
-    return F.regexp_replace(strip(c.cast("string")), r"\.0$", "")
+    text = strip(c.cast("string"))
+    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
 def norm_keys(c: Column) -> Column:
@@ -112,10 +121,11 @@ def infer_domain(df: DataFrame) -> Column:
 def clean_sequence(c: Column) -> Column:
     """Residues of a FASTA or plain sequence: no header lines, no whitespace,
     upper case."""
-    breaks = "".join(f"\\x{{{ord(ch):x}}}" for ch in LINE_BREAKS)
-    blanks = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE)
-    header = f"(?:^|(?<=[{breaks}]))[{blanks}]*>[^{breaks}]*"
-    return F.upper(F.regexp_replace(F.regexp_replace(c, header, ""), f"[{blanks}]+", ""))
+    lines = F.split(F.translate(c, LINE_BREAKS, "\n" * len(LINE_BREAKS)), "\n")
+    residues = F.filter(lines, lambda line: ~F.ltrim(line, F.lit(WHITESPACE)).startswith(">"))
+    # Most sequences carry no header; those skip the line split.
+    body = F.when(c.contains(">"), F.array_join(residues, "")).otherwise(c)
+    return F.upper(F.translate(body, WHITESPACE, ""))
 
 
 def safe_filename(c: Column) -> Column:

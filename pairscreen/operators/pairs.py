@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.functions.text import normalize_id, parse_number, protein_name, strip
+from pairscreen.functions.text import normalize_id, number_of, protein_name, strip
 
 # Fixed values ---------------------------------------------------------------
 PAIR_COLUMNS = ("drug_id", "prot_id", "label", "prot_domain")
@@ -44,7 +44,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 def normalize_pairs(df: DataFrame) -> DataFrame:
     """Normalised ids, integer label (NULL if unusable) and domain."""
     require_columns(df, PAIR_COLUMNS)
-    number = parse_number(F.col("label"))
+    number = number_of(df, "label")
     return df.withColumns({
         "drug_id": normalize_id(F.col("drug_id")),
         "prot_id": normalize_id(F.col("prot_id")),
@@ -74,10 +74,11 @@ def validate_pairs(df: DataFrame) -> None:
         raise ValueError(f"invalid pairs: {found}")
 
 
-def _fail_if(bad: Column, message: str) -> Column:
-    """Filter condition that is always true or ends the job. Runs with the
-    scan, so checking costs no extra pass."""
-    return F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+def _fail_if(bad: Column, message: str | Column) -> Column:
+    """Filter condition that is always true or ends the job, so checking
+    costs no extra pass."""
+    text = message if isinstance(message, Column) else F.lit(message)
+    return F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
 
 
 def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) -> DataFrame:
@@ -89,11 +90,13 @@ def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) ->
     partial row per task.
     """
     rows = normalize_pairs(with_row_id(df, row_id))
-    if strict:
-        for name, bad in _violations():
-            rows = rows.filter(_fail_if(bad, f"invalid pair row: {name}"))
     hit = lambda v: F.col("label") == v
-    return rows.groupBy(*PAIR_KEYS).agg(
+    # The number of a broken rule rides along in the same aggregate.
+    rules = _violations()
+    broken = F.coalesce(*[F.when(bad, F.lit(i)) for i, (_, bad) in enumerate(rules)])
+    checked = [F.min(broken).alias("_broken")] if strict else []
+    evidence = rows.groupBy(*PAIR_KEYS).agg(
+        *checked,
         F.count("*").alias("n_rows"),
         F.count_if(hit(1)).alias("n_pos"),
         F.count_if(hit(0)).alias("n_neg"),
@@ -104,6 +107,11 @@ def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) ->
         F.min(F.when(hit(0), F.col(row_id))).alias("first_neg"),
         F.min(F.when(hit(-1), F.col(row_id))).alias("first_gray"),
     )
+    if strict:
+        names = F.get(F.array(*[F.lit(name) for name, _ in rules]), F.col("_broken"))
+        evidence = evidence.filter(_fail_if(
+            F.col("_broken").isNotNull(), F.concat(F.lit("invalid pair row: "), names))).drop("_broken")
+    return evidence
 
 
 def is_conflict() -> Column:
@@ -182,7 +190,7 @@ def label_filter(df: DataFrame, mode: str = "binary") -> DataFrame:
     if mode not in ("binary", "gray"):
         raise ValueError("label mode must be binary or gray")
     wanted = HARD_LABELS if mode == "binary" else LABELS
-    number = parse_number(F.col("label"))
+    number = number_of(df, "label")
     return df.filter(number.isin(*[float(v) for v in wanted])).withColumn("label", number.cast("int"))
 
 

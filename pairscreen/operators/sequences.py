@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,8 @@ def valid_sequences(df: DataFrame, key: str, seq: str, strict: bool = False,
         rows = rows.filter(F.when(
             broken, F.raise_error(F.lit("empty sequence or unusable id")).cast("boolean")).otherwise(F.lit(True)))
     else:
-        rows = rows.filter(
-            F.col("_id").isNotNull() & F.col(seq).isNotNull() & (F.col(seq) != "") & (F.lower(seq) != "nan"))
+        # One mention of the sequence, so that cleaning runs once in the filter.
+        rows = rows.filter(F.col("_id").isNotNull() & ~F.lower(seq).isin("", "nan"))
     rows = rows.withColumn(key, F.col("_id").cast("bigint")).drop("_id")
     order = [F.col(row_id)] if row_id else [F.xxhash64(seq), F.col(seq)]
     return first_per_key(rows, [key], order)
@@ -60,10 +61,10 @@ def sequence_windows(df: DataFrame, seq: str, width: int = WINDOW, stride: int =
     """One row per window: ``window, start, piece``."""
     starts = window_starts(F.length(seq), width, stride, tail_anchored)
     others = [c for c in df.columns if c != seq]
-    return (
-        df.select(*others, F.col(seq).alias("_seq"), F.posexplode(starts).alias("window", "start"))
-        .withColumn("piece", F.substring("_seq", F.col("start") + 1, F.lit(width))).drop("_seq")
-    )
+    # Cut before exploding: a row per window must not carry the whole sequence.
+    pieces = F.transform(starts, lambda s: F.struct(
+        s.alias("start"), F.substring(F.col(seq), s + 1, F.lit(width)).alias("piece")))
+    return df.select(*others, F.posexplode(pieces).alias("window", "_w")).select(*others, "window", "_w.*")
 
 
 def encoding_stats(windows: DataFrame, key: str) -> DataFrame:
@@ -105,22 +106,35 @@ def stitch_windows(tokens: DataFrame, key: str, lengths: DataFrame | None = None
     """Residue vectors at their original position, overlaps averaged.
 
     ``tokens`` has ``key, start, offset, vec``; ``lengths`` (``key, length``)
-    turns on the check that every residue is covered.
+    turns on the check that every residue is covered. The vectors gathered
+    per residue are those of the windows over it, ``width / stride`` at most.
     """
-    placed = tokens.withColumn("residue_idx", F.col("start") + F.col("offset"))
-    out = placed.groupBy(key, "residue_idx").agg(_mean(vec).alias(vec))
-    if lengths is not None:
-        uncovered = uncovered_sequences(out, key, lengths)
-        if not uncovered.isEmpty():
-            raise ValueError("uncovered residues")
-    return out
-
-
-def uncovered_sequences(stitched: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
-    covered = stitched.groupBy(key).agg(F.count("*").alias("covered"))
+    if lengths is not None and not uncovered_sequences(tokens, key, lengths).isEmpty():
+        raise ValueError("uncovered residues")
+    placed = tokens.select(key, (F.col("start") + F.col("offset")).alias("residue_idx"),
+                           F.col(vec).cast("array<double>").alias(vec))
+    gathered = placed.groupBy(key, "residue_idx").agg(F.collect_list(vec).alias("_v"))
+    total = F.reduce(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0)),
+                     lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    mean = F.when(F.size("_v") == 1, F.get("_v", F.lit(0))).otherwise(
+        F.transform(total, lambda x: x / F.size("_v")))
+    return gathered.select(key, "residue_idx", mean.alias(vec))
+
+
+def uncovered_sequences(tokens: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
+    """Sequences whose windows leave a gap, judged from window extents; the
+    vectors are not read."""
+    extents = tokens.groupBy(key, "start").agg(
+        F.count("*").alias("_n"), (F.max("offset") + 1).alias("_width"))
+    before = W.partitionBy(key).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(F.col("start") + F.col("_width")).over(before), F.lit(0))
+    broken = extents.withColumn("_gap", (F.col("start") > reached) | (F.col("_n") < F.col("_width")))
+    covered = broken.groupBy(key).agg(
+        F.max("_gap").alias("_gap"), F.max(F.col("start") + F.col("_width")).alias("covered"))
     return (
         lengths.join(covered, key, "left")
-        .filter(F.coalesce("covered", F.lit(0)) != F.col("length")).select(key, "length", "covered")
+        .filter(F.coalesce("_gap", F.lit(True)) | (F.col("covered") != F.col("length")))
+        .select(key, "length", "covered")
     )
 
 

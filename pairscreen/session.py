@@ -14,6 +14,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan gives fewer tasks than that (a file
+    with one row group is one task). Large inputs pass unchanged, without a
+    shuffle."""
+    n = parallelism(df.sparkSession)
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
