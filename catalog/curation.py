@@ -23,6 +23,10 @@ def _clean(c: str) -> str:
 _CLEANED = f"SELECT p_partkey, {', '.join(f'{_clean(c)} AS {c}' for c in _FIELDS)} FROM {{compounds}} AS c"
 
 
+def _cleaned(spark, sf):
+    return role(spark, sf, "compounds").select(*[clean_text(F.col(c)).alias(c) for c in _FIELDS])
+
+
 # -- scan --------------------------------------------------------------------------
 
 @query("scan_compounds", f"SELECT {', '.join(_FIELDS)} FROM ({_CLEANED})")
@@ -87,8 +91,7 @@ _PREFILTER_NAMES = ("missing_smiles", "non_small_molecule", "non_mol_structure",
     SELECT count(*) AS raw_rows, {', '.join(f"count(*) FILTER (reason = '{n}') AS {n}" for n in _PREFILTER_NAMES)},
            count(*) FILTER (reason = 'kept') AS prefilter_kept_rows FROM f""")
 def prefilter(spark, sf):
-    return library.failure_counts(role(spark, sf, "compounds"), rules.compound_rules(), "raw_rows",
-                                  "prefilter_kept_rows")
+    return library.failure_counts(_cleaned(spark, sf), rules.compound_rules(), "raw_rows", "prefilter_kept_rows")
 
 
 def _range_reason(mode: str, columns: dict[str, str], suffix: str, number: str) -> str:
@@ -243,13 +246,12 @@ _CURATED = f"""
     SELECT CAST(row_number() OVER (ORDER BY std) - 1 AS BIGINT) AS drug_id, std AS drug_key, SMILES,
            std AS SMILES_Std, SMILES AS SMILES_ChargeAware, chembl_id, 'ChEMBL' AS source_db FROM best WHERE k = 1""")
 def curated(spark, sf):
-    raw = role(spark, sf, "compounds").select(*[clean_text(F.col(c)).alias(c) for c in _FIELDS])
-    out = curate_library(raw, _describe).library
+    out = curate_library(_cleaned(spark, sf), _describe).library
     return out.select("drug_id", "drug_key", "SMILES", "SMILES_Std", "SMILES_ChargeAware", "chembl_id", "source_db")
 
 
 def _qc(spark, sf):
-    raw = role(spark, sf, "compounds").select(*[clean_text(F.col(c)).alias(c) for c in _FIELDS])
+    raw = _cleaned(spark, sf)
     rows = library.passing(library.passing(raw, rules.compound_rules()), rules.range_rules("standard"))
     return standardize_structures(rows, _describe)
 
@@ -282,8 +284,7 @@ def vowels(spark, sf):
     SELECT 'qc' AS name, count(*) AS rows FROM qc UNION ALL SELECT 'drug2id', count(*) FROM best WHERE k = 1
     UNION ALL SELECT 'metadata', count(*) FROM best WHERE k = 1""")
 def written(spark, sf):
-    raw = role(spark, sf, "compounds").select(*[clean_text(F.col(c)).alias(c) for c in _FIELDS])
-    out = curate_library(raw, _describe)
+    out = curate_library(_cleaned(spark, sf), _describe)
     paths = sinks.write_tables({"qc": out.qc, "drug2id": out.drugs, "metadata": out.metadata},
                                scratch_path(spark, "library"), "csv")
     back = None

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairscreen.functions.text import clean_text, false_ok, parse_number
+from pairscreen.functions.text import FALSE_WORDS, clean_text, parse_number
 
 # Fixed values ---------------------------------------------------------------
 PROFILES = {
@@ -53,25 +53,24 @@ def filter_profile(mode: str) -> dict[str, tuple[float | None, float | None]]:
 
 
 def within(value: Column, low: float | None, high: float | None) -> Column:
-    holds = F.lit(True)
-    if low is not None:
-        holds = holds & (value >= low)
-    if high is not None:
-        holds = holds & (value <= high)
-    return holds
+    """NULL for an unknown value."""
+    if low is None:
+        return value <= high
+    return value >= low if high is None else value.between(low, high)
 
 
 def compound_rules(
     smiles: str = "SMILES", kind: str = "type", structure: str = "structure_type",
     withdrawn: str = "withdrawn_flag", inorganic: str = "inorganic_flag",
 ) -> list[Rule]:
-    """Which export rows are small-molecule structures worth standardising."""
+    """Which export rows are small-molecule structures worth standardising.
+    Columns are cleaned text, as the scan gives them."""
     return [
-        ("missing_smiles", clean_text(F.col(smiles)) != ""),
-        ("non_small_molecule", F.lower(clean_text(F.col(kind))) == "small molecule"),
-        ("non_mol_structure", F.upper(clean_text(F.col(structure))) == "MOL"),
-        ("withdrawn", false_ok(F.col(withdrawn))),
-        ("inorganic", ~clean_text(F.col(inorganic)).isin(*INORGANIC_WORDS)),
+        ("missing_smiles", F.col(smiles) != ""),
+        ("non_small_molecule", F.lower(F.col(kind)) == "small molecule"),
+        ("non_mol_structure", F.upper(F.col(structure)) == "MOL"),
+        ("withdrawn", F.lower(F.col(withdrawn)).isin(*FALSE_WORDS)),
+        ("inorganic", ~F.col(inorganic).isin(*INORGANIC_WORDS)),
     ]
 
 
@@ -79,9 +78,8 @@ def range_rules(mode: str, columns: dict[str, str] = EXPORT_COLUMNS) -> list[Rul
     """Bounds on source-reported properties; unknown values pass."""
     rules = []
     for name, (low, high) in filter_profile(mode).items():
-        value = parse_number(F.col(columns[name]).cast("string"))
-        rules.append((f"{REASON_STEMS[name]}_prefilter_out_of_range",
-                      value.isNull() | within(value, low, high)))
+        known = within(parse_number(F.col(columns[name])), low, high)
+        rules.append((f"{REASON_STEMS[name]}_prefilter_out_of_range", F.coalesce(known, F.lit(True))))
     return rules
 
 

@@ -29,7 +29,10 @@ PROTEIN_NAME_COLUMNS = ("protein_key", "prot_id", "UniProt_ID", "Protein_ID", "u
 DOMAIN_COLUMNS = ("prot_domain", "domain", "protein_domain", "protein_key")
 # ----------------------------------------------------------------------------
 
-_NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+# Every expression below mentions its input once. Filters repeat an input's
+# expression at each mention, so nested double mentions would multiply.
+_NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+_MISSING = f"^(?i:{'|'.join(MISSING_WORDS)})$"
 
 
 def strip(c: Column) -> Column:
@@ -39,11 +42,9 @@ def strip(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """DOUBLE value of a decimal literal, NULL for anything else.
 
-    The pattern guard keeps out literals only Java accepts, such as ``1d``.
+    The pattern keeps out literals only Java accepts, such as ``1d``.
     """
-    text = strip(c.cast("string"))
-    plain = F.when(text.contains("_"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    return F.regexp_extract(strip(c.cast("string")), _NUMBER, 0).try_cast("double")
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -55,12 +56,16 @@ def number_of(df: DataFrame, name: str) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Stripped text; NULL and the words for "missing" become empty."""
-    text = strip(F.coalesce(c.cast("string"), F.lit("")))
-    return F.when(F.lower(text).isin(*MISSING_WORDS), F.lit("")).otherwise(text)
+    return F.regexp_replace(strip(F.coalesce(c.cast("string"), F.lit(""))), _MISSING, "")
+
+
+def without_digit_marks(c: Column) -> Column:
+    """``1_000`` as ``1000``: underscores between digits are only marks."""
+    return F.regexp_replace(c, "(?<=[0-9])_(?=[0-9])", "")
 
 
 def to_float(c: Column) -> Column:
-    return parse_number(clean_text(c))
+    return parse_number(without_digit_marks(clean_text(c)))
 
 
 def false_ok(c: Column) -> Column:
@@ -69,22 +74,24 @@ def false_ok(c: Column) -> Column:
 
 def normalize_id(c: Column) -> Column:
     """Stripped id without one trailing ``.0``."""
-    text = strip(c.cast("string"))
-    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.regexp_replace(strip(c.cast("string")), r"\.0$", "")
 
 
 def norm_keys(c: Column) -> Column:
     """Lookup keys of a value, most literal first: the stripped text and, when
     it reads as a whole number, that number's plain form."""
     text = strip(c.cast("string"))
-    usable = text.isNotNull() & (text != "") & (F.lower(text) != "nan")
-    number = parse_number(text)
+    usable = ~F.lower(text).isin("", "nan")
+    number = parse_number(without_digit_marks(text))
     # Beyond the BIGINT range there is no plain integer form to offer.
     in_range = F.abs(number) < F.lit(9.2e18)
     whole = F.when(in_range, number).cast("bigint")
     integer = F.when(F.abs(number - whole) < F.lit(1e-8), whole.cast("string"))
-    return F.when(usable, F.array_distinct(F.array_compact(F.array(text, integer)))).otherwise(
-        F.array().cast("array<string>")
+    return (
+        # Most ids are plain integers, which are their own only key.
+        F.when(text.rlike("^(0|[1-9][0-9]{0,15})$"), F.array(text))
+        .when(usable, F.array_distinct(F.array_compact(F.array(text, integer))))
+        .otherwise(F.array().cast("array<string>"))
     )
 
 

@@ -29,13 +29,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> li
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                salts: int | None = None) -> DataFrame:
+                salts: int | None = None, hot_from: DataFrame | None = None) -> DataFrame:
     """Equi-join of a large, possibly skewed left side with a right side whose
     keys are unique. Only hot keys are spread (left) and copied (right).
-    NULL keys match NULL keys."""
+    NULL keys match NULL keys. ``hot_from`` may name a frame with the same
+    keys that is cheaper to read than ``left``."""
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    hot = hot_keys(left, on)
+    hot = hot_keys(hot_from if hot_from is not None else left, on)
     n = salts or parallelism(left.sparkSession)
     left_key, right_key = F.xxhash64(*on), F.xxhash64(*[F.col(f"_r_{c}") for c in on])
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
@@ -90,22 +91,25 @@ def alias_index(bank: DataFrame, aliases: Sequence[str], idx: str = "idx") -> Da
     return best.select("alias", F.col("best.idx").alias("idx"))
 
 
-def alias_lookup(df: DataFrame, columns: Sequence[str], index: DataFrame, name: str) -> DataFrame:
+def alias_lookup(df: DataFrame, columns: Sequence[str], index: DataFrame, name: str,
+                 keys_from: DataFrame | None = None) -> DataFrame:
     """Add the bank index found through the first candidate column (and key
     form) that hits; NULL where none does.
 
     Rows are first reduced to their distinct candidate tuples, so the lookup
-    joins entities and not pairs.
+    joins entities and not pairs. ``keys_from`` may name a cheaper frame with
+    the same candidates.
     """
-    used = present(df, list(columns))
+    source = keys_from if keys_from is not None else df
+    used = present(source, list(columns))
     if not used:
         return df.withColumn(name, F.lit(None).cast("bigint"))
-    entities = df.select(*used).distinct()
+    entities = source.select(*used).distinct()
     candidates = F.flatten(F.array(*[norm_keys(as_text(df, c)) for c in used]))
     options = entities.select(*used, F.posexplode(candidates).alias("priority", "alias"))
     hits = options.join(index, "alias")
     found = hits.groupBy(*used).agg(F.min(F.struct("priority", "idx")).alias("best"))
-    return salted_join(df, found.select(*used, F.col("best.idx").alias(name)), used)
+    return salted_join(df, found.select(*used, F.col("best.idx").alias(name)), used, hot_from=source)
 
 
 def attach_features(pairs: DataFrame, drug_index: DataFrame, protein_index: DataFrame,
@@ -113,8 +117,8 @@ def attach_features(pairs: DataFrame, drug_index: DataFrame, protein_index: Data
     """Add ``drug_idx``, ``prot_idx`` (and ``drug2_idx``); NULL marks a miss."""
     out = alias_lookup(pairs, DRUG_COLUMNS, drug_index, "drug_idx")
     if second_drug_index is not None:
-        out = alias_lookup(out, DRUG_COLUMNS, second_drug_index, "drug2_idx")
-    return alias_lookup(out, PROTEIN_COLUMNS, protein_index, "prot_idx")
+        out = alias_lookup(out, DRUG_COLUMNS, second_drug_index, "drug2_idx", keys_from=pairs)
+    return alias_lookup(out, PROTEIN_COLUMNS, protein_index, "prot_idx", keys_from=pairs)
 
 
 def _index_columns(df: DataFrame) -> list[str]:

@@ -119,7 +119,7 @@ def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models:
     with_drug = salted_join(pairs, drugs.select(F.col("idx").alias(drug_idx), F.col("vec").alias("_d")),
                             [drug_idx], "inner")
     both = salted_join(with_drug, proteins.select(F.col("idx").alias(prot_idx), F.col("vec").alias("_p")),
-                       [prot_idx], "inner")
+                       [prot_idx], "inner", hot_from=pairs)
     kept = pairs.columns
     schema = T.StructType([pairs.schema[c] for c in kept] + [
         T.StructField("cls_logits", T.ArrayType(T.DoubleType())),

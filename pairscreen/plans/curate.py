@@ -68,7 +68,8 @@ def curate_library(raw: DataFrame, structure_fn: Callable, mode: str = "standard
     """Cheap filters first, then the structure plug-in on distinct survivors,
     then one representative per standard structure."""
     candidates = passing(raw, compound_rules())
-    rows = limit_distinct(passing(candidates, range_rules(mode)), "SMILES", limit_unique)
+    # The survivors are read three times below; the export is parsed for them once.
+    rows = materialize(limit_distinct(passing(candidates, range_rules(mode)), "SMILES", limit_unique), "candidates")
     qc = materialize(standardize_structures(rows, structure_fn, mode, allow_metals, drop_alerts), "qc")
     order = representative_order(*[F.col(c) for c in ("max_phase", "bioactivities", "targets", "name", "chembl_id")])
     library = number_library(choose_representatives(qc.filter("keep_final"), "SMILES_Std", order))

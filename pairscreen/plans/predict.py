@@ -36,10 +36,10 @@ def prepare_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, label
         rows = clean_pairs(rows, row_id, on_mixture, carry=extra)
     if domain:
         rows = domain_filter(rows, domain)
-    rows = label_filter(rows, label_mode)
-    named = rows.withColumns({
+    rows = materialize(label_filter(rows, label_mode), "pairs")
+    attached = attach_features(rows, bank_index(drugs), bank_index(proteins))
+    return attached.withColumns({
         "drug": drug_name(rows), "protein": protein_name(rows), "domain_id": infer_domain(rows)})
-    return attach_features(materialize(named, "pairs"), bank_index(drugs), bank_index(proteins))
 
 
 def predict(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Sequence, label_mode: str = "binary",

@@ -101,15 +101,22 @@ def pick_vector_column(df: DataFrame) -> str:
 def scan_bank(df: DataFrame, aliases: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """``idx, <aliases>, vec`` from a table with a vector column.
 
-    ``order`` names the column that fixes row order (``idx`` counts along
-    it). A bank without alias columns answers to its row number.
+    ``order`` names the unique column that fixes row order, by default the
+    first alias. ``idx`` only has to be unique and follow that order, so a
+    whole-number column serves as it is and the vectors stay in place; any
+    other kind is numbered, keys first. A bank without alias columns answers
+    to its row number.
     """
     vec = pick_vector_column(df)
     order = order or (aliases[0] if aliases else None)
     if order is None:
         raise ValueError("name an order column for a bank without aliases")
-    numbered = number_rows(df, [], [order], "idx")
     names = list(aliases) or ["row_key"]
+    if aliases and isinstance(df.schema[order].dataType, T.IntegralType):
+        numbered = df.withColumn("idx", F.col(order).cast("bigint"))
+    else:
+        positions = number_rows(df.select(order), [], [order], "idx")
+        numbered = df.join(positions, order)
     if not aliases:
         numbered = numbered.withColumn("row_key", F.col("idx").cast("string"))
     return numbered.select("idx", *names, F.col(vec).cast("array<float>").alias("vec"))
