@@ -89,7 +89,7 @@ def norm_keys(c: Column) -> Column:
     integer = F.when(F.abs(number - whole) < F.lit(1e-8), whole.cast("string"))
     return (
         # Most ids are plain integers, which are their own only key.
-        F.when(text.rlike("^(0|[1-9][0-9]{0,15})$"), F.array(text))
+        F.when(text.rlike("^(0|[1-9][0-9]{0,14})$"), F.array(text))
         .when(usable, F.array_distinct(F.array_compact(F.array(text, integer))))
         .otherwise(F.array().cast("array<string>"))
     )

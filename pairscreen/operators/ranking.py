@@ -103,7 +103,10 @@ def threshold_sweep(df: DataFrame, prob: str, minimum: float = 0.0) -> DataFrame
     hard = df.filter(F.col("label").isin(0, 1))
     p = F.col(prob).cast("double")
     step = (1.0 - low) / (points - 1)
-    guess = F.greatest(F.lit(-1), F.least(F.lit(points - 1), F.floor((p - low) / F.lit(step)).cast("int")))
+    if step > 0:
+        guess = F.greatest(F.lit(-1), F.least(F.lit(points - 1), F.floor((p - low) / F.lit(step)).cast("int")))
+    else:
+        guess = F.when(p >= low, points - 1).otherwise(-1)
     k = F.col("_guess")
     # Division only guesses the cell; comparing with the grid itself decides.
     cell = (

@@ -53,7 +53,10 @@ def window_starts(length: Column, width: int = WINDOW, stride: int = STRIDE, tai
         regular = F.sequence(F.lit(0), surplus, F.lit(stride))
         return F.when(surplus <= 0, F.array(F.lit(0))).otherwise(F.array_union(regular, F.array(surplus)))
     steps = F.sequence(F.lit(0), F.ceil(surplus / F.lit(stride)).cast("int"))
-    return F.when(surplus <= 0, F.array(F.lit(0))).otherwise(F.transform(steps, lambda i: i * stride))
+    starts = F.transform(steps, lambda i: i * stride)
+    if stride > width:  # a step may jump past the end
+        starts = F.filter(starts, lambda s: s < length)
+    return F.when(surplus <= 0, F.array(F.lit(0))).otherwise(starts)
 
 
 def sequence_windows(df: DataFrame, seq: str, width: int = WINDOW, stride: int = STRIDE,
