@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairscreen.functions.vectors import concat_views, finite, standardize_vector
 from pairscreen.operators.joins import assert_same_ids
+from pairscreen.session import materialize
 
 EXACT_LIMIT = 100_000
 HISTOGRAM_BINS = 1024
@@ -30,9 +31,18 @@ def _known(df: DataFrame, vec: str) -> DataFrame:
     return explode_vector(df, [], vec).select("pos", finite(F.col("value")).alias("value"))
 
 
-def dimension_medians(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Exact median of each dimension's finite values: ``pos, n, median``
-    (NULL where a dimension has none).
+def dimension_moments(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """Per dimension: rows ``n``, finite values ``f`` and their ``lo, hi``,
+    mean ``m`` and population variance ``v``. Combined before the shuffle, so
+    each task sends one row per dimension."""
+    return _known(df, vec).groupBy("pos").agg(
+        F.count("*").alias("n"), F.count("value").alias("f"), F.min("value").alias("lo"),
+        F.max("value").alias("hi"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+
+
+def dimension_medians(df: DataFrame, moments: Sequence[Row], vec: str = "vec") -> dict[int, float]:
+    """Exact median of each dimension's finite values, given the collected
+    moments; dimensions without any are left out.
 
     No dimension's values are gathered in one place. Fixed-size histograms
     close in on the middle values, pass by pass, until at most
@@ -41,11 +51,9 @@ def dimension_medians(df: DataFrame, vec: str = "vec") -> DataFrame:
     """
     spark = df.sparkSession
     known = _known(df, vec)
-    bounds = known.groupBy("pos").agg(
-        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     # per pos: finite count, bracket [lo, hi], values below the bracket, values in it
-    state = {r["pos"]: {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "below": 0, "inside": r["n"]}
-             for r in bounds.collect()}
+    state = {r["pos"]: {"n": r["f"], "lo": r["lo"], "hi": r["hi"], "below": 0, "inside": r["f"]}
+             for r in moments if r["f"]}
     settled: dict[int, float] = {}
     schema = "pos int, n bigint, lo double, hi double, below bigint"
 
@@ -80,8 +88,9 @@ def dimension_medians(df: DataFrame, vec: str = "vec") -> DataFrame:
                 seen, previous = seen + r["c"], r
 
     # Ties shrink to one counted row, so a bracket of equal values costs one row.
+    left = {p: s for p, s in state.items() if p not in settled}
     counted = (
-        known.join(brackets({p: s for p, s in state.items() if s["n"] and p not in settled}), "pos")
+        known.join(brackets(left), "pos")
         .filter(F.col("value").between(F.col("lo"), F.col("hi")))
         .groupBy("pos", "n", "below", "value").agg(F.count("*").alias("c"))
     )
@@ -91,9 +100,7 @@ def dimension_medians(df: DataFrame, vec: str = "vec") -> DataFrame:
     holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
     medians = ranked.groupBy("pos").agg(
         ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median"))
-    if settled:
-        medians = medians.unionByName(spark.createDataFrame(list(settled.items()), medians.schema))
-    return bounds.select("pos", "n").join(medians, "pos", "left")
+    return {**settled, **{r["pos"]: r["median"] for r in medians.collect()}}
 
 
 def fit_standardization(bank: DataFrame, training_ids: DataFrame, key: str, vec: str = "vec") -> DataFrame:
@@ -101,23 +108,23 @@ def fit_standardization(bank: DataFrame, training_ids: DataFrame, key: str, vec:
 
     Missing elements count as the median (0 where a dimension has no finite
     value), so the mean and population deviation follow from the finite
-    values' moments and the number missing: one pass, no imputed copy.
+    values' moments and the number missing, without an imputed copy. Training
+    vectors are written once, as the statistics take a few passes; only
+    per-dimension rows reach the driver.
     """
-    train = bank.join(training_ids.select(key).distinct(), key, "left_semi")
-    medians = dimension_medians(train, vec).select("pos", F.coalesce("median", F.lit(0.0)).alias("median"))
-    moments = _known(train, vec).groupBy("pos").agg(
-        F.count("*").alias("n"), F.count("value").alias("f"),
-        F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"),
-        F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v"))
-    miss = F.col("n") - F.col("f")
-    mean = (F.col("f") * F.col("m") + miss * F.col("median")) / F.col("n")
-    fitted = moments.join(medians, "pos").withColumn("mean", mean)
-    spread = (
-        F.col("f") * (F.col("v") + F.pow(F.col("m") - F.col("mean"), 2))
-        + miss * F.pow(F.col("median") - F.col("mean"), 2)
-    ) / F.col("n")
-    std = F.sqrt(spread)
-    return fitted.select("pos", "median", "mean", F.when(std > 0, std).otherwise(1.0).alias("std"))
+    train = materialize(bank.join(training_ids.select(key).distinct(), key, "left_semi").select(vec), "training")
+    moments = dimension_moments(train, vec).collect()
+    if not moments:
+        raise ValueError("no training rows to fit on")
+    medians = dimension_medians(train, moments, vec)
+    rows = []
+    for r in sorted(moments, key=lambda r: r["pos"]):
+        n, f, miss = r["n"], r["f"], r["n"] - r["f"]
+        median, m, v = medians.get(r["pos"], 0.0), r["m"] or 0.0, r["v"] or 0.0
+        mean = (f * m + miss * median) / n
+        std = ((f * (v + (m - mean) ** 2) + miss * (median - mean) ** 2) / n) ** 0.5
+        rows.append((r["pos"], median, mean, std if std > 0 else 1.0))
+    return bank.sparkSession.createDataFrame(rows, "pos int, median double, mean double, std double")
 
 
 def standardization_arrays(stats: DataFrame) -> DataFrame:

@@ -41,8 +41,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     left_key, right_key = F.xxhash64(*on), F.xxhash64(*[F.col(f"_r_{c}") for c in on])
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
     if hot:
+        # A hash of the row itself, not of its place: a task that runs again
+        # after an executor is lost must send each row the same way.
+        row = [f.name for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
         spread = left.withColumn("_salt", F.when(
-            left_key.isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).otherwise(0))
+            left_key.isin(hot), F.pmod(F.xxhash64(F.lit(n), *row), F.lit(n)).cast("int")).otherwise(0))
         copied = renamed.withColumn("_r_salt", F.explode(F.when(
             right_key.isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
     else:

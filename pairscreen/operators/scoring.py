@@ -25,7 +25,11 @@ from pairscreen.functions.vectors import sigmoid, vec_mean, vec_std
 from pairscreen.operators.joins import attach_metadata, salted_join
 from pairscreen.operators.ordering import number_rows, top_k_per_group
 
+# Bounds on what a task holds: one block of target vectors, and the scores of
+# one tile of rows.
 TARGET_BLOCK_BYTES = 64 << 20
+TILE_CELLS = 2_000_000
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -98,6 +102,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def _tiles(batch: pa.RecordBatch, cells_per_row: int) -> Iterable[pa.RecordBatch]:
+    rows = max(1, TILE_CELLS // max(1, cells_per_row))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _lists(matrix: np.ndarray) -> pa.Array:
     n, m = matrix.shape
     offsets = pa.array(np.arange(0, n * m + 1, m, dtype=np.int32) if m else np.zeros(n + 1, np.int32))
@@ -127,14 +137,14 @@ def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models:
     frozen = tuple(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            d, p = _matrix(b.column("_d")), _matrix(b.column("_p"))
-            logits = [m.pairs(d, p) for m in frozen]
-            arrays = [b.column(c) for c in kept]
-            arrays += [_lists(np.stack([x[h] for x in logits], axis=1)) for h in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "cls_logits", "rank_logits"])
+        for batch in batches:
+            width = len(batch.column("_d")[0]) + len(batch.column("_p")[0]) if batch.num_rows else 0
+            for b in _tiles(batch, width):
+                d, p = _matrix(b.column("_d")), _matrix(b.column("_p"))
+                logits = [m.pairs(d, p) for m in frozen]
+                arrays = [b.column(c) for c in kept]
+                arrays += [_lists(np.stack([x[h] for x in logits], axis=1)) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "cls_logits", "rank_logits"])
 
     return both.select(*kept, "_d", "_p").mapInArrow(run, schema)
 
@@ -213,24 +223,27 @@ def check_targets(targets: DataFrame) -> None:
 
 class _Shortlist:
     """Per target, which rows of a partition can still be among its best
-    ``k``. Keeps only the k best values seen so far, so it never rejects a row
-    of the final answer and its memory does not grow with the partition."""
+    ``k``. Keeps only the k best values seen so far, so its memory does not
+    grow with the partition. Rounding never rejects a row of the final
+    answer: the bar is set by ``sure`` rows and lowered by ``SLACK`` for the
+    ``possible`` ones."""
 
     def __init__(self, k: int, n_targets: int):
         self.k = k
         self.best = np.full((0, n_targets), -np.inf)
 
-    def admit(self, values: np.ndarray) -> np.ndarray:
+    def admit(self, sure: np.ndarray, possible: np.ndarray) -> np.ndarray:
         if self.k <= 0:
-            return np.zeros(values.shape, dtype=bool)
-        pool = np.concatenate([self.best, values])
+            return np.zeros(sure.shape, dtype=bool)
+        pool = np.concatenate([self.best, sure])
         if len(pool) > self.k:
             pool = np.partition(pool, len(pool) - self.k, axis=0)[-self.k:]
             floor = pool.min(axis=0)
         else:
             floor = np.full(pool.shape[1], -np.inf)
         self.best = pool
-        return (values >= floor) & (values > -np.inf)
+        bar = np.where(np.isfinite(floor), floor - SLACK * np.maximum(1.0, np.abs(floor)), -np.inf)
+        return (possible >= bar) & (possible > -np.inf)
 
 
 def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta: float = 0.0,
@@ -266,20 +279,19 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
 
         def run(batches: Iterable[pa.RecordBatch], matrix=matrix, keys=keys, pdbs=pdbs) -> Iterable[pa.RecordBatch]:
             best, worst = _Shortlist(top or 0, len(matrix)), _Shortlist(bottom or 0, len(matrix))
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
+            for b in (tile for batch in batches for tile in _tiles(batch, len(matrix) * len(frozen))):
                 logits = [m.grid(_matrix(b.column("vec")), matrix) for m in frozen]
                 cls, rank = (np.stack([x[h] for x in logits], axis=2) for h in (0, 1))
                 flag = (b.column("eligible").to_numpy(zero_copy_only=False).astype(bool)
                         if has_flag else np.ones(b.num_rows, dtype=bool))
                 if prune:
-                    # An ulp of slack keeps rounding here from deciding ties.
                     final = rank.mean(axis=2) - beta * rank.std(axis=2)
-                    final = np.round(final, 12)
                     prob = 1.0 / (1.0 + np.exp(-cls.mean(axis=2)))
-                    gated = np.where(flag[:, None] & (prob >= cls_min_prob - 1e-9), final, -np.inf)
-                    keep = best.admit(gated) | worst.admit(-final)
+                    sure, possible = (
+                        np.where(flag[:, None] & (prob >= cls_min_prob + edge), final, -np.inf) for edge in (SLACK, -SLACK))
+                    if cls_min_prob <= 0.0:
+                        sure = possible
+                    keep = best.admit(sure, possible) | worst.admit(-final, -final)
                 else:
                     keep = np.ones(cls.shape[:2], dtype=bool)
                 row, col = np.nonzero(keep)

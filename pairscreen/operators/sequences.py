@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairscreen.functions.text import clean_sequence, parse_number
+from pairscreen.operators.joins import salted_join
 from pairscreen.operators.ordering import first_per_key
 
 # Fixed values ---------------------------------------------------------------
@@ -144,13 +145,13 @@ def uncovered_sequences(tokens: DataFrame, key: str, lengths: DataFrame) -> Data
 def center_crop(tokens: DataFrame, key: str, residue: str, limit: int) -> DataFrame:
     """At most ``limit`` residues per sequence, taken from the middle.
 
-    Counts are joined back instead of windowed, so a long sequence's vectors
-    stay where they are unless its count is too big to copy.
+    Counts are joined back instead of windowed, and a sequence that holds a
+    large share of all residues is spread over tasks.
     """
     sizes = tokens.groupBy(key).agg(F.count("*").alias("_n"))
     start = F.floor((F.col("_n") - limit) / 2)
     keep = (F.col("_n") <= limit) | ((F.col(residue) >= start) & (F.col(residue) < start + limit))
-    return tokens.join(sizes, key).filter(keep).drop("_n")
+    return salted_join(tokens, sizes, [key], "inner").filter(keep).drop("_n")
 
 
 def token_manifest(tokens: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
