@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,8 +49,6 @@ def range_cuts(df: DataFrame, order: Sequence[str], n_ranges: int | None = None)
 
 def _range_number(order: Sequence[str], schema: T.StructType, cuts: list[tuple]) -> Column:
     """How many cuts lie below the row's key, by binary search."""
-    if not cuts:
-        return F.lit(0)
     key_type = T.StructType([T.StructField(f"k{i}", schema[name].dataType) for i, name in enumerate(order)])
     table = F.from_json(
         F.lit(json.dumps([{f"k{i}": v for i, v in enumerate(cut)} for cut in cuts])), T.ArrayType(key_type)
@@ -68,6 +67,31 @@ def _range_number(order: Sequence[str], schema: T.StructType, cuts: list[tuple])
     return F.coalesce(found, F.lit(0))
 
 
+def _bucketed(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> DataFrame:
+    """``_range`` by a bucketizer on a numeric leading column. Only values
+    that make up several cuts (heavy ties) look at the other columns."""
+    by_lead: dict[float, list[tuple]] = {}
+    for cut in cuts:
+        by_lead.setdefault(float(cut[0]), []).append(cut[1:])
+    leads = sorted(by_lead)
+    splits = [float("-inf"), *[v for v in leads if abs(v) != float("inf")], float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol=order[0], outputCol="_b", handleInvalid="keep").transform(df)
+    bucket = F.col("_b").cast("int")
+    heavy = {v: by_lead[v] for v in leads if len(by_lead[v]) > 1 and len(order) > 1}
+    upto = [0]
+    for v in splits[1:-1]:
+        upto.append(upto[-1] + (len(heavy[v]) + 1 if v in heavy else 1))
+    number = bucket
+    if heavy:
+        # bucket -> cuts at or below its lower bound
+        number = F.get(F.array(*[F.lit(u) for u in upto], F.lit(upto[-1] + 1)), bucket)
+        lead = F.col(order[0]).cast("double")
+        for v, rest in heavy.items():
+            inside = _range_number(order[1:], df.schema, sorted(set(rest)))
+            number = F.when(lead == v, F.lit(upto[splits.index(v) - 1] + 1) + inside).otherwise(number)
+    return bucketed.withColumn("_range", F.coalesce(number, F.lit(0))).drop("_b")
+
+
 def with_range(df: DataFrame, order: Sequence[str], n_ranges: int | None = None,
                cuts_from: DataFrame | None = None) -> DataFrame:
     """Add ``_range``, non-decreasing in ``order`` (ascending columns).
@@ -75,6 +99,10 @@ def with_range(df: DataFrame, order: Sequence[str], n_ranges: int | None = None,
     ``cuts_from`` may name a cheaper frame with the same columns to sample.
     """
     cuts = range_cuts(cuts_from if cuts_from is not None else df, order, n_ranges)
+    if not cuts:
+        return df.withColumn("_range", F.lit(0))
+    if isinstance(df.schema[order[0]].dataType, T.NumericType):
+        return _bucketed(df, order, cuts)
     return df.withColumn("_range", _range_number(order, df.schema, cuts))
 
 

@@ -202,10 +202,12 @@ def _target_blocks(targets: DataFrame) -> list[list]:
     Only (key, id, vector) of one block at a time reach the driver; more
     targets mean more blocks, each scored in its own pass over the library.
     """
-    width = targets.select(F.max(F.size("vec"))).first()[0] or 1
-    per_block = max(1, TARGET_BLOCK_BYTES // (8 * width))
-    numbered = number_rows(targets.select("protein_key", "pdb_id", "vec"), [], ["protein_key"], "_n")
-    total = numbered.count()
+    columns = targets.select("protein_key", "pdb_id", "vec")
+    total, width = columns.select(F.count("*"), F.max(F.size("vec"))).first()
+    per_block = max(1, TARGET_BLOCK_BYTES // (8 * (width or 1)))
+    if total <= per_block:
+        return [columns.orderBy("protein_key").collect()] if total else []
+    numbered = number_rows(columns, [], ["protein_key"], "_n")
     return [
         numbered.filter((F.col("_n") >= lo) & (F.col("_n") < lo + per_block)).orderBy("_n").collect()
         for lo in range(0, total, per_block)
