@@ -113,22 +113,25 @@ def _offsets(sliced: DataFrame, group: Sequence[str], values: Sequence[str]) ->
     earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     cols = []
     for v in values:
-        cols.append(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}"))
+        cols.append(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_add_{v}"))
         cols.append(F.sum(f"_sum_{v}").over(whole).alias(f"total_{v}"))
-    offsets = totals.select(*group, "_range", *cols)
-    # Without groups there are at most MAX_RANGES offsets.
-    return offsets if group else F.broadcast(offsets)
+    return totals.select(*group, "_range", *cols)
 
 
 def _accumulate(sliced: DataFrame, group: Sequence[str], order: Sequence[str],
                 values: Sequence[str]) -> DataFrame:
-    keys = [*group, "_range"]
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = sliced.join(_offsets(sliced, group, values), keys)
-    for v in values:
-        joined = joined.withColumn(
-            f"before_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    return joined.drop("_range", *[f"_off_{v}" for v in values])
+    """Running totals inside slices, each opened by a row that carries the
+    slice's offset: rows and offsets meet in one shuffle, without a join."""
+    rows = sliced.withColumns({f"_add_{v}": F.col(v) for v in values}).withColumn("_row", F.lit(1))
+    opened = rows.unionByName(
+        _offsets(sliced, group, values).withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    slice_ = W.partitionBy(*group, "_range").orderBy("_row", *order)
+    earlier = slice_.rowsBetween(W.unboundedPreceding, -1)
+    upto = slice_.rowsBetween(W.unboundedPreceding, 0)
+    summed = opened.withColumns({
+        **{f"before_{v}": F.sum(f"_add_{v}").over(earlier) for v in values},
+        **{f"total_{v}": F.first(f"total_{v}").over(upto) for v in values}})
+    return summed.filter("_row = 1").drop("_range", "_row", *[f"_add_{v}" for v in values])
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str],
