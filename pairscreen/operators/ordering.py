@@ -35,6 +35,9 @@ def range_cuts(df: DataFrame, order: Sequence[str], n_ranges: int | None = None)
     steer balance: any choice gives the same results.
     """
     keys = df.select(*order)
+    for field in keys.schema.fields:
+        if not isinstance(field.dataType, (T.NumericType, T.StringType)):
+            raise ValueError(f"order by numbers or text, not {field.dataType.simpleString()}: {field.name}")
     total = keys.count()
     if n_ranges is None:
         n_ranges = min(MAX_RANGES, max(parallelism(df.sparkSession), total // ROWS_PER_RANGE))
@@ -42,7 +45,8 @@ def range_cuts(df: DataFrame, order: Sequence[str], n_ranges: int | None = None)
         return []
     wanted = SAMPLES_PER_RANGE * n_ranges
     sampled = keys if total <= wanted else keys.sample(wanted / total, seed=17)
-    rows = sorted(tuple(r) for r in sampled.collect() if None not in tuple(r))
+    # NULL and NaN have no place among cut points.
+    rows = sorted(tuple(r) for r in sampled.collect() if all(v is not None and v == v for v in r))
     cuts = [rows[i * len(rows) // n_ranges] for i in range(1, n_ranges)] if rows else []
     return sorted(set(cuts))
 
@@ -77,7 +81,7 @@ def _bucketed(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> DataFra
     splits = [float("-inf"), *[v for v in leads if abs(v) != float("inf")], float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order[0], outputCol="_b", handleInvalid="keep").transform(df)
     bucket = F.col("_b").cast("int")
-    heavy = {v: by_lead[v] for v in leads if len(by_lead[v]) > 1 and len(order) > 1}
+    heavy = {v: by_lead[v] for v in splits[1:-1] if len(by_lead[v]) > 1 and len(order) > 1}
     upto = [0]
     for v in splits[1:-1]:
         upto.append(upto[-1] + (len(heavy[v]) + 1 if v in heavy else 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pairscreen.operators.library import (
     representative_order, status_counts)
 from pairscreen.operators.ordering import limit_distinct
 from pairscreen.session import materialize
+from pairscreen.sources.sinks import report_dict, write_report, write_tables
 
 # What a structure plug-in returns for each distinct SMILES.
 STRUCTURE_SCHEMA = (
@@ -34,6 +36,19 @@ class CuratedLibrary:
     status_counts: DataFrame
     summary: DataFrame
 
+    def report(self) -> dict[str, Any]:
+        """Counts of every stage, nested as they arise."""
+        return {
+            "prefilter_counts": report_dict(self.prefilter_counts),
+            "metadata_druglike_prefilter_counts": report_dict(self.range_counts),
+            **report_dict(self.summary),
+            "smiles_status_counts": {r["status"]: r["rows"] for r in self.status_counts.collect()}}
+
+    def write(self, folder: str, fmt: str = "csv") -> None:
+        """The drug, metadata and QC tables, and the report."""
+        write_tables({"drug2id": self.drugs, "drug_metadata": self.metadata, "drug_qc": self.qc}, folder, fmt)
+        write_report(self.qc.sparkSession, self.report(), f"{folder}/processing_summary")
+
     @property
     def drugs(self) -> DataFrame:
         return drug_table(self.library)

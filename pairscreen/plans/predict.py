@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pairscreen.functions.text import drug_name, infer_domain, protein_name
 from pairscreen.operators.joins import attach_features, matched
-from pairscreen.operators.pairs import PAIR_COLUMNS, clean_pairs, domain_filter, label_filter, with_row_id
+from pairscreen.operators.pairs import (
+    PAIR_COLUMNS, clean_pairs, domain_filter, label_filter, require_columns, with_row_id)
 from pairscreen.operators.scoring import ensemble_stats, prediction_table, score_pairs
 from pairscreen.session import materialize
 from pairscreen.sources.scans import bank_index
@@ -30,6 +31,7 @@ def prepare_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, label
 
     Cleaned rows are written once, as the lookups scan them several times.
     """
+    require_columns(pairs, ["label"])
     rows = with_row_id(pairs, row_id)
     if all(c in rows.columns for c in PAIR_COLUMNS):
         extra = [c for c in rows.columns if c not in (*PAIR_COLUMNS, row_id)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pairscreen.operators.joins import assert_same_ids, eligible_ids, select_tar
 from pairscreen.operators.scoring import (
     bottom_k_per_target, cross_score, screening_table, top_hits, with_library_columns)
 from pairscreen.session import materialize
+from pairscreen.sources.sinks import write_per_target, write_report, write_table
+
+
+SCORE_FORMULA = "rank_logit_mean - uncertainty_beta * rank_logit_std"
 
 
 @dataclass
@@ -19,6 +24,16 @@ class ScreenResult:
     top: DataFrame
     bottom: DataFrame | None
     scores: DataFrame | None
+    report: dict[str, Any]
+
+    def write(self, folder: str, fmt: str = "parquet") -> None:
+        """Lists by target, all scores if kept, and the report."""
+        write_per_target(self.top, f"{folder}/top_{self.report['top_k']}", fmt=fmt)
+        if self.bottom is not None:
+            write_per_target(self.bottom, f"{folder}/bottom_{self.report['bottom_k']}", fmt=fmt)
+        if self.scores is not None:
+            write_table(self.scores, f"{folder}/ensemble_scores", fmt)
+        write_report(self.top.sparkSession, self.report, f"{folder}/manifest")
 
 
 def flag_eligible(bank: DataFrame, ids: DataFrame | None, drug_id: str = "drug_id") -> DataFrame:
@@ -46,10 +61,11 @@ def screen(library: DataFrame, drugs: DataFrame, targets: DataFrame, proteins: D
     if check_library:
         assert_same_ids(library, drugs, "drug_id")
     chosen = target_lookup(select_targets(targets, pdb_ids), proteins)
-    ids = None
+    ids, n_eligible = None, None
     if eligibility is not None:
         ids = eligible_ids(eligibility, library, eligibility_key, library_key, predicate)
-        if ids.isEmpty():
+        n_eligible = ids.count()
+        if not n_eligible:
             raise ValueError("eligibility filtering removed every library compound")
     grid = cross_score(
         flag_eligible(drugs, ids), chosen, models, beta,
@@ -59,4 +75,9 @@ def screen(library: DataFrame, drugs: DataFrame, targets: DataFrame, proteins: D
         scores = materialize(scores, "scores")
     top = with_library_columns(top_hits(scores, top_k, cls_min_prob), library)
     bottom = with_library_columns(bottom_k_per_target(scores, bottom_k), library) if bottom_k else None
-    return ScreenResult(top, bottom, scores if keep_scores else None)
+    report = {
+        "rows": library.count() * chosen.count(), "pdb_ids": ",".join(pdb_ids),
+        "checkpoints": [m.name for m in models], "top_k": top_k, "bottom_k": bottom_k, "uncertainty_beta": beta,
+        "cls_min_prob": cls_min_prob, "eligibility_key_col": eligibility_key, "library_key_col": library_key,
+        "eligibility_query": predicate, "eligible_top_drug_count": n_eligible, "score_formula": SCORE_FORMULA}
+    return ScreenResult(top, bottom, scores if keep_scores else None, report)

@@ -55,6 +55,24 @@ def test_rank_keeps_ties_in_row_order(spark, skewed):
         assert [got[x[0]] for x in members] == list(range(1, len(members) + 1))
 
 
+def test_numbering_filtered_aggregates(spark, skewed):
+    sizes = frame(spark, skewed).groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("t")).filter("n > 1 and t > 1")
+    numbered = ordering.number_rows(sizes, [], ["g"], "i")
+    assert numbered.count() == sizes.count()
+    assert sorted(r["i"] for r in numbered.collect()) == list(range(sizes.count()))
+
+
+def test_unusual_scores_keep_their_order(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(i, "a", s) for i, s in enumerate([inf, 1.0, -inf, nan, 2.0, -inf, inf, 0.5, -0.0, 0.0] * 9)]
+    df = spark.createDataFrame(rows, "id long, g string, s double").repartition(4)
+    got = ordering.number_rows(df, ["g"], ["s", "id"], "p").orderBy("p").collect()
+    want = df.orderBy("s", "id").collect()
+    assert [r["id"] for r in got] == [r["id"] for r in want] and [r["p"] for r in got] == list(range(90))
+    with pytest.raises(ValueError, match="order by numbers"):
+        ordering.number_rows(df.withColumn("t", F.current_timestamp()), ["g"], ["t"], "p")
+
+
 def test_number_by_hash_is_a_permutation(spark, skewed):
     def numbered(parts):
         df = frame(spark, skewed, parts).withColumn("h", F.xxhash64(F.lit(3), "id"))
@@ -93,6 +111,8 @@ def test_hot_groups_are_cut_before_the_shuffle(spark, skewed):
     df = ordering.top_k_per_group(frame(spark, skewed), ["g"], [F.col("s").desc(), F.col("id")], 5)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+    first = ordering.first_per_key(frame(spark, skewed), ["g"], [F.col("id")])
+    assert "Partial" in first._jdf.queryExecution().executedPlan().toString()
 
 
 def test_first_per_key_and_limit_distinct(spark, skewed):

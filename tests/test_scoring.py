@@ -97,11 +97,22 @@ def test_pruned_screen_equals_full_sort(spark, parts, k, bottom):
         for t in range(T):
             assert top.get(t, []) == ranked(t, k, chosen, 0.55, 0.7)
             assert low[t] == ranked(t, bottom, beta=0.7, lowest=True)
+        assert got.report["rows"] == N * T and got.report["eligible_top_drug_count"] == len(chosen)
         if keep:
             assert got.scores.count() == N * T
     assert {"drug_key", "size"} <= set(got.top.columns)
 
 
+def test_screen_outputs(spark, tmp_path):
+    got = screen(library(spark), drugs(spark), targets(spark), proteins(spark), models(), top_k=2, bottom_k=1,
+                 pdb_ids=["P1", "P3"], keep_scores=True)
+    got.write(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/top_2")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out/bottom_1")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/ensemble_scores")).count() == 2 * N
+    assert spark.read.json(str(tmp_path / "out/manifest/json")).first()["rows"] == 2 * N
+
+
 def test_small_arrow_batches_give_the_same_lists(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:

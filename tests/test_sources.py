@@ -93,6 +93,10 @@ def test_curation(spark, tmp_path):
     assert out.summary.first().asDict() == {
         "candidate_rows_after_prefilter": 7, "unique_raw_smiles_processed": 6, "rows_after_filter": 4,
         "unique_drugs_after_dedup": 2, "duplicate_rows_removed": 2}
+    out.write(str(tmp_path / "library"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "library/drug2id")).count() == 2
+    report = spark.read.json(str(tmp_path / "library/processing_summary/json")).first().asDict(recursive=True)
+    assert report["prefilter_counts"]["non_small_molecule"] == 1 and report["smiles_status_counts"]["ok"] == 4
     kept = curate_library(raw, describe, drop_alerts=False).qc.filter("SMILES = 'alert'").first()
     assert kept["keep_final"] and kept["PAINS_Detail"] == "PAINS_A x" and kept["Brenk_Hit"] == 1
     first = curate_library(raw, describe, limit_unique=2)
