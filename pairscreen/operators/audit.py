@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairscreen.operators.pairs import PAIR_KEYS, normalize_pairs
@@ -40,12 +40,24 @@ def split_stats(df: DataFrame, split: str = "split") -> DataFrame:
     return main.join(entities, split)
 
 
+def _axis_rows(df: DataFrame, axes: Sequence[str] | None, split: str) -> DataFrame:
+    """``axis, value, split`` for every row and axis; missing values have no
+    place on an axis."""
+    names = [a for a in (axes or AXES) if all(c in df.columns for c in AXES[a])]
+
+    def value(columns: Sequence[str]) -> Column:
+        text = [F.col(c).cast("string") for c in columns]
+        # The first part's length keeps ("a", "bc") apart from ("ab", "c").
+        return text[0] if len(text) == 1 else F.concat(F.length(text[0]).cast("string"), F.lit(":"), *text)
+
+    cells = F.array(*[F.struct(F.lit(a).alias("axis"), value(AXES[a]).alias("value")) for a in names])
+    long = df.select(split, F.explode(cells).alias("c")).select("c.axis", "c.value", split)
+    return long.filter(F.col("value").isNotNull())
+
+
 def axis_values(df: DataFrame, axes: Sequence[str] | None = None, split: str = "split") -> DataFrame:
     """Distinct ``axis, value, split``."""
-    names = [a for a in (axes or AXES) if all(c in df.columns for c in AXES[a])]
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("axis"), F.to_json(F.struct(*AXES[a])).alias("value")) for a in names])
-    return df.select(split, F.explode(cells).alias("c")).select("c.axis", "c.value", split).distinct()
+    return _axis_rows(df, axes, split).distinct()
 
 
 def split_overlap(df: DataFrame, splits: Sequence[str], axes: Sequence[str] | None = None,
@@ -65,12 +77,9 @@ def split_overlap(df: DataFrame, splits: Sequence[str], axes: Sequence[str] | No
 
 
 def split_flags(df: DataFrame, splits: Sequence[str], axes: Sequence[str] | None = None,
-             split: str = "split") -> DataFrame:
-    names = [a for a in (axes or AXES) if all(c in df.columns for c in AXES[a])]
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("axis"), F.to_json(F.struct(*AXES[a])).alias("value")) for a in names])
-    long = df.select(split, F.explode(cells).alias("c")).select("c.axis", "c.value", split)
-    return long.groupBy("axis", "value").agg(
+                split: str = "split") -> DataFrame:
+    """One row per value and axis with a flag per split."""
+    return _axis_rows(df, axes, split).groupBy("axis", "value").agg(
         *[F.max(F.col(split) == s).alias(f"_in_{i}") for i, s in enumerate(splits)])
 
 
