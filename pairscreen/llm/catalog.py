@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairscreen.llm import language, minhash, quality
+from pairscreen.llm.mixing import decide, plan_mix
 from pairscreen.llm.packing import pack
 from pairscreen.llm.token_counts import count_tokens
+from pairscreen.llm.urls import judge, url_host_path
 
 REGISTRY: dict = {}
 
@@ -23,6 +26,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Weights of sources in turn, and the mix's words as a share of all.
+MIX_WEIGHTS, MIX_SHARE = (3, 1, 2), 1.5
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -35,11 +45,65 @@ def packed(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents: the ``lang`` column is the declaration, the source the host."""
+    return language.identify(table(spark, sf, "documents"), "doc_id")
+
+
+@query("language_id_pages")
+def language_id_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages: text without markup, the language of the html tag, and the host."""
+    pages = table(spark, sf, "pages")
+    text = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1)
+    read = pages.select("page_id", text.alias("text"), declared.alias("declared"), url_host_path(F.col("url"))[0].alias("host"))
+    return language.identify(read, "page_id", declared_col="declared", host_col="host")
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    rows, plan = plan_mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_SHARE)
+    return decide(rows, plan).select(
+        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
+        (F.col("copies") * F.col("_size")).alias("taken"), F.col("_source").alias("source"), "copies")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_url_filter", """
+    WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+                 FROM pages),
+    split AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+    parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split),
+    ruled AS (SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM parts)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled""")
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+@query("op7_minhash")
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf, "documents"), k=2, percent=80)
+    return minhash.mark(found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), word_tokenizer()).select(
