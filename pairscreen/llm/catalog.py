@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscreen.llm import language, minhash, quality
+from pairscreen.llm import embeddings, language, minhash, quality
 from pairscreen.llm.mixing import decide, plan_mix
 from pairscreen.llm.packing import pack
 from pairscreen.llm.token_counts import count_tokens
@@ -98,6 +98,11 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+@query("op6_embeddings")
+def op6_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query("op7_minhash")
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf, "documents"), k=2, percent=80)
