@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscreen.llm import embeddings, language, minhash, quality
+from pairscreen.llm import embeddings, language, minhash, quality, spotsigs, suffix_tree
 from pairscreen.llm.mixing import decide, plan_mix
 from pairscreen.llm.packing import pack
 from pairscreen.llm.token_counts import count_tokens
@@ -109,6 +109,17 @@ def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.mark(found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
+@query("op8_suffix_tree")
+def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return suffix_tree.score(table(spark, sf, "documents"), held_out)
+
+
+@query("op9_spotsigs")
+def op9_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf, "documents"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), word_tokenizer()).select(
