@@ -12,9 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once. A longer single text is handled alone.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that Spark hands to a task at once, or one row.
+BATCH_BYTES = 8 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +28,12 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes: 10,000 long texts, Spark's
+    bound by rows, are too many to hold beside a full heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers (a bijection)."""
     x = np.asarray(x, np.uint64).copy()

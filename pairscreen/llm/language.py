@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.llm.arrays import LOWER, buffer, chunks, text_array
+from pairscreen.llm.arrays import LOWER, buffer, chunks, small_batches, text_array
 from pairscreen.session import materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -165,6 +165,7 @@ def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", host_
     ``id_col`` is given). The declared language labels the texts' trigram
     counts; the votes of texts then measure how far declarations, hosts and
     suffixes can be trusted."""
+    small_batches(df.sparkSession)
     languages = tuple(languages)
     normal = df.withColumn("_lang", F.lower(F.substring_index(F.col(declared_col), "-", 1)))
     table = text_table(text_counts(normal, text_col, "_lang", languages), languages)
@@ -190,29 +191,27 @@ def fuse(rows: DataFrame, found: Evidence) -> DataFrame:
     joined = rows
     for key, side in (("_host", found.hosts), ("_domain", found.domains), ("_suffix", found.suffixes)):
         joined = joined.join(side, key, "left")
-    own = [F.coalesce((F.col("_vote") == i + 1).cast("double"), F.lit(0.0)) for i in range(len(names))]
-
-    def others(key: str, i: int) -> Column:
-        return F.coalesce(F.get(f"{key}_votes", F.lit(i)) - own[i], F.lit(0.0))
-
-    def smoothed(key: str, i: int, parent: Column) -> Column:
-        total = sum((others(key, k) for k in range(1, len(names))), others(key, 0))
-        return (others(key, i) + PRIOR_WEIGHT * parent) / (total + PRIOR_WEIGHT)
-
-    logs = {}
-    for i, name in enumerate(names):
-        domain = smoothed("_domain", i, F.lit(found.everywhere[i]))
-        prior = smoothed("_host", i, domain)
+    n = len(names)
+    vote = F.coalesce("_vote", F.lit(0))
+    everywhere = F.array(*[F.lit(p) for p in found.everywhere])
+
+    def smoothed(key: str, parent: Column) -> Column:
+        less = F.transform(f"{key}_votes", lambda v, i: v - (i + 1 == vote).cast("double"))
+        others = F.coalesce(less, F.array(*[F.lit(0.0)] * n))
+        total = F.aggregate(others, F.lit(0.0), lambda x, v: x + v)
+        return F.zip_with(others, parent, lambda v, p: (v + PRIOR_WEIGHT * p) / (total + PRIOR_WEIGHT))
+
+    declared = F.create_map(*[x for k, v in found.declared.items() for x in (F.lit(k), F.array(*[F.lit(math.log(p)) for p in v]))])
+    joined = joined.withColumn("_prior", smoothed("_host", smoothed("_domain", everywhere))).withColumn(
         # P(suffix | language) up to a factor shared by all languages
-        suffix = smoothed("_suffix", i, F.lit(found.everywhere[i])) / F.lit(found.everywhere[i])
-        declared = F.create_map(*[x for k, v in found.declared.items() for x in (F.lit(k), F.lit(math.log(v[i])))])
-        logs[f"_p{i}"] = F.get("_text.logs", F.lit(i)) + F.log(prior) + F.log(suffix) + declared[F.col("_declared")]
-    scored = joined.withColumns(logs)
-    most = F.greatest(*logs)
-    scored = scored.withColumn("_most", most).withColumn(
-        "_sum", sum((F.exp(F.col(c) - F.col("_most")) for c in list(logs)[1:]), F.exp(F.col("_p0") - F.col("_most"))))
-    language = F.coalesce(*[F.when(F.col(f"_p{i}") == F.col("_most"), F.lit(n)) for i, n in enumerate(names)])
-    confidence = 1 / F.col("_sum")
+        "_address", F.zip_with(smoothed("_suffix", everywhere), everywhere, lambda p, q: p / q))
+    evidence = F.zip_with(F.zip_with("_prior", "_address", lambda p, a: F.log(p * a)), declared[F.col("_declared")], lambda x, y: x + y)
+    scored = joined.withColumn("_logs", F.zip_with("_text.logs", evidence, lambda x, y: x + y)).withColumn(
+        # value and place in one, the first of equals
+        "_best", F.array_max(F.transform("_logs", lambda x, i: F.struct(x.alias("v"), (n - i).alias("k"))))).withColumn(
+        "_sum", F.aggregate("_logs", F.lit(0.0), lambda x, v: x + F.exp(v - F.col("_best.v"))))
+    language = F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1 - F.col("_best.k")).cast("int"))
+    confidence = F.least(1 / F.col("_sum"), F.lit(1.0))
     return scored.select(
         "_row", language.alias("language"), confidence.alias("confidence"),
         ((language != UNKNOWN) & (confidence >= LEAST_POSTERIOR) & (F.col("_text.n") > 0)).alias("kept"))

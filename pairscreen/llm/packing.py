@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pairscreen.llm.arrays import text_array
+from pairscreen.llm.arrays import small_batches, text_array
 from pairscreen.llm.tokens import Encoder
 
 WINDOW = 4096
@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     of two makes every sequence ``window`` ids or a smaller power of two;
     otherwise the last sequence of a task may need padding.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pairscreen.llm import arrays
 from pairscreen.session import materialize
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20  # a batch at most
 LEAST_SYMBOL = 1e-3
 LEAST_CONTEXT = 5e-4
 DEPTH = 3
@@ -293,6 +293,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     training rows both scores are the base. Rows of repeated or NULL ids each have their own
     result; repeated texts count as often as they come. Other columns are ignored.
     """
+    arrays.small_batches(docs.sparkSession)
     chunks = materialize(encode(docs, id_col, text_col, held_out), "chunks")
     counts = materialize(word_counts(chunks), "word-counts")
     tree = grow(chunks, counts)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscreen.llm.arrays import text_array
+from pairscreen.llm.arrays import small_batches, text_array
 from pairscreen.llm.tokens import Encoder, splits_words
 from pairscreen.session import materialize, scratch_path
 
@@ -56,6 +56,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     join with a unique side, which adaptive execution splits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     dropped = tokenizer.endswith(".json") and splits_words(tokenizer)
     version = tokenizer_digest(tokenizer)
     path = cache_path or scratch_path(spark, "token-cache")
