@@ -85,9 +85,11 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     total = keys.count()
     ranges = max(parallelism(docs.sparkSession), total // ROWS_PER_RANGE)
     cuts = sorted({float(c[0]) for c in range_cuts(keys, ["_key"], ranges)})
-    slots = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_double", outputCol="_slot")
 
     def with_range(df: DataFrame) -> DataFrame:
+        if not cuts:
+            return df.withColumn("_range", F.lit(0))
+        slots = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_double", outputCol="_slot")
         placed = slots.transform(df.withColumn("_double", F.col("_key").cast("double")))
         return placed.withColumn("_range", F.col("_slot").cast("int")).drop("_double", "_slot")
 

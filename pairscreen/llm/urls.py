@@ -52,12 +52,17 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     are judged once, so a hot URL or host costs one row before the join.
     """
     host, path = url_host_path(F.col(url_col))
-    rows = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    new = ("host", "path", "rule", "verdict")
+    kept = [c for c in pages.columns if c.lower() not in new]
+    # whole rows in one column, so that no column of theirs can clash
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+                        host.alias("host"), path.alias("path"))
+    columns = [F.col("row").getField(c).alias(c) for c in kept] + ["host", "path"]
     named = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''").withColumn(
         "rule", F.concat("host", "path")).withColumn("digest", _digest(F.col("host"), F.col("path")))
     lengths = sorted(r[0] for r in named.select(F.length("path")).distinct().collect())
     if not lengths:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return rows.select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = named.select(
         F.substring("digest", 1, 8).alias("_prefix"), F.col("digest").alias("_whole"),
         F.struct(F.length("rule").alias("size"), F.length("path").alias("path_size"), "verdict", "rule").alias("found"))
@@ -66,5 +71,5 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         listed, "_prefix").filter("digest = _whole")
     best = hits.groupBy("host", "path").agg(F.max("found").alias("found"))
     return rows.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in rows.columns], F.col("found.rule").alias("rule"),
+        *columns, F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
