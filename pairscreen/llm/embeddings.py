@@ -23,9 +23,10 @@ from pairscreen.session import materialize
 THRESHOLD = 0.95
 #: Vectors that centroids are fitted on, the first by hash; every vector is assigned.
 SAMPLE = 20_000
-PER_CELL = 256
+PER_CELL = 1024
 MOST_CELLS = 4096
-BLOCK = 2048
+#: Rows at home, and visitors, that one task compares at once.
+HOME_BLOCK, GUEST_BLOCK = 2048, 8192
 TILE = 256
 ROUNDS = 8
 
@@ -67,10 +68,25 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _margin(x: np.ndarray, home: np.ndarray, cell: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """How far rows lie on their home's side of its plane with ``cell``, times
+    the centroids' distance. Row by row, so that every task gets the same bits."""
+    return np.einsum("ij,ij->i", x, centroids[home]) - np.einsum("ij,ij->i", x, centroids[cell])
+
+
+def _visits(x: np.ndarray, home: np.ndarray, cell: np.ndarray, centroids: np.ndarray, reach: float) -> np.ndarray:
+    apart = centroids[home] - centroids[cell]
+    return _margin(x, home, cell, centroids) <= reach * np.sqrt(np.einsum("ij,ij->i", apart, apart)) + 1e-9
+
+
+def _reach(threshold: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+
+
 def _assign(classes: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
-    """``cell, home, visits, node, copies, vector``: each class at home and in
-    the cells it visits."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+    """``cell, home, node, copies, vector``: each class at home and in the
+    cells it visits."""
+    reach = _reach(threshold)
     width = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,22 +97,41 @@ def _assign(classes: DataFrame, centroids: np.ndarray, threshold: float) -> Data
                 near = x @ centroids.T
                 home = near.argmax(axis=1)
                 apart = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
-                visit = near[np.arange(len(x)), home][:, None] - near <= reach * apart + 1e-9
-                visit[np.arange(len(x)), home] = False
-                row, cell = np.nonzero(visit)
-                per = np.bincount(row, minlength=len(x))
-                offsets = np.concatenate([[0], np.cumsum(per)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cell, pa.int32()))
+                # a little more than the bound, then exactly
+                loose = near[np.arange(len(x)), home][:, None] - near <= reach * apart + 1e-6
+                loose[np.arange(len(x)), home] = False
+                row, cell = np.nonzero(loose)
+                sure = _visits(x[row], home[row], cell, centroids, reach)
+                row, cell = row[sure], cell[sure]
                 rows = np.concatenate([np.arange(len(x)), row])
                 take = pa.array(rows)
                 yield pa.record_batch([
-                    pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(home[rows], pa.int32()), lists.take(take),
+                    pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(home[rows], pa.int32()),
                     batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)],
-                    names=["cell", "home", "visits", "node", "copies", "vector"])
+                    names=["cell", "home", "node", "copies", "vector"])
 
     kind = classes.schema["vector"].dataType.simpleString()
     return classes.select("node", "copies", "vector").mapInArrow(
-        run, f"cell int, home int, visits array<int>, node long, copies long, vector {kind}")
+        run, f"cell int, home int, node long, copies long, vector {kind}")
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Rows of every group ``cell, i, j``: block ``i`` of the cell's rows at
+    home, and block ``j``, at home or visiting; ``slot`` says which a row is of. No
+    group exceeds two blocks; a cell with one home block sends its visitors once."""
+    at_home = F.col("home") == F.col("cell")
+    size = placed.groupBy("cell").agg(
+        F.ceil(F.count_if(at_home) / HOME_BLOCK).cast("int").alias("nh"),
+        F.ceil(F.count_if(~at_home) / GUEST_BLOCK).cast("int").alias("ng"))
+    spot = F.xxhash64("node")
+    slotted = placed.join(size, "cell").filter("nh > 0").withColumn("slot", F.when(
+        at_home, F.pmod(spot, F.col("nh"))).otherwise(F.col("nh") + F.pmod(spot, F.col("ng"))).cast("int"))
+    upto = lambda a, b: F.filter(F.sequence(a, F.greatest(a, b)), lambda v: v <= b)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_left = F.transform(upto(F.col("slot"), F.col("nh") + F.col("ng") - 1), lambda j: pair(F.col("slot"), j))
+    as_right = F.transform(upto(F.lit(0), F.least(F.col("slot"), F.col("nh")) - 1), lambda i: pair(i, F.col("slot")))
+    return slotted.withColumn("at", F.explode(F.when(at_home, F.concat(as_left, as_right)).otherwise(as_right))).select(
+        "cell", "at.i", "at.j", "slot", "home", "node", "copies", "vector")
 
 
 def local_components(n: int, p: np.ndarray, q: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -112,41 +147,42 @@ def local_components(n: int, p: np.ndarray, q: np.ndarray, labels: np.ndarray) -
             return labels
 
 
-def _compare(threshold: float, width: int):
+def _compare(threshold: float, centroids: np.ndarray, one_width: bool):
     """Links inside one pair of blocks of a cell: rows ``a, null, n`` count the
     copies linked to a class, rows ``a, b, 0`` connect classes (fewer than
     the classes, however many the links)."""
+    reach = _reach(threshold)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        part, home, node, copies = (table.column(c).to_numpy() for c in ("part", "home", "node", "copies"))
+        part, home, node, copies = (table.column(c).to_numpy() for c in ("slot", "home", "node", "copies"))
         here, first, last = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        visits = table.column("visits").to_pylist()
-        raw = table.column("vector")
-        size = np.asarray([len(v) for v in raw.to_pylist()]) if width < 0 else None
-        x = units(_matrix(raw, abs(width)))
+        raw = table.column("vector").combine_chunks()
+        size = None if one_width else np.diff(raw.offsets.to_numpy())
+        x = units(_matrix(raw, centroids.shape[1]))
+        rough = x.astype(np.float32)
         at_home = home == here
         left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
         counts = np.zeros(len(node), np.int64)
         labels = np.arange(len(node))
         for k in range(0, len(left), TILE):
             rows = left[k:k + TILE]
-            i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
+            # single precision drops most pairs, double precision decides
+            i, j = np.nonzero(rough[rows] @ rough[right].T >= np.float32(threshold - 1e-4))
             p, q = rows[i], right[j]
-            ok = (at_home[p] | at_home[q]) & (p != q)
+            ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             if first == last:
                 ok &= p < q
             if size is not None:
                 ok &= size[p] == size[q]
             p, q = p[ok], q[ok]
-            mixed = np.flatnonzero(at_home[p] != at_home[q])
-            if len(mixed):
+            guests = np.flatnonzero(~at_home[q])
+            if len(guests):
                 # the pair may also meet in the visitor's home: count it in the lower cell
-                own = np.where(at_home[p[mixed]], p[mixed], q[mixed])
-                guest = np.where(at_home[p[mixed]], q[mixed], p[mixed])
-                twice = np.fromiter((home[g] in visits[o] and home[g] < here for o, g in zip(own.tolist(), guest.tolist())), bool, len(mixed))
+                own, guest = p[guests], home[q[guests]]
+                twice = (guest < here) & _visits(x[own], home[own], guest, centroids, reach)
                 keep = np.ones(len(p), bool)
-                keep[mixed[twice]] = False
+                keep[guests[twice]] = False
                 p, q = p[keep], q[keep]
             np.add.at(counts, p, copies[q])
             np.add.at(counts, q, copies[p])
@@ -197,13 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         cells = min(MOST_CELLS, max(1, n // per_cell))
         centroids = fit_centroids(units(_matrix(fit_on.column("vector"), width)), cells)
         placed = materialize(_assign(classes, centroids, threshold), "cells")
-        size = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        parted = placed.join(size, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        spread = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "home", "visits",
-            "node", "copies", "vector")
-        links = materialize(spread.groupBy("cell", "i", "j").applyInArrow(
-            _compare(threshold, width if shape[2] == width else -width), "a long, b long, n long"), "vector-links")
+        links = materialize(_blocks(placed).groupBy("cell", "i", "j").applyInArrow(
+            _compare(threshold, centroids, shape[2] == width), "a long, b long, n long"), "vector-links")
     spark = df.sparkSession
     links = links if links is not None else spark.createDataFrame([], "a long, b long, n long")
     counts = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
