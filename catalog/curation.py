@@ -40,11 +40,8 @@ def scan_compounds(spark, sf):
     lines = df.select(F.concat(F.concat_ws(";", *quoted), surplus).alias("value"))
     path = scratch_path(spark, "export")
     lines.write.text(path)
-    # Written headerless: the column list is given to the scan instead.
-    header = spark.createDataFrame([(";".join(f'"{headers[c]}"' for c in _FIELDS),)], "value string")
-    with_header = scratch_path(spark, "export")
-    header.unionAll(spark.read.text(path)).coalesce(1).write.text(with_header)
-    return scans.scan_compounds(spark, with_header)
+    # Written headerless by many tasks: the column list is given to the scan.
+    return scans.scan_compounds(spark, path, [headers[c] for c in _FIELDS])
 
 
 @query("clean_text", f"SELECT p_partkey, {_clean('inchi_key')} AS inchi_key, {_clean('name')} AS name, "

@@ -288,12 +288,12 @@ def cropped(spark, sf):
 
 @query("scan_manifest", f"""WITH {_TOKENS} SELECT doc_id AS prot_id, source AS protein_key, count(*) AS length,
         CAST(3 AS INTEGER) AS embedding_dim FROM t JOIN documents USING (doc_id)
-    WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL""")
+    GROUP BY ALL""")
 def manifest(spark, sf):
-    """Records of the labelled documents only, checked against that bank."""
+    """Records of all documents, checked against the bank of labelled ones."""
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("prot_id"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("prot_id"), F.col("source").alias("protein_key"))
-    t = tokens(spark, sf).withColumnRenamed("doc_id", "prot_id").join(docs, "prot_id").join(labelled, "prot_id", "left_semi")
+    t = tokens(spark, sf).withColumnRenamed("doc_id", "prot_id").join(docs, "prot_id")
     records = sequences.token_manifest(t, ["prot_id", "protein_key"]).withColumn("token_file", F.lit("tokens"))
     path = sinks.write_table(records, scratch_path(spark, "manifest"))
     out = scans.scan_manifest(spark, path)

@@ -204,6 +204,14 @@ def ranks(spark, sf):
         "row_id", "protein", "rank")
 
 
+@query("rank_within_group_ties", """
+    SELECT row_id, protein, CAST(row_number() OVER (PARTITION BY protein ORDER BY floor(score / 10) DESC, row_id) AS BIGINT) AS rank
+    FROM {scored} AS s""")
+def tied_ranks(spark, sf):
+    df = role(spark, sf, "scored").withColumn("score", F.floor(F.col("score") / 10).cast("double"))
+    return ordering.rank_within_group(df, "protein", "score", "row_id").select("row_id", "protein", "rank")
+
+
 # -- the full report -----------------------------------------------------------------------------
 
 def _head(prefix: str, prob: str, order: str, cut: str) -> str:
@@ -288,22 +296,20 @@ def plain_bce(spark, sf):
 _GAPS = """g AS (
     SELECT p.protein, p.rank_logit - n.rank_logit AS gap FROM {predictions} AS p JOIN {predictions} AS n
     ON p.protein = n.protein AND p.label = 1 AND n.label = 0)"""
-# The largest pool has 65 definitive rows, so 65 * 65 / 4 pairs cover every protein.
-_ALL_PAIRS = 1100
 
 
 @query("bpr_loss", f"WITH {_GAPS} SELECT {r('avg(l)')} AS bpr FROM (SELECT protein, "
                    "avg(greatest(-gap, 0) + ln(1 + exp(-abs(gap)))) AS l FROM g GROUP BY protein)")
 def bpr(spark, sf):
     df = role(spark, sf, "predictions")
-    return losses.bpr_loss(df, "protein", "rank_logit", "row_id", cap=_ALL_PAIRS).select(rounded("bpr").alias("bpr"))
+    return losses.bpr_loss(df, "protein", "rank_logit").select(rounded("bpr").alias("bpr"))
 
 
 @query("margin_loss", f"WITH {_GAPS} SELECT {r('avg(l)')} AS margin FROM (SELECT protein, "
                       "avg(greatest(0.2 - gap, 0)) AS l FROM g GROUP BY protein)")
 def margin(spark, sf):
     df = role(spark, sf, "predictions")
-    return losses.margin_loss(df, "protein", "rank_logit", "row_id", cap=_ALL_PAIRS).select(
+    return losses.margin_loss(df, "protein", "rank_logit").select(
         rounded("margin").alias("margin"))
 
 

@@ -89,6 +89,16 @@ def clean(spark, sf):
     return pairs.clean_pairs(role(spark, sf, "messy_pairs"), on_mixture="drop").drop("row_id")
 
 
+@query("clean_pairs_carry", f"""
+    SELECT drug_id, prot_id, label, drug_id || '/' || prot_id || '/' || CAST(label AS STRING) AS tag FROM (
+        SELECT drug_id, prot_id, CASE WHEN n_pos > 0 THEN 1 WHEN n_neg > 0 THEN 0 ELSE -1 END AS label
+        FROM ({_EVIDENCE}) WHERE NOT (n_pos > 0 AND n_neg > 0) AND NOT (n_gray > 0 AND n_pos + n_neg > 0))""")
+def clean_carrying(spark, sf):
+    """Another column of the surviving row, without a row id."""
+    df = role(spark, sf, "pairs").withColumn("tag", F.concat_ws("/", "drug_id", "prot_id", F.col("label").cast("string")))
+    return pairs.clean_pairs(df, on_mixture="drop", carry=["tag"]).select("drug_id", "prot_id", "label", "tag")
+
+
 @query("clean_pairs_keep_hard", f"""
     SELECT drug_id, prot_id, CAST(CASE WHEN n_pos > 0 THEN 1 WHEN n_neg > 0 THEN 0 ELSE -1 END AS INTEGER) AS label,
            prot_domain FROM ({_EVIDENCE}) WHERE NOT (n_pos > 0 AND n_neg > 0)""")
@@ -355,6 +365,24 @@ def overlaps(spark, sf):
     return audit.split_overlap(role(spark, sf, "split_pairs"), ["train", "val", "test"])
 
 
+@query("split_overlap_messy", """
+    WITH p AS {split_pairs}, v AS (
+        SELECT DISTINCT 'pairs' AS axis, drug_id || '/' || prot_id AS value, split FROM p UNION
+        SELECT 'drugs', drug_id, split FROM p UNION SELECT 'proteins', prot_id, split FROM p),
+    s AS (SELECT * FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) AS t(a, b))
+    SELECT x.axis, s.a AS split_a, s.b AS split_b, CAST(count(y.value) AS BIGINT) AS shared
+    FROM s JOIN (SELECT DISTINCT axis FROM v) AS x ON TRUE
+    LEFT JOIN (SELECT l.axis, l.value, l.split AS a, m.split AS b FROM v AS l JOIN v AS m
+               ON l.axis = m.axis AND l.value = m.value) AS y ON y.axis = x.axis AND y.a = s.a AND y.b = s.b
+    GROUP BY ALL""")
+def messy_overlaps(spark, sf):
+    """Ids spelled another way in each split are still the same ids."""
+    spelled = F.when(F.col("split") == "train", F.concat("drug_id", F.lit(".0"))).when(
+        F.col("split") == "val", F.concat(F.lit(" "), "drug_id")).otherwise(F.col("drug_id"))
+    df = role(spark, sf, "split_pairs").withColumn("drug_id", spelled)
+    return audit.split_overlap(df, ["train", "val", "test"], ["pairs", "drugs", "proteins"])
+
+
 @query("holdout_leakage", """
     WITH p AS {split_pairs}
     SELECT 'train' AS split, 'scaffolds' AS axis, count(DISTINCT scaffold) AS heldout_in_training FROM p

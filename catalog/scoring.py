@@ -8,7 +8,7 @@ from catalog.base import query, r, role, rounded, table
 from pairscreen.operators import joins, scoring
 from pairscreen.plans.predict import predict
 from pairscreen.plans.screen import screen
-from pairscreen.session import scratch_path
+from pairscreen.session import materialize, scratch_path
 from pairscreen.sources import scans, sinks
 
 # Screening set-up shared by the queries: the embeddings are the library, the
@@ -77,20 +77,29 @@ def cross_score(spark, sf):
     return _tidy(grid(spark, sf))
 
 
-@query("final_score", f"WITH {_GRID} SELECT drug_id, protein_key, {r('final')} AS final_score FROM f")
+def stored(spark, sf):
+    """Stored predictions of two models, side by side."""
+    return role(spark, sf, "predictions").select(
+        "row_id", F.array("cls_logit", "rank_logit").alias("cls_logits"), F.array("rank_logit", "cls_logit").alias("rank_logits"))
+
+
+_STORED = """SELECT row_id, (cls_logit + rank_logit) / 2 AS m, abs(cls_logit - rank_logit) / 2 AS s FROM {predictions} AS p"""
+
+
+@query("final_score", f"SELECT row_id, {r('m - 0.5 * s')} AS final_score FROM ({_STORED})")
 def final_scores(spark, sf):
-    return grid(spark, sf).select("drug_id", "protein_key", rounded("final_score").alias("final_score"))
+    return scoring.screening_table(stored(spark, sf), BETA).select("row_id", rounded("final_score").alias("final_score"))
 
 
-@query("ensemble_stats", f"WITH {_GRID} SELECT drug_id, protein_key, {r('m')} AS mean, {r('s')} AS std FROM f")
+@query("ensemble_stats", f"SELECT row_id, {r('m')} AS mean, {r('s')} AS std FROM ({_STORED})")
 def ensemble(spark, sf):
-    return grid(spark, sf).select("drug_id", "protein_key", rounded("rank_logit_mean").alias("mean"),
-                                  rounded("rank_logit_std").alias("std"))
+    return scoring.ensemble_stats(stored(spark, sf)).select(
+        "row_id", rounded("rank_logit_mean").alias("mean"), rounded("rank_logit_std").alias("std"))
 
 
-@query("score_gate", f"WITH {_GRID} SELECT drug_id, protein_key FROM f WHERE p >= {GATE}")
+@query("score_gate", f"SELECT row_id FROM ({_STORED}) WHERE 1 / (1 + exp(-m)) >= {GATE}")
 def gated(spark, sf):
-    return scoring.score_gate(grid(spark, sf), GATE).select("drug_id", "protein_key")
+    return scoring.score_gate(scoring.screening_table(stored(spark, sf), BETA), GATE).select("row_id")
 
 
 @query("top_k_per_target", f"""WITH {_GRID} SELECT drug_id, protein_key, CAST(k AS INTEGER) AS rank FROM (
@@ -150,19 +159,43 @@ def screened_bottom(spark, sf):
     return _tidy(_screen(spark, sf, bottom_k=BOTTOM).bottom, "drug_key", "label", "rank")
 
 
+@query("screen_all_scores", f"""WITH {_GRID}, hits AS (
+        SELECT *, row_number() OVER (PARTITION BY protein_key ORDER BY final DESC, drug_id DESC) AS k
+        FROM f WHERE {_ELIGIBLE} AND p >= {GATE})
+    SELECT {_COLUMNS}, CAST(drug_id AS STRING) AS drug_key, label, CAST(k AS INTEGER) AS rank FROM hits WHERE k <= {TOP}""")
+def screened_keeping_all(spark, sf):
+    """The same list with every score kept instead of pruned."""
+    return _tidy(_screen(spark, sf, keep_scores=True).top, "drug_key", "label", "rank")
+
+
+@query("screen_nonfinite", f"""WITH {_GRID}, hits AS (
+        SELECT *, row_number() OVER (PARTITION BY protein_key ORDER BY final DESC, drug_id DESC) AS k
+        FROM f WHERE drug_id % 3 <> 0 AND drug_id % 5 <> 0)
+    SELECT drug_id, protein_key, CAST(k AS INTEGER) AS rank FROM hits WHERE k <= {TOP}""")
+def screened_nonfinite(spark, sf):
+    """Library rows with NaN or infinite vectors make no list, pruned or not."""
+    bad = F.when(F.col("drug_id") % 3 == 0, F.lit(float("nan"))).when(F.col("drug_id") % 5 == 0, F.lit(float("inf")))
+    bank = library_bank(spark, sf).withColumn("vec", F.transform("vec", lambda v: F.coalesce(bad, v.cast("double"))))
+    targets = resolved_targets(spark, sf)
+    pruned = scoring.screening_table(scoring.cross_score(bank, targets, models(), BETA, top=TOP), BETA)
+    whole = scoring.screening_table(scoring.cross_score(bank, targets, models(), BETA), BETA)
+    lists = [scoring.top_k_per_target(t, TOP).select("drug_id", "protein_key", "rank") for t in (pruned, whole)]
+    return lists[0].join(lists[1], ["drug_id", "protein_key", "rank"], "full")
+
+
 @query("selected_ids", f"""WITH {_GRID}, hits AS (SELECT drug_id,
         row_number() OVER (PARTITION BY protein_key ORDER BY final DESC, drug_id DESC) AS t,
         row_number() OVER (PARTITION BY protein_key ORDER BY final, drug_id) AS b FROM f)
     SELECT DISTINCT drug_id FROM hits WHERE t <= {TOP} OR b <= {BOTTOM}""")
 def selected(spark, sf):
-    g = grid(spark, sf, top=TOP, bottom=BOTTOM)
+    g = materialize(grid(spark, sf, top=TOP, bottom=BOTTOM), "scores")
     return joins.selected_ids(scoring.top_k_per_target(g, TOP), scoring.bottom_k_per_target(g, BOTTOM))
 
 
 @query("attach_metadata", f"""WITH {_GRID} SELECT f.drug_id, protein_key, p_name, p_brand FROM f LEFT JOIN part
     ON p_partkey = f.drug_id QUALIFY row_number() OVER (PARTITION BY protein_key ORDER BY final DESC, f.drug_id DESC) <= {TOP}""")
 def with_metadata(spark, sf):
-    hits = scoring.top_k_per_target(grid(spark, sf, top=TOP), TOP).select("drug_id", "protein_key")
+    hits = materialize(scoring.top_k_per_target(grid(spark, sf, top=TOP), TOP).select("drug_id", "protein_key"), "hits")
     described = table(spark, sf, "part").select(F.col("p_partkey").alias("drug_id"), "p_name", "p_brand")
     return scoring.with_library_columns(hits, described)
 

@@ -29,8 +29,7 @@ def sample(spark, sf):
     WITH n AS (SELECT CAST(ceil(count(*) / 80.0) AS BIGINT) AS b FROM {scored} AS s)
     SELECT batch, CAST(label AS INTEGER) AS label, CAST(q AS BIGINT) AS rows, CAST(g AS BIGINT) AS proteins,
            CAST(q AS BIGINT) AS matching_rows
-    FROM n, range(0, 1000000) AS x(batch), (VALUES (1, 32, 8), (0, 32, 8), (-1, 16, 8)) AS v(label, q, g)
-    WHERE batch < b""")
+    FROM n, LATERAL (SELECT unnest(range(0, b)) AS batch) AS x, (VALUES (1, 32, 8), (0, 32, 8), (-1, 16, 8)) AS v(label, q, g)""")
 def quotas(spark, sf):
     """Rows, distinct proteins and rows whose label and protein are right,
     per batch and label; pools here are never short."""
@@ -61,7 +60,7 @@ def gray_quotas(spark, sf):
     SELECT p.protein, p.row_id AS pos_row_id, n.row_id AS neg_row_id FROM {scored} AS p JOIN {scored} AS n
     ON p.protein = n.protein AND p.label = 1 AND n.label = 0""")
 def all_pairs(spark, sf):
-    return sampling.pos_neg_pairs(role(spark, sf, "scored"), "protein", "row_id", cap=1100)
+    return sampling.pos_neg_pairs(role(spark, sf, "scored"), "protein", "row_id")
 
 
 @query("pos_neg_pairs_capped", """
@@ -100,13 +99,13 @@ def _coefficients(spark, model):
 @query("train_cls")
 def classifier(spark, sf):
     rows = _training_pairs(spark, sf, "gray")
-    return _coefficients(spark, training.train_cls(rows, "concat_product", max_iter=20))
+    return _coefficients(spark, training.train_cls(rows, "concat_product"))
 
 
 @query("train_rank")
 def ranker(spark, sf):
     rows = _training_pairs(spark, sf, "binary")
-    return _coefficients(spark, training.train_rank(rows, "protein", "row_id", "concat_product", cap=64, max_iter=20))
+    return _coefficients(spark, training.train_rank(rows, "protein", "row_id", "concat_product", cap=64))
 
 
 @query("train_run")
@@ -116,7 +115,7 @@ def whole_run(spark, sf):
     part = lambda s, d: df.filter((F.col("split") == s) & (F.col("prot_domain") == d)).drop("split")
     drugs, proteins = drug_and_protein_banks(spark, sf)
     run = train_run(part("train", "human"), part("train", "virus"), part("val", "virus"), part("test", "virus"),
-                    drugs, proteins, policy="best_stage", on_mixture="keep_hard", max_iter=20)
+                    drugs, proteins, policy="best_stage", on_mixture="keep_hard")
     return ranking.long_report(run.test_report)
 
 

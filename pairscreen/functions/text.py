@@ -83,10 +83,14 @@ def norm_keys(c: Column) -> Column:
     text = strip(c.cast("string"))
     usable = ~F.lower(text).isin("", "nan")
     number = parse_number(without_digit_marks(text))
-    # Beyond the BIGINT range there is no plain integer form to offer.
-    in_range = F.abs(number) < F.lit(9.2e18)
-    whole = F.when(in_range, number).cast("bigint")
-    integer = F.when(F.abs(number - whole) < F.lit(1e-8), whole.cast("string"))
+    # Exact to 2^106, in two parts of 53 bits; beyond that no plain form is offered.
+    unit = F.lit(float(1 << 53))
+    near = F.when(F.abs(number) < F.lit(float(1 << 106)), F.abs(number))
+    high = F.floor(near / unit)
+    low = (near - high.cast("double") * unit).cast("bigint")
+    size = high.cast("decimal(19,0)") * F.lit(1 << 53).cast("decimal(16,0)") + low.cast("decimal(16,0)")
+    whole = F.when(number < 0, -size).otherwise(size)
+    integer = F.when(F.abs(number - whole.cast("double")) < F.lit(1e-8), whole.cast("string"))
     return (
         # Most ids are plain integers, which are their own only key.
         F.when(text.rlike("^(0|[1-9][0-9]{0,14})$"), F.array(text))

@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairscreen.functions.text import normalize_id
 from pairscreen.operators.pairs import PAIR_KEYS, normalize_pairs
 
 AXES = {"pairs": ("drug_id", "prot_id"), "drugs": ("drug_id",), "proteins": ("prot_id",),
@@ -23,26 +24,34 @@ def split_stats(df: DataFrame, split: str = "split") -> DataFrame:
     counts per split.
 
     One aggregate per pair carries everything; distinct entities are counted
-    from its far fewer rows.
+    from its far fewer rows, on normalised ids.
     """
     per_pair = normalize_pairs(df).groupBy(split, *PAIR_KEYS).agg(
         F.count("*").alias("rows"),
         *[F.count_if(F.col("label") == v).alias(n) for v, n in ((-1, "gray"), (0, "neg"), (1, "pos"))],
-        F.count_distinct("label", "prot_domain").alias("kinds"))
+        F.size(F.collect_set(F.when(F.col("label").isNotNull() & F.col("prot_domain").isNotNull(),
+                                    F.struct("label", "prot_domain")))).alias("kinds"))
     main = per_pair.groupBy(split).agg(
         F.sum("rows").alias("rows"), (F.sum("rows") - F.sum("kinds")).alias("exact_duplicate_rows"),
         F.count_if((F.col("pos") > 0) & (F.col("neg") > 0)).alias("conflicting_pairs"),
         F.sum("gray").alias("label_gray"), F.sum("neg").alias("label_neg"), F.sum("pos").alias("label_pos"))
     # Distinct (entity) rows first, then a plain count: no task holds a split's id set.
-    entities = axis_values(df, ["drugs", "proteins"], split).groupBy(split).agg(
+    entities = _flat(per_pair, ["drugs", "proteins"], split).distinct().groupBy(split).agg(
         F.count_if(F.col("axis") == "drugs").alias("unique_drugs"),
         F.count_if(F.col("axis") == "proteins").alias("unique_proteins"))
     return main.join(entities, split)
 
 
 def _axis_rows(df: DataFrame, axes: Sequence[str] | None, split: str) -> DataFrame:
-    """``axis, value, split`` for every row and axis; missing values have no
-    place on an axis."""
+    """``axis, value, split`` for every row and axis. Drug and protein ids are
+    normalised first, so that ``7`` and ``7.0`` are one value."""
+    ids = {c: normalize_id(F.col(c)) for c in PAIR_KEYS if c in df.columns}
+    return _flat(df.withColumns(ids) if ids else df, axes, split)
+
+
+def _flat(df: DataFrame, axes: Sequence[str] | None, split: str) -> DataFrame:
+    """``axis, value, split`` of normalised rows; missing values have no place
+    on an axis."""
     names = [a for a in (axes or AXES) if all(c in df.columns for c in AXES[a])]
 
     def value(columns: Sequence[str]) -> Column:

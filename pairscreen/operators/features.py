@@ -133,7 +133,7 @@ def standardization_arrays(stats: DataFrame) -> DataFrame:
         finite(F.col("median")).isNull() | finite(F.col("mean")).isNull()
         | finite(F.col("std")).isNull() | (F.col("std") <= 0))
     if not bad.isEmpty():
-        raise ValueError("invalid fitted normalization statistics")
+        raise ValueError("a dimension has no finite median and mean, or no positive deviation")
     cells = F.array_sort(F.collect_list(F.struct("pos", "median", "mean", "std")))
     row = stats.agg(cells.alias("c"))
     return row.select(*[F.col("c")[n].alias(n) for n in ("median", "mean", "std")])

@@ -234,8 +234,8 @@ def require_single_record(match: DataFrame) -> DataFrame:
     """The same rows, failing on a target without exactly one record."""
     one = F.col("n_records") == 1
     return match.filter(F.when(one, F.lit(True)).otherwise(F.raise_error(F.concat(
-        F.lit("expected one residue-token record for "), F.col("protein_key").cast("string"),
-        F.lit(", found "), F.col("n_records").cast("string"))).cast("boolean")))
+        F.lit("target "), F.col("protein_key").cast("string"), F.lit(" must match a single token record but matches "),
+        F.col("n_records").cast("string"))).cast("boolean")))
 
 
 def attach_metadata(hits: DataFrame, library: DataFrame, key: str = "drug_id") -> DataFrame:

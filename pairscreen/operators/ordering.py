@@ -9,7 +9,9 @@ through their totals, which number at most ``groups x ranges``.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -73,26 +75,22 @@ def _range_number(order: Sequence[str], schema: T.StructType, cuts: list[tuple])
 
 def _bucketed(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> DataFrame:
     """``_range`` by a bucketizer on a numeric leading column. Only values
-    that make up several cuts (heavy ties) look at the other columns."""
-    by_lead: dict[float, list[tuple]] = {}
-    for cut in cuts:
-        by_lead.setdefault(float(cut[0]), []).append(cut[1:])
-    leads = sorted(by_lead)
-    splits = [float("-inf"), *[v for v in leads if abs(v) != float("inf")], float("inf")]
+    that make up several cuts (heavy ties) look at the other columns, all of
+    them through one search, so the plan does not grow with the ties."""
+    cuts = [c for c in cuts if abs(float(c[0])) != float("inf")]
+    per_lead = Counter(float(c[0]) for c in cuts)
+    leads = sorted(per_lead)
+    splits = [float("-inf"), *leads, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order[0], outputCol="_b", handleInvalid="keep").transform(df)
-    bucket = F.col("_b").cast("int")
-    heavy = {v: by_lead[v] for v in splits[1:-1] if len(by_lead[v]) > 1 and len(order) > 1}
-    upto = [0]
-    for v in splits[1:-1]:
-        upto.append(upto[-1] + (len(heavy[v]) + 1 if v in heavy else 1))
-    number = bucket
+    number = F.col("_b").cast("int")
+    heavy = [v for v in leads if per_lead[v] > 1 and len(order) > 1]
     if heavy:
         # bucket -> cuts at or below its lower bound
-        number = F.get(F.array(*[F.lit(u) for u in upto], F.lit(upto[-1] + 1)), bucket)
-        lead = F.col(order[0]).cast("double")
-        for v, rest in heavy.items():
-            inside = _range_number(order[1:], df.schema, sorted(set(rest)))
-            number = F.when(lead == v, F.lit(upto[splits.index(v) - 1] + 1) + inside).otherwise(number)
+        upto = [0, *accumulate(per_lead[v] for v in leads)]
+        found = F.get(F.from_json(F.lit(json.dumps([*upto, upto[-1]])), T.ArrayType(T.IntegerType())), number)
+        # heavy value -> true; a search in a sorted list, not one branch for each value
+        tied = F.array_contains(F.from_json(F.lit(json.dumps(heavy)), T.ArrayType(T.DoubleType())), F.col(order[0]).cast("double"))
+        number = F.when(tied, _range_number(order, df.schema, cuts)).otherwise(found)
     return bucketed.withColumn("_range", F.coalesce(number, F.lit(0))).drop("_b")
 
 

@@ -37,8 +37,13 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Ids that follow file order; for sources that carry no order column."""
-    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+    """The row's own id, or one made from its content. Ids made from places
+    change with the partitioning and with every evaluation. Equal rows share an
+    id, which the first-row rule cannot tell apart anyway."""
+    if name in df.columns:
+        return df
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(PAIR_COLUMNS) if c in df.columns]
+    return df.withColumn(name, F.xxhash64(*cells))
 
 
 def normalize_pairs(df: DataFrame) -> DataFrame:
@@ -81,9 +86,9 @@ def _fail_if(bad: Column, message: str | Column) -> Column:
     return F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
 
 
-def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) -> DataFrame:
+def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """One row per pair: how often each label and domain was seen, and the
-    first row of each label.
+    first row of each label (with ``carry``, its further columns as structs).
 
     A single hash aggregate over plain numbers, combined before the shuffle,
     so a pair that holds a third of all rows reaches its reducer as one
@@ -95,6 +100,11 @@ def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) ->
     rules = _violations()
     broken = F.coalesce(*[F.when(bad, F.lit(i)) for i, (_, bad) in enumerate(rules)])
     checked = [F.min(broken).alias("_broken")] if strict else []
+    # The columns ride along with the id, so both are of one row. Rows of one
+    # id are told apart by the columns themselves.
+    cells = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else None
+    carried = [F.min(F.when(hit(v), F.struct(F.col(row_id).alias("id"), cells.alias("of")))).alias(f"_of_{name}")
+               for v, name in ((1, "pos"), (0, "neg"), (-1, "gray"))] if carry else []
     evidence = rows.groupBy(*PAIR_KEYS).agg(
         *checked,
         F.count("*").alias("n_rows"),
@@ -106,6 +116,7 @@ def pair_evidence(df: DataFrame, row_id: str = "row_id", strict: bool = True) ->
         F.min(F.when(hit(1), F.col(row_id))).alias("first_pos"),
         F.min(F.when(hit(0), F.col(row_id))).alias("first_neg"),
         F.min(F.when(hit(-1), F.col(row_id))).alias("first_gray"),
+        *carried,
     )
     if strict:
         names = F.get(F.array(*[F.lit(name) for name, _ in rules]), F.col("_broken"))
@@ -130,17 +141,18 @@ def clean_pairs(df: DataFrame, row_id: str = "row_id", on_mixture: str = "error"
     repeats shrink to the first row. A pair with one hard and a gray label has
     no defensible answer: ``error`` (default) stops, ``drop`` removes the
     pair, ``keep_hard`` keeps the hard row. ``carry`` brings further columns
-    of the surviving row.
+    of the surviving row, out of the same aggregate. Without a ``row_id``
+    column, ids come from the pair itself.
     """
     if on_mixture not in ("error", "drop", "keep_hard"):
         raise ValueError("on_mixture must be error, drop or keep_hard")
-    evidence = pair_evidence(df, row_id, strict)
+    evidence = pair_evidence(df, row_id, strict, carry)
     if strict:
         evidence = evidence.filter(_fail_if(
             (F.col("n_human") > 0) & (F.col("n_virus") > 0), "a pair has inconsistent domains"))
     kept = evidence.filter(~is_conflict())
     if on_mixture == "error":
-        kept = kept.filter(_fail_if(is_mixture(), "unresolved gray/hard evidence for a pair"))
+        kept = kept.filter(_fail_if(is_mixture(), "a pair has a hard and a gray label: choose on_mixture"))
     elif on_mixture == "drop":
         kept = kept.filter(~is_mixture())
     out = kept.select(
@@ -148,10 +160,9 @@ def clean_pairs(df: DataFrame, row_id: str = "row_id", on_mixture: str = "error"
         *PAIR_KEYS,
         F.when(F.col("n_pos") > 0, 1).when(F.col("n_neg") > 0, 0).otherwise(-1).alias("label"),
         F.when(F.col("n_virus") > 0, "virus").otherwise("human").alias("prot_domain"),
+        *([F.coalesce("_of_pos", "_of_neg", "_of_gray").alias("_of")] if carry else []),
     )
-    if carry:
-        out = out.join(df.select(row_id, *carry), row_id)
-    return out
+    return out.select(*out.columns[:-1], *[F.col("_of.of").getField(c).alias(c) for c in carry]) if carry else out
 
 
 def clean_pairs_stats(df: DataFrame, row_id: str = "row_id", on_mixture: str = "drop",
@@ -204,7 +215,7 @@ def domain_filter(df: DataFrame, domain: str) -> DataFrame:
 def definitive_pairs(df: DataFrame, check: bool = True) -> DataFrame:
     out = df.filter(F.col("label").isin(*HARD_LABELS))
     if check and out.isEmpty():
-        raise ValueError("evaluation needs at least one definitive label (0 or 1)")
+        raise ValueError("no row to evaluate: all labels are gray")
     return out
 
 

@@ -12,7 +12,7 @@ It is any object with two methods over NumPy arrays:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from pairscreen.functions.vectors import sigmoid, vec_mean, vec_std
 from pairscreen.operators.joins import attach_metadata, salted_join
 from pairscreen.operators.ordering import number_rows, top_k_per_group
+from pairscreen.session import materialize
 
-# Bounds on what a task holds: one block of target vectors, and the scores of
-# one tile of rows.
+# Bounds on what a task holds: one block of targets (vectors and shortlists),
+# and the scores of one tile of rows.
 TARGET_BLOCK_BYTES = 64 << 20
 TILE_CELLS = 2_000_000
 SLACK = 1e-9
@@ -196,22 +197,24 @@ def ensemble_align(predictions: DataFrame, keys: Sequence[str], n_models: int |
 
 # -- a library against targets --------------------------------------------------------------
 
-def _target_blocks(targets: DataFrame) -> list[list]:
-    """Targets in blocks whose vectors fit ``TARGET_BLOCK_BYTES``.
+def _target_blocks(targets: DataFrame, listed: int) -> Iterator[tuple[list, bool]]:
+    """Targets in blocks, and whether there are several. A block's vectors
+    and its shortlists (up to ``4 * listed`` scores for each target and side) fit
+    ``TARGET_BLOCK_BYTES``.
 
     Only (key, id, vector) of one block at a time reach the driver; more
     targets mean more blocks, each scored in its own pass over the library.
     """
     columns = targets.select("protein_key", "pdb_id", "vec")
     total, width = columns.select(F.count("*"), F.max(F.size("vec"))).first()
-    per_block = max(1, TARGET_BLOCK_BYTES // (8 * (width or 1)))
+    per_block = max(1, TARGET_BLOCK_BYTES // (8 * ((width or 1) + 4 * listed)))
     if total <= per_block:
-        return [columns.orderBy("protein_key").collect()] if total else []
-    numbered = number_rows(columns, [], ["protein_key"], "_n")
-    return [
-        numbered.filter((F.col("_n") >= lo) & (F.col("_n") < lo + per_block)).orderBy("_n").collect()
-        for lo in range(0, total, per_block)
-    ]
+        if total:
+            yield columns.orderBy("protein_key").collect(), False
+        return
+    numbered = materialize(number_rows(columns, [], ["protein_key"], "_n"), "targets")
+    for lo in range(0, total, per_block):
+        yield numbered.filter((F.col("_n") >= lo) & (F.col("_n") < lo + per_block)).orderBy("_n").collect(), True
 
 
 def check_targets(targets: DataFrame) -> None:
@@ -225,27 +228,35 @@ def check_targets(targets: DataFrame) -> None:
 
 class _Shortlist:
     """Per target, which rows of a partition can still be among its best
-    ``k``. Keeps only the k best values seen so far, so its memory does not
-    grow with the partition. Rounding never rejects a row of the final
-    answer: the bar is set by ``sure`` rows and lowered by ``SLACK`` for the
-    ``possible`` ones."""
+    ``k``. Holds at most twice k of the best values seen so far, so its memory
+    does not grow with the partition; it is cut back to k when it is full, and the
+    bar rises only then. Rounding never rejects a row of the final answer: the bar
+    is set by ``sure`` rows and lowered by ``SLACK`` for the ``possible`` ones.
+    Scores that are no finite numbers are never admitted."""
 
     def __init__(self, k: int, n_targets: int):
         self.k = k
-        self.best = np.full((0, n_targets), -np.inf)
+        self.held: list[np.ndarray] = []
+        self.rows = 0
+        self.bar = np.full(n_targets, -np.inf)
 
-    def admit(self, sure: np.ndarray, possible: np.ndarray) -> np.ndarray:
-        if self.k <= 0:
-            return np.zeros(sure.shape, dtype=bool)
-        pool = np.concatenate([self.best, sure])
+    def _cut(self) -> None:
+        pool = np.concatenate(self.held)
         if len(pool) > self.k:
             pool = np.partition(pool, len(pool) - self.k, axis=0)[-self.k:]
+        self.held, self.rows = [pool], len(pool)
+        if len(pool) == self.k:
             floor = pool.min(axis=0)
-        else:
-            floor = np.full(pool.shape[1], -np.inf)
-        self.best = pool
-        bar = np.where(np.isfinite(floor), floor - SLACK * np.maximum(1.0, np.abs(floor)), -np.inf)
-        return (possible >= bar) & (possible > -np.inf)
+            self.bar = np.where(np.isfinite(floor), floor - SLACK * np.maximum(1.0, np.abs(floor)), -np.inf)
+
+    def admit(self, sure: np.ndarray, possible: np.ndarray) -> np.ndarray:
+        if self.k <= 0:
+            return np.zeros(sure.shape, dtype=bool)
+        self.held.append(np.where(np.isfinite(sure), sure, -np.inf))
+        self.rows += len(sure)
+        if self.rows >= 2 * self.k:
+            self._cut()
+        return np.isfinite(possible) & (possible >= self.bar)
 
 
 def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta: float = 0.0,
@@ -256,12 +267,14 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
     ``library`` has ``drug_id, vec`` (and optionally a boolean ``eligible``);
     ``targets`` has ``protein_key, pdb_id, vec``. The library streams past a
     block of target vectors as matrix products, so no pair row is built
-    before it has a score and nothing is shuffled.
+    before it has a score and nothing is shuffled. With several blocks each is
+    written before the next is fetched, so the driver holds one.
 
     With ``top``/``bottom`` set, each task passes on only rows that can still
     reach a target's best or worst K (the gate and eligibility apply to the
     top side): a superset of the answer, about K rows per target and task
-    instead of every pair.
+    instead of every pair. A pair whose final score is no finite number makes
+    no list, pruned or not; without pruning its row stays.
     """
     check_targets(targets)
     has_flag = "eligible" in library.columns
@@ -274,7 +287,7 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
     source = library.select(drug_id, "vec", *(["eligible"] if has_flag else []))
     frozen = tuple(models)
     out = None
-    for block in _target_blocks(targets):
+    for block, several in _target_blocks(targets, (top or 0) + (bottom or 0)):
         matrix = np.array([r["vec"] for r in block], dtype=np.float64)
         keys = pa.array([str(r["protein_key"]) for r in block])
         pdbs = pa.array([None if r["pdb_id"] is None else str(r["pdb_id"]) for r in block])
@@ -287,8 +300,9 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
                 flag = (b.column("eligible").to_numpy(zero_copy_only=False).astype(bool)
                         if has_flag else np.ones(b.num_rows, dtype=bool))
                 if prune:
-                    final = rank.mean(axis=2) - beta * rank.std(axis=2)
-                    prob = 1.0 / (1.0 + np.exp(-cls.mean(axis=2)))
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        final = rank.mean(axis=2) - beta * rank.std(axis=2)
+                        prob = 1.0 / (1.0 + np.exp(-cls.mean(axis=2)))
                     sure, possible = (
                         np.where(flag[:, None] & (prob >= cls_min_prob + edge), final, -np.inf) for edge in (SLACK, -SLACK))
                     if cls_min_prob <= 0.0:
@@ -305,6 +319,8 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
                      _lists(cls[row, col]), _lists(rank[row, col])], names=schema.names)
 
         part = source.mapInArrow(run, schema)
+        if several:
+            part = materialize(part, "target-block")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else library.sparkSession.createDataFrame([], schema)
 
@@ -314,7 +330,11 @@ def final_score(beta: float = 0.0) -> Column:
 
 
 def screening_table(grid: DataFrame, beta: float = 0.0) -> DataFrame:
-    return ensemble_stats(grid).withColumn("final_score", final_score(beta))
+    """Ensemble columns and ``final_score``. A final score, or a probability to
+    be gated on, that is no finite number is NULL: such pairs make no list."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    scored = ensemble_stats(grid).withColumn("final_score", finite(final_score(beta)))
+    return scored.withColumn("cls_prob_mean", finite(F.col("cls_prob_mean")))
 
 
 def score_gate(scores: DataFrame, cls_min_prob: float) -> DataFrame:
@@ -322,15 +342,15 @@ def score_gate(scores: DataFrame, cls_min_prob: float) -> DataFrame:
 
 
 def top_k_per_target(scores: DataFrame, k: int, drug_id: str = "drug_id") -> DataFrame:
-    """Highest ``final_score`` per target; ties go to the larger id."""
+    """Highest ``final_score`` per target, NULL left out; ties go to the larger id."""
     order = [F.col("final_score").desc(), F.col(drug_id).desc()]
-    return top_k_per_group(scores, ["protein_key"], order, k, name="rank")
+    return top_k_per_group(scores.filter("final_score is not null"), ["protein_key"], order, k, name="rank")
 
 
 def bottom_k_per_target(scores: DataFrame, k: int, drug_id: str = "drug_id") -> DataFrame:
-    """Lowest ``final_score`` per target; ties go to the smaller id."""
+    """Lowest ``final_score`` per target, NULL left out; ties go to the smaller id."""
     order = [F.col("final_score").asc(), F.col(drug_id).asc()]
-    return top_k_per_group(scores, ["protein_key"], order, k, name="rank")
+    return top_k_per_group(scores.filter("final_score is not null"), ["protein_key"], order, k, name="rank")
 
 
 def top_hits(scores: DataFrame, k: int, cls_min_prob: float = 0.0) -> DataFrame:

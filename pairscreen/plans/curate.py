@@ -15,7 +15,6 @@ from pairscreen.operators.joins import map_distinct
 from pairscreen.operators.library import (
     choose_representatives, drug_table, failure_counts, library_summary, metadata_table, number_library, passing,
     representative_order, status_counts)
-from pairscreen.operators.ordering import limit_distinct
 from pairscreen.session import materialize
 from pairscreen.sources.sinks import report_dict, write_report, write_tables
 
@@ -79,12 +78,12 @@ def standardize_structures(rows: DataFrame, structure_fn: Callable, mode: str =
 
 
 def curate_library(raw: DataFrame, structure_fn: Callable, mode: str = "standard", allow_metals: bool = False,
-                   drop_alerts: bool = True, limit_unique: int = 0) -> CuratedLibrary:
+                   drop_alerts: bool = True) -> CuratedLibrary:
     """Cheap filters first, then the structure plug-in on distinct survivors,
     then one representative per standard structure."""
     candidates = passing(raw, compound_rules())
     # The survivors are read three times below; the export is parsed for them once.
-    rows = materialize(limit_distinct(passing(candidates, range_rules(mode)), "SMILES", limit_unique), "candidates")
+    rows = materialize(passing(candidates, range_rules(mode)), "candidates")
     qc = materialize(standardize_structures(rows, structure_fn, mode, allow_metals, drop_alerts), "qc")
     order = representative_order(*[F.col(c) for c in ("max_phase", "bioactivities", "targets", "name", "chembl_id")])
     library = number_library(choose_representatives(qc.filter("keep_final"), "SMILES_Std", order))

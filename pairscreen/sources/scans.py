@@ -47,7 +47,8 @@ PAIR_SCHEMA = T.StructType([
 def scan_compounds(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A ``;``-separated, quoted compound export as cleaned text columns.
 
-    ``columns`` is the file's header; left out, the header line is read.
+    ``columns`` names the cells of files without a header line, such as parts
+    that many tasks wrote; left out, each file's header line is read.
     Surplus cells of a line are ignored and short lines are padded with
     missing cells.
     """
@@ -58,7 +59,7 @@ def scan_compounds(spark: SparkSession, path: str, columns: Sequence[str] | None
         raise ValueError(f"missing columns: {missing}")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
     raw = spark.read.schema(schema).options(
-        sep=";", header=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
+        sep=";", header=columns is None, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
     return raw.select(*[
         _cell(f"c{header.index(source)}").alias(name) for source, name in EXPORT_COLUMNS.items()])
 

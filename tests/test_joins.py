@@ -96,7 +96,7 @@ def test_manifest_needs_one_record(spark):
                                     "prot_id string, protein_key string, token_file string, length int")
     got = {r["prot_id"]: r["n_records"] for r in joins.manifest_match(targets, records).collect()}
     assert got == {"1": 1, "2": 2, "3": 0}
-    with pytest.raises(Exception, match="expected one"):
+    with pytest.raises(Exception, match="must match a single"):
         joins.require_single_record(joins.manifest_match(targets, records)).collect()
 
 

@@ -123,3 +123,19 @@ def test_first_per_key_and_limit_distinct(spark, skewed):
     names = sorted({g for _, g, _, _ in skewed})[:2]
     assert few.count() == sum(g in names for _, g, _, _ in skewed)
     assert ordering.limit_distinct(df, "g", 0).count() == len(skewed)
+
+
+def test_heavy_ties_keep_the_plan_small(spark):
+    """Many values that each fill several ranges."""
+    import time
+
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.col("id") % 400).cast("double").alias("s"), "id")
+    start = time.time()
+    ranged = ordering.with_range(df, ["s", "id"], 4000)
+    ranged._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 20
+    edges = ranged.groupBy("_range").agg(F.min(F.struct("s", "id")).alias("lo"), F.max(F.struct("s", "id")).alias("hi")).orderBy("_range").collect()
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(edges, edges[1:])) and len(edges) > 1000
+    got = ordering.rank_within_group(df, "g", "s", "id").collect()
+    want = {i: k + 1 for k, i in enumerate(sorted(range(40_000), key=lambda i: (-(i % 400), i)))}
+    assert {r.id: r["rank"] for r in got} == want

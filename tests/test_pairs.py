@@ -41,7 +41,7 @@ def test_conflicts_go_with_their_gray_rows(spark):
 
 def test_mixtures(spark):
     df = frame(spark, [("1", "a", -1, "virus"), ("1", "a", 1, "virus"), ("1", "a", 1, "virus"), ("2", "a", 0, "virus")])
-    with pytest.raises(Exception, match="unresolved gray/hard"):
+    with pytest.raises(Exception, match="hard and a gray label"):
         pairs.clean_pairs(df).collect()
     assert tuples(pairs.clean_pairs(df, on_mixture="drop")) == [(3, "2", "a", 0)]
     assert tuples(pairs.clean_pairs(df, on_mixture="keep_hard")) == [(1, "1", "a", 1), (3, "2", "a", 0)]
@@ -84,7 +84,7 @@ def test_filters(spark):
     assert pairs.stage_dataset(df, "pretrain").count() == 1
     with pytest.raises(ValueError):
         pairs.label_filter(df, "other")
-    with pytest.raises(ValueError, match="definitive"):
+    with pytest.raises(ValueError, match="all labels are gray"):
         pairs.definitive_pairs(pairs.label_filter(df, "gray").filter("label < 0"))
 
 
@@ -107,3 +107,29 @@ def test_split_audit(spark):
     assert got[("clusters", "train", "val")] == 0 and got[("drugs", "val", "test")] == 0
     leaks = {r["axis"]: r["heldout_in_training"] for r in audit.holdout_leakage(df, ["val", "test"], ["train"]).collect()}
     assert leaks == {"scaffolds": 2, "clusters": 0}
+
+
+def test_carried_columns_follow_their_row(spark):
+    """Whatever the partitioning, and with or without ids."""
+    rows = [(f"d{i % 50}", f"p{i % 7}", "1" if i % 50 % 2 else "0", "human", f"smiles-{i % 50}-{i % 7}") for i in range(700)]
+    df = spark.createDataFrame(rows, "drug_id string, prot_id string, label string, prot_domain string, smiles string")
+    seen = set()
+    for n in (1, 3, 7):
+        got = pairs.clean_pairs(df.repartition(n), carry=["smiles"]).collect()
+        assert all(r.smiles == f"smiles-{r.drug_id[1:]}-{r.prot_id[1:]}" for r in got) and len(got) == 350
+        seen.add(tuple(sorted((r.row_id, r.drug_id, r.prot_id) for r in got)))
+    assert len(seen) == 1
+    own = df.withColumn("row_id", F.monotonically_increasing_id())
+    first = pairs.clean_pairs(own, carry=["smiles"])
+    assert first.columns == ["row_id", "drug_id", "prot_id", "label", "prot_domain", "smiles"]
+    assert all(r.smiles == f"smiles-{r.drug_id[1:]}-{r.prot_id[1:]}" for r in first.collect())
+
+
+def test_split_audits_normalise_ids(spark):
+    df = spark.createDataFrame(
+        [("7", "p", 1, "human", "train"), ("7.0", "p", 1, "human", "train"), (" 7 ", "p", 0, "human", "test"), ("8", "q", 1, "virus", "test")],
+        "drug_id string, prot_id string, label int, prot_domain string, split string")
+    train = audit.split_stats(df).filter("split = 'train'").first()
+    assert (train.rows, train.unique_drugs, train.exact_duplicate_rows) == (2, 1, 1)
+    shared = {r.axis: r.shared for r in audit.split_overlap(df, ["train", "test"]).collect()}
+    assert shared["drugs"] == 1 and shared["pairs"] == 1

@@ -224,6 +224,6 @@ def test_pairwise_losses(df, rows):
             gap = pos[:, None] - neg[None, :]
             bpr.append(np.logaddexp(0, -gap).mean())
             margin.append(np.maximum(0.2 - gap, 0).mean())
-    assert losses.bpr_loss(df, "protein", "rank_logit", "row_id", cap=10 ** 6).first()[0] == pytest.approx(np.mean(bpr))
-    assert losses.margin_loss(df, "protein", "rank_logit", "row_id", cap=10 ** 6).first()[0] == pytest.approx(np.mean(margin))
-    assert losses.bpr_loss(df.filter("label = 1"), "protein", "rank_logit", "row_id").first()[0] == 0.0
+    assert losses.bpr_loss(df, "protein", "rank_logit").first()[0] == pytest.approx(np.mean(bpr))
+    assert losses.margin_loss(df, "protein", "rank_logit").first()[0] == pytest.approx(np.mean(margin))
+    assert losses.bpr_loss(df.filter("label = 1"), "protein", "rank_logit").first()[0] == 0.0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pairscreen.functions.rules import compound_rules, range_rules
 from pairscreen.operators import library
 from pairscreen.operators.joins import incremental_todo
+from pairscreen.operators.ordering import limit_distinct
 from pairscreen.plans.curate import curate_library
 from pairscreen.session import materialize, scratch_path
 from pairscreen.sources import scans, sinks
@@ -99,7 +100,7 @@ def test_curation(spark, tmp_path):
     assert report["prefilter_counts"]["non_small_molecule"] == 1 and report["smiles_status_counts"]["ok"] == 4
     kept = curate_library(raw, describe, drop_alerts=False).qc.filter("SMILES = 'alert'").first()
     assert kept["keep_final"] and kept["PAINS_Detail"] == "PAINS_A x" and kept["Brenk_Hit"] == 1
-    first = curate_library(raw, describe, limit_unique=2)
+    first = curate_library(limit_distinct(raw, "SMILES", 2), describe)
     assert {r[0] for r in first.qc.select("SMILES").distinct().collect()} == {"aa", "abc"}
 
 

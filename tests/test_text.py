@@ -51,7 +51,7 @@ def test_normalize_id(spark):
 
 @pytest.mark.parametrize("cell", [
     "7", "7.0", "007", "1e3", "-0.0", "0", "abc", "", " ", "nan", None, "12.5", " 8 ", "6.999999999999", "inf",
-    "9007199254740993", "12345678901234567", "+5", "1_0", "-3", "0.0", "1e-9"])
+    "9007199254740993", "12345678901234567", "12345678901234567890", "-98765432109876543210", "1e23", "123e25", "+5", "1_0", "-3", "0.0", "1e-9"])
 def test_norm_keys(spark, cell):
     assert values(spark, [cell], text.norm_keys) == [python_keys(cell)]
 
