@@ -10,6 +10,7 @@ from catalog.scoring import drug_and_protein_banks
 from pairscreen.operators import ranking, sampling, training
 from pairscreen.plans.predict import prepare_pairs
 from pairscreen.plans.train import train_run, with_vectors
+from pairscreen.session import materialize
 
 # -- sampling: draws differ from SQL's, quotas do not ----------------------------------
 
@@ -20,9 +21,21 @@ def _batches(spark, sf):
     return sampling.balanced_sample(role(spark, sf, "scored"), "protein", "row_id", **_QUOTA)
 
 
-@query("balanced_sample")
+@query("balanced_sample", """
+    WITH n AS (SELECT CAST(ceil(count(*) / 80.0) AS BIGINT) AS b FROM {scored} AS s)
+    SELECT batch, CAST(slot AS INTEGER) AS slot, CAST(label AS INTEGER) AS label, CAST(q AS BIGINT) AS drawn,
+           CAST(q AS BIGINT) AS of_pool, CAST(q AS BIGINT) AS different, TRUE AS one_group
+    FROM n, LATERAL (SELECT unnest(range(0, b)) AS batch) AS x, range(0, 8) AS y(slot),
+         (VALUES (1, 4), (0, 4), (-1, 2)) AS v(label, q)""")
 def sample(spark, sf):
-    return _batches(spark, sf)
+    """Every slot's draw: how many rows, of the right pool, all different (the
+    pools here are never short), of one protein."""
+    truth = role(spark, sf, "scored").select("row_id", F.col("protein").alias("p"), F.col("label").alias("l"))
+    joined = _batches(spark, sf).join(truth, "row_id")
+    right = (F.col("p") == F.col("protein")) & (F.col("l") == F.col("label"))
+    return joined.groupBy("batch", "slot", "label").agg(
+        F.count("*").alias("drawn"), F.count_if(right).alias("of_pool"), F.count_distinct("row_id").alias("different"),
+        (F.min("protein") == F.max("protein")).alias("one_group"))
 
 
 @query("balanced_sample_quotas", """
@@ -83,29 +96,37 @@ def expanded(spark, sf):
     return out.select("row_id", "label", "y", rounded("weight").alias("weight"))
 
 
-# -- fits: no SQL twin; tests compare them with direct minimisation ----------------------
+# -- fits: at the optimum the gradient is zero; tests compare with direct minimisation ------
 
 def _training_pairs(spark, sf, label_mode):
     drugs, proteins = drug_and_protein_banks(spark, sf)
     rows = prepare_pairs(role(spark, sf, "pairs"), drugs, proteins, label_mode, "virus", "keep_hard")
-    return with_vectors(rows, drugs, proteins)
+    return with_vectors(materialize(rows, "attached"), drugs, proteins)
+
+
+REG = 1e-4
+_RESIDUALS = """SELECT CAST(i AS INTEGER) AS pos, 0e0 AS residual
+    FROM range((SELECT 3 * max(len(embedding)) FROM embeddings)) AS t(i)"""
 
 
-def _coefficients(spark, model):
-    values = [(i, float(v)) for i, v in enumerate(model.coefficients.toArray())]
-    return spark.createDataFrame(values, "pos int, value double")
+def _residuals(spark, rows, model):
+    """Gradient by dimension of the pair vector, to two digits."""
+    found = training.gradient(rows, model, REG)
+    return spark.createDataFrame(list(enumerate(found)), "pos int, residual double").withColumn(
+        "residual", F.abs(F.round("residual", 2)))
 
 
-@query("train_cls")
+@query("train_cls", _RESIDUALS)
 def classifier(spark, sf):
-    rows = _training_pairs(spark, sf, "gray")
-    return _coefficients(spark, training.train_cls(rows, "concat_product"))
+    rows = training.cls_rows(_training_pairs(spark, sf, "gray"), "concat_product")
+    return _residuals(spark, rows, training.fit_cls(rows, REG))
 
 
-@query("train_rank")
+@query("train_rank", _RESIDUALS)
 def ranker(spark, sf):
-    rows = _training_pairs(spark, sf, "binary")
-    return _coefficients(spark, training.train_rank(rows, "protein", "row_id", "concat_product", cap=64))
+    pairs = materialize(_training_pairs(spark, sf, "binary"), "pairs")
+    rows = materialize(training.rank_differences(pairs, "protein", "row_id", "concat_product", cap=64), "gaps")
+    return _residuals(spark, rows, training.fit_rank(rows, REG))
 
 
 @query("train_run")

@@ -36,13 +36,21 @@ SLACK = 1e-9
 @dataclass(frozen=True)
 class LinearHead:
     """``bias + drug.w + protein.v + sum_i cross_i drug_i protein_i +
-    sum_i gap_i |drug_i - protein_i|``; unset parts count as zero."""
+    sum_i gap_i |drug_i - protein_i| + sum_k bilinear_k (drug_map drug)_k
+    (protein_map protein)_k``; unset parts count as zero."""
 
     bias: float = 0.0
     drug: Sequence[float] | None = None
     protein: Sequence[float] | None = None
     cross: Sequence[float] | None = None
     gap: Sequence[float] | None = None
+    bilinear: Sequence[float] | None = None
+    drug_map: Sequence[Sequence[float]] | None = None
+    protein_map: Sequence[Sequence[float]] | None = None
+
+    def _mapped(self, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weighted = d @ np.asarray(self.drug_map, dtype=float).T * np.asarray(self.bilinear, dtype=float)
+        return weighted, p @ np.asarray(self.protein_map, dtype=float).T
 
     def grid(self, d: np.ndarray, p: np.ndarray) -> np.ndarray:
         out = np.full((len(d), len(p)), float(self.bias))
@@ -56,6 +64,9 @@ class LinearHead:
             weights = np.asarray(self.gap, dtype=float)
             for j in range(len(p)):
                 out[:, j] += np.abs(d - p[j]) @ weights
+        if self.bilinear is not None:
+            left, right = self._mapped(d, p)
+            out += left @ right.T
         return out
 
     def pairs(self, d: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -68,6 +79,8 @@ class LinearHead:
             out += np.einsum("ij,ij,j->i", d, p, np.asarray(self.cross, dtype=float))
         if self.gap is not None:
             out += np.abs(d - p) @ np.asarray(self.gap, dtype=float)
+        if self.bilinear is not None:
+            out += np.einsum("ij,ij->i", *self._mapped(d, p))
         return out
 
 

@@ -6,10 +6,12 @@ stages are compared on validation data instead of chained.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,26 +30,66 @@ PATIENCE = 10
 # ----------------------------------------------------------------------------
 
 _PARTS = {"concat_only": ("drug", "protein"), "concat_product": ("drug", "protein", "cross"),
-          "concat_product_absdiff": ("drug", "protein", "cross", "gap")}
+          "concat_product_absdiff": ("drug", "protein", "cross", "gap"),
+          "full_bilinear": ("drug", "protein", "cross", "gap")}
 
 
-def head_from_coefficients(coefficients: Sequence[float], bias: float, mode: str) -> LinearHead:
-    """Coefficients on a pair vector as the head that scores without building it."""
+def head_from_coefficients(coefficients: Sequence[float], bias: float, mode: str,
+                           drug_weights: Sequence[Sequence[float]] | None = None,
+                           protein_weights: Sequence[Sequence[float]] | None = None) -> LinearHead:
+    """Coefficients on a pair vector as the head that scores without building
+    it; ``full_bilinear`` needs the weight matrices that built the vector."""
     parts = _PARTS[mode]
-    width = len(coefficients) // len(parts)
+    tail = 0
+    if mode == "full_bilinear":
+        if drug_weights is None or protein_weights is None:
+            raise ValueError("full_bilinear needs both weight matrices")
+        tail = len(drug_weights)
+    width = (len(coefficients) - tail) // len(parts)
     cut = {name: list(coefficients[i * width:(i + 1) * width]) for i, name in enumerate(parts)}
+    if tail:
+        cut |= {"bilinear": list(coefficients[-tail:]), "drug_map": drug_weights, "protein_map": protein_weights}
     return LinearHead(bias=bias, **cut)
 
 
-def train_cls(pairs: DataFrame, mode: str = "concat_product", pos_weight: float = 1.0,
-              gray_target: float = 0.20, gray_weight: float = 0.03, reg: float = 1e-4,
-              max_iter: int = 50, drug: str = "drug_vec", protein: str = "prot_vec") -> LogisticRegressionModel:
-    """Soft-label cross-entropy classifier on pair vectors."""
+def gradient(rows: DataFrame, model: LogisticRegressionModel, reg: float) -> list[float]:
+    """Gradient of the fitted objective over ``label, weight, features`` rows;
+    zero at the optimum. Tasks send one sum each, as wide as a feature vector."""
+    beta, bias = model.coefficients.toArray(), float(model.intercept)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total, weight = np.zeros(len(beta)), 0.0
+        for b in batches:
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(beta))
+            y, w = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            total += (w * (1 / (1 + np.exp(-(x @ beta + bias))) - y)) @ x
+            weight += w.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([weight])], names=["g", "w"])
+
+    sums = rows.select(F.col("label").cast("double"), F.col("weight").cast("double"), vector_to_array("features")).mapInArrow(
+        run, "g array<double>, w double").select(F.posexplode("g").alias("pos", "v"), "w").groupBy("pos").agg(
+        F.sum("v").alias("v"), F.sum("w").alias("w")).orderBy("pos").collect()
+    return [r["v"] / r["w"] + reg * float(beta[r["pos"]]) for r in sums]
+
+
+def cls_rows(pairs: DataFrame, mode: str = "concat_product", pos_weight: float = 1.0, gray_target: float = 0.20,
+             gray_weight: float = 0.03, drug: str = "drug_vec", protein: str = "prot_vec") -> DataFrame:
+    """``label, weight, features`` rows of the classifier's soft-label loss."""
     built = pairs.select("label", array_to_vector(
         pair_features(F.col(drug), F.col(protein), mode)).alias("features"))
     # Written before it is split and fitted: the fit reads its input several times.
-    rows = expand_gray(materialize(built, "features"), gray_target, gray_weight, pos_weight).select(
+    return expand_gray(materialize(built, "features"), gray_target, gray_weight, pos_weight).select(
         F.col("y").alias("label"), "weight", "features")
+
+
+def train_cls(pairs: DataFrame, mode: str = "concat_product", pos_weight: float = 1.0,
+              gray_target: float = 0.20, gray_weight: float = 0.03, reg: float = 1e-4,
+              max_iter: int = 50, drug: str = "drug_vec", protein: str = "prot_vec") -> LogisticRegressionModel:
+    """Soft-label cross-entropy classifier on pair vectors."""
+    return fit_cls(cls_rows(pairs, mode, pos_weight, gray_target, gray_weight, drug, protein), reg, max_iter)
+
+
+def fit_cls(rows: DataFrame, reg: float = 1e-4, max_iter: int = 50) -> LogisticRegressionModel:
     return LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter,
                               standardization=False).fit(rows)
 
@@ -61,7 +103,8 @@ def rank_differences(pairs: DataFrame, group: str, row_id: str, mode: str = "con
     """Feature gaps of positive/negative pairs, each also mirrored; weighted
     so that every group counts the same."""
     hard = pairs.filter(F.col("label").isin(0, 1))
-    drawn = pos_neg_pairs(hard.select(group, "label", row_id), group, row_id, cap=cap, seed=seed)
+    # The draw is read twice below, and its ids decide which vectors meet.
+    drawn = materialize(pos_neg_pairs(hard.select(group, "label", row_id), group, row_id, cap=cap, seed=seed), "drawn")
     share = drawn.groupBy(group).agg((F.lit(1.0) / F.count("*")).alias("weight"))
     # Vectors join the drawn pairs only, not every step of the draw.
     x = pair_features(F.col(drug), F.col(protein), mode)
@@ -80,7 +123,10 @@ def train_rank(pairs: DataFrame, group: str, row_id: str, mode: str = "concat_pr
                seed: int = 0, reg: float = 1e-4, max_iter: int = 50) -> LogisticRegressionModel:
     """Linear pairwise-ranking head: logistic regression without intercept on
     feature gaps minimises the mean softplus(-gap) loss."""
-    rows = materialize(rank_differences(pairs, group, row_id, mode, cap, seed), "gaps")
+    return fit_rank(materialize(rank_differences(pairs, group, row_id, mode, cap, seed), "gaps"), reg, max_iter)
+
+
+def fit_rank(rows: DataFrame, reg: float = 1e-4, max_iter: int = 50) -> LogisticRegressionModel:
     return LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter, fitIntercept=False,
                               standardization=False).fit(rows)
 

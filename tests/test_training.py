@@ -150,3 +150,19 @@ def test_whole_run(spark):
     assert out.per_model.count() == out.ensemble.count() == sum(1 for i in range(60) if (i + 8) % 11)
     with pytest.raises(ValueError, match="no usable"):
         predict(table([8], "virus").withColumn("prot_id", F.lit("77")), drugs, prots, [run.model])
+
+
+def test_bilinear_head_scores_like_its_pair_vector(spark):
+    from pairscreen.functions.vectors import pair_features
+
+    rng = np.random.default_rng(5)
+    d, p = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    dw, pw = rng.normal(size=(3, 4)).tolist(), rng.normal(size=(3, 4)).tolist()
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(d, p))], "i int, d array<double>, p array<double>")
+    built = np.array([r.x for r in df.select("i", pair_features(F.col("d"), F.col("p"), "full_bilinear", dw, pw).alias("x")).orderBy("i").collect()])
+    beta = rng.normal(size=built.shape[1])
+    head = training.head_from_coefficients(beta.tolist(), 0.5, "full_bilinear", dw, pw)
+    assert np.allclose(head.pairs(d, p), built @ beta + 0.5)
+    assert np.allclose(np.diag(head.grid(d, p)), built @ beta + 0.5)
+    with pytest.raises(ValueError, match="matrices"):
+        training.head_from_coefficients(beta.tolist(), 0.5, "full_bilinear")
