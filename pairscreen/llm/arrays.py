@@ -7,12 +7,13 @@ so words on bytes and words on characters are the same. NULL counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once. A longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -65,6 +66,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the n + 1 row offsets."""
+    # freed Arrow memory goes back to the system, not to a pool of the worker
+    pa.set_memory_pool(pa.system_memory_pool())
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -162,3 +165,25 @@ def distinct(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
 def text_array(column: pa.Array) -> pa.Array:
     """One plain array of a column of a record batch."""
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, fn: Callable, drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns that ``fn`` makes from whole input columns (a
+    dotted name is a field of a struct), and without those of ``drop``.
+
+    Always one map over batches: an executor keeps idle workers of each kind
+    of Python operator, so plans keep to a single kind.
+    """
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(fields).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name in inputs:
+                first, _, rest = name.partition(".")
+                column = batch.column(first)
+                columns.append(pc.struct_field(column, rest) if rest else column)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *fn(*columns)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

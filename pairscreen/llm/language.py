@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.llm.arrays import LOWER, buffer, chunks, small_batches, text_array
+from pairscreen.llm.arrays import LOWER, add_columns, buffer, chunks, small_batches, text_array
 from pairscreen.session import materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -97,12 +97,13 @@ def text_table(counts: DataFrame, languages: Sequence[str]) -> np.ndarray:
     return np.log(np.vstack([SHARED * mean + (1 - SHARED) * table, other])).astype(np.float32)
 
 
-def text_evidence(table: np.ndarray, text: Column) -> Column:
-    """Struct of ``n`` (letter trigrams) and ``logs`` (log-likelihoods of the
-    whole text by language, as of at most MOST_EVIDENCE independent ones)."""
+def text_evidence(table: np.ndarray):
+    """A function from a text column to ``_n`` (letter trigrams) and ``_logs``
+    (log-likelihoods of the whole text by language, as of at most MOST_EVIDENCE
+    independent ones)."""
 
-    @F.arrow_udf("struct<n: long, logs: array<double>>")
-    def score(texts: pa.Array) -> pa.Array:
+    def score(texts: pa.Array) -> list[pa.Array]:
+        texts = text_array(texts)
         counts, logs = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(table)))
         for a, b in chunks(texts):
             codes, good, offsets = _trigrams(texts.slice(a, b - a))
@@ -113,10 +114,10 @@ def text_evidence(table: np.ndarray, text: Column) -> Column:
             for k in range(len(table)):
                 np.cumsum(np.where(good, table[k][codes], np.float32(0)), dtype=np.float64, out=sums[1:])
                 logs[a:b, k] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1) * np.minimum(n / 3, MOST_EVIDENCE)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(table), pa.int32()), pa.array(logs.ravel()))
-        return pa.StructArray.from_arrays([pa.array(counts), lists], names=["n", "logs"])
+        return [pa.array(counts), pa.ListArray.from_arrays(
+            pa.array(np.arange(len(texts) + 1) * len(table), pa.int32()), pa.array(logs.ravel()))]
 
-    return score(text)
+    return score
 
 
 @dataclass
@@ -146,12 +147,12 @@ def _read(df: DataFrame, table: np.ndarray, languages: Sequence[str], text_col:
     row = F.struct(*[F.col(f"`{c}`") for c in ([id_col] if id_col else df.columns)]).alias("_row")
     declared = F.lower(F.substring_index(_column(declared_col), "-", 1))
     read = df.select(
-        row, host.alias("_host"), F.when(dotted, F.array_join(F.slice(labels, -2, 2), ".")).alias("_domain"),
+        row, *([F.col(text_col).alias("_t")] if id_col else []), host.alias("_host"), F.when(dotted, F.array_join(F.slice(labels, -2, 2), ".")).alias("_domain"),
         F.when(dotted, F.element_at(labels, -1)).alias("_suffix"),
-        F.when(declared.isin(*languages), declared).when(F.trim(declared) != "", "other").otherwise("none").alias("_declared"),
-        text_evidence(table, F.col(text_col)).alias("_text"))
-    best = F.array_position(F.col("_text.logs"), F.array_max("_text.logs")).cast("int")
-    return read.withColumn("_vote", F.when(F.col("_text.n") >= LEAST_VOTE, best))
+        F.when(declared.isin(*languages), declared).when(F.trim(declared) != "", "other").otherwise("none").alias("_declared"))
+    read = add_columns(read, ["_t" if id_col else f"_row.{text_col}"], "_n long, _logs array<double>", text_evidence(table), drop=["_t"])
+    best = F.array_position(F.col("_logs"), F.array_max("_logs")).cast("int")
+    return read.withColumn("_vote", F.when(F.col("_n") >= LEAST_VOTE, best))
 
 
 def _votes(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -206,15 +207,15 @@ def fuse(rows: DataFrame, found: Evidence) -> DataFrame:
         # P(suffix | language) up to a factor shared by all languages
         "_address", F.zip_with(smoothed("_suffix", everywhere), everywhere, lambda p, q: p / q))
     evidence = F.zip_with(F.zip_with("_prior", "_address", lambda p, a: F.log(p * a)), declared[F.col("_declared")], lambda x, y: x + y)
-    scored = joined.withColumn("_logs", F.zip_with("_text.logs", evidence, lambda x, y: x + y)).withColumn(
+    scored = joined.withColumn("_all", F.zip_with("_logs", evidence, lambda x, y: x + y)).withColumn(
         # value and place in one, the first of equals
-        "_best", F.array_max(F.transform("_logs", lambda x, i: F.struct(x.alias("v"), (n - i).alias("k"))))).withColumn(
-        "_sum", F.aggregate("_logs", F.lit(0.0), lambda x, v: x + F.exp(v - F.col("_best.v"))))
+        "_best", F.array_max(F.transform("_all", lambda x, i: F.struct(x.alias("v"), (n - i).alias("k"))))).withColumn(
+        "_sum", F.aggregate("_all", F.lit(0.0), lambda x, v: x + F.exp(v - F.col("_best.v"))))
     language = F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1 - F.col("_best.k")).cast("int"))
     confidence = F.least(1 / F.col("_sum"), F.lit(1.0))
     return scored.select(
         "_row", language.alias("language"), confidence.alias("confidence"),
-        ((language != UNKNOWN) & (confidence >= LEAST_POSTERIOR) & (F.col("_text.n") > 0)).alias("kept"))
+        ((language != UNKNOWN) & (confidence >= LEAST_POSTERIOR) & (F.col("_n") > 0)).alias("kept"))
 
 
 def identify(df: DataFrame, id_col: str, text_col: str = "text", declared_col: str = "lang",
