@@ -227,7 +227,7 @@ def _head(prefix: str, prob: str, order: str, cut: str) -> str:
 
 _HEAD_NAMES = ("auc", "aupr", "f1", "acc", "balanced_acc", "precision", "recall", "threshold", "pp_mean", "n", "pos",
                "neg", *_MACRO_NAMES)
-_TOP = ("auc", "aupr", "f1", "acc", "balanced_acc", "precision", "recall", "threshold", "pp_mean", "n", "pos", "neg")
+_TOP = ranking.CLS_TOP
 
 
 def _report_sql(cls_cut: str, rank_cut: str, threshold_ctes: str, weights: bool) -> str:

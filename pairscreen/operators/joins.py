@@ -193,7 +193,7 @@ def eligible_ids(metadata: DataFrame, library: DataFrame, metadata_key: str = "d
 def target_lookup(targets: DataFrame, bank: DataFrame, vec: str = "vec") -> DataFrame:
     """Each target's vector by ``protein_key``, else by ``prot_id``; NULL
     where neither is known. In the bank a ``protein_key`` outranks another
-    row's ``prot_id`` and earlier rows outrank later ones."""
+    row's ``prot_id``; of equal keys the later row counts, of equal ids the earlier."""
     names = F.array(
         F.struct(F.lit(0).alias("column"), F.col("protein_key").cast("string").alias("name")),
         F.struct(F.lit(1).alias("column"), F.col("prot_id").cast("string").alias("name")),

@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 from pairscreen.operators.ordering import running_totals, top_k_per_group
 
 # Fixed values ---------------------------------------------------------------
+CLS_TOP = ("auc", "aupr", "f1", "acc", "balanced_acc", "precision", "recall", "threshold", "pp_mean", "n", "pos", "neg")
+RANK_TOP = ("perprotein_auc_mean", "perprotein_aupr_mean", "p_at_10_mean", "p_at_50_mean", "hit_at_10_mean",
+            "hit_at_50_mean", "n_proteins", "n_proteins_with_both_labels", "n_proteins_p_at_10", "n_proteins_p_at_50")
 GRID_STEPS = 500
 THRESHOLD_METRICS = ("f1", "balanced_acc", "youden", "mcc", "fixed")
 TOP_SIZES = (10, 50)
@@ -279,11 +282,6 @@ def finite_means(df: DataFrame, columns: Sequence[str] = WEIGHT_COLUMNS) -> Data
     return df.agg(*[F.avg(finite(F.col(c).try_cast("double"))).alias(f"fusion_{c}_mean") for c in columns])
 
 
-_CLS_TOP = ("auc", "aupr", "f1", "acc", "balanced_acc", "precision", "recall", "threshold", "pp_mean", "n", "pos", "neg")
-_RANK_TOP = ("perprotein_auc_mean", "perprotein_aupr_mean", "p_at_10_mean", "p_at_50_mean", "hit_at_10_mean",
-             "hit_at_50_mean", "n_proteins", "n_proteins_with_both_labels", "n_proteins_p_at_10", "n_proteins_p_at_50")
-
-
 def dual_head_report(df: DataFrame, row_id: str = "row_id", group: str = "protein",
                      metric: str = "f1", minimum: float = 0.0, fixed: float = 0.5,
                      threshold: float | DataFrame | None = None) -> DataFrame:
@@ -301,8 +299,8 @@ def dual_head_report(df: DataFrame, row_id: str = "row_id", group: str = "protei
     combo = half("cls_aupr", "rank_perprotein_aupr_mean")
     out = joined.select(
         "*",
-        *[F.col(f"cls_{c}").alias(c) for c in _CLS_TOP],
-        *[F.col(f"rank_{c}").alias(c) for c in _RANK_TOP],
+        *[F.col(f"cls_{c}").alias(c) for c in CLS_TOP],
+        *[F.col(f"rank_{c}").alias(c) for c in RANK_TOP],
         combo.alias("combo_cls_rank"),
         half("cls_f1", "rank_perprotein_aupr_mean").alias("combo_cls_f1_rank"),
         combo.alias("combo_aupr_ppaupr"),

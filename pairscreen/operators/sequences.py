@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pairscreen.functions.text import clean_sequence, parse_number
 from pairscreen.operators.joins import salted_join
 from pairscreen.operators.ordering import first_per_key
+from pairscreen.session import parallelism
 
 # Fixed values ---------------------------------------------------------------
 WINDOW = 1024
@@ -82,10 +83,12 @@ def encoding_stats(windows: DataFrame, key: str) -> DataFrame:
 def embed(df: DataFrame, encoder: Callable, schema: T.StructType | str, partitions: int | None = None) -> DataFrame:
     """Run an encoder over Arrow batches of rows; ``schema`` is its output.
 
-    Rows are spread evenly first, as windows of one long sequence would
-    otherwise sit in one task.
+    Rows are spread evenly first (over the session's shuffle partitions, or
+    ``partitions``), as windows of one long sequence would otherwise sit in one
+    task. A hash of the row deals them out, so a task that runs again does the same.
     """
-    spread = df.repartition(partitions) if partitions else df
+    keys = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = df.repartition(partitions or parallelism(df.sparkSession), F.xxhash64(*keys) if keys else F.lit(0))
     return spread.mapInPandas(encoder, schema)
 
 

@@ -15,11 +15,9 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan gives fewer tasks than that (a file
-    with one row group is one task). Large inputs pass unchanged, without a
-    shuffle."""
-    n = parallelism(df.sparkSession)
-    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+    """Rows dealt out evenly by ``key``, for an expensive step to follow,
+    however many tasks the scan gives."""
+    return df.repartition(parallelism(df.sparkSession), key)
 
 
 def shared_dir(spark: SparkSession) -> str:
