@@ -6,9 +6,11 @@ sets are one class. Classes that agree on a band of four registers are
 candidates; the Jaccard estimate from all registers, less the agreement
 expected by chance, drops hopeless ones, and the rest is counted on full sets.
 
-No group is paired with itself: a band's classes are first compared with its
-smallest class only. Classes that are connected by then need no more work;
-bands whose classes still lie in several components are compared in blocks.
+No group is paired with itself: a band's classes are first compared with one
+of them only, the one that shares most bands with others (an original rather
+than one of its copies). Classes that are connected need no more work, so after
+some rounds few bands have classes in several components; these are compared
+in blocks, each pair in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscreen.llm import arrays
@@ -35,6 +37,8 @@ _HASH_BITS = 52
 SLACK = 4.5
 #: Classes of a band compared by one task at once.
 BLOCK = 512
+#: Rounds of comparing the classes of a band with one of them.
+ROUNDS = 1
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +122,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         run, "id long, node long, n long, d1 long, d2 long, regs binary")
 
 
-def _node_of(text: Column, k: int) -> Column:
-    @F.arrow_udf("long")
-    def node(texts: pa.Array) -> pa.Array:
+def _with_node(df: DataFrame, text: str, k: int) -> DataFrame:
+    """Rows without an id, with their node."""
+
+    def node(texts: pa.Array) -> list[pa.Array]:
+        texts = arrays.text_array(texts)
         out = np.zeros(len(texts), np.int64)
         for a, b in arrays.chunks(texts):
             out[a:b] = synthetic(digests(*shingle_sets(texts.slice(a, b - a), k), b - a)[0])
-        return pa.array(out)
+        return [pa.array(out)]
 
-    return node(text)
+    return arrays.add_columns(df, [text], "node long", node)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``node, text`` of all rows; rows without an id are few or none."""
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    unknown = docs.filter(F.col(id_col).isNull()).select(_node_of(F.col(text_col), k).alias("node"), F.col(text_col).alias("text"))
-    return known.unionByName(unknown)
+    unknown = docs.filter(F.col(id_col).isNull()).select(F.col(text_col).alias("text"))
+    return known.unionByName(_with_node(unknown, "text", k))
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -145,13 +151,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
 
-    @F.arrow_udf("boolean")
-    def fits(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        return pa.array(hopeful(_regs(ra), _regs(rb), np.asarray(na), np.asarray(nb), percent))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, ra, rb = batch.columns
+            keep = pa.array(hopeful(_regs(ra), _regs(rb), np.asarray(na), np.asarray(nb), percent))
+            yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    joined = pairs.join(one, "a").join(two, "b").filter(
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.filter(fits("ra", "rb", "na", "nb")).select("a", "b").distinct()
+    joined = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -178,32 +185,77 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs of different components inside bands, from ``key, node,
-    comp``. A large band is split into blocks, and each pair of blocks is a
-    group of its own, so no task holds more than two blocks."""
+def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of every group ``key, i, j``: blocks ``i`` and ``j`` of a band;
+    ``part`` says which a row is of. No group exceeds two blocks."""
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = rows.join(size, "key").join(classes.select("node", "n", "regs"), "node").withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "regs")
-
-    def compare(table: pa.Table) -> pa.Table:
+    placed = rows.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "band", "part", "node", "comp", *columns)
+
+
+def _partners(x: int, right: np.ndarray, inside: bool, node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray,
+              band: int, percent: int) -> np.ndarray:
+    """Rows of ``right`` to compare row ``x`` with: of other components,
+    hopeful, and first met in this band."""
+    ys = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if inside else True)]
+    if len(ys):
+        ys = ys[hopeful(regs[x][None], regs[ys], n[x:x + 1], n[ys], percent)]
+    if len(ys):
+        bands = regs.reshape(-1, REGISTERS // BAND, BAND)
+        same = (bands[x] == bands[ys]).all(axis=2) & (bands[x] != _EMPTY).any(axis=1)
+        ys = ys[same.argmax(axis=1) == band]
+    return ys
+
+
+def _undecided(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``key, band, node, comp`` of the classes that have somebody left to be
+    compared with in a band."""
+
+    def run(table: pa.Table) -> pa.Table:
         node, comp, n, part = (table.column(c).to_numpy() for c in ("node", "comp", "n", "part"))
         regs = _regs(table.column("regs"))
-        first, last = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        first, last, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
         left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
-        found_a, found_b = [], []
+        keep = np.zeros(len(node), bool)
         for x in left.tolist():
-            ys = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if first == last else True)]
+            ys = _partners(x, right, first == last, node, comp, n, regs, band, percent)
             if len(ys):
-                good = ys[hopeful(regs[x][None], regs[ys], n[x:x + 1], n[ys], percent)]
-                found_a += [node[x]] * len(good)
-                found_b += node[good].tolist()
-        a, b = np.asarray(found_a, np.int64), np.asarray(found_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                keep[x] = True
+                keep[ys] = True
+        return table.select(["key", "band", "node", "comp"]).filter(pa.array(keep))
+
+    sketched = _blocks(rows.join(classes.select("node", "n", "regs"), "node"), ["n", "regs"])
+    return sketched.groupBy("key", "i", "j").applyInArrow(run, "key long, band int, node long, comp long").distinct()
+
+
+def _linked(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components inside bands, counted on full shingle sets
+    where the texts meet, so no pair without a link leaves a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, part = (table.column(c).to_numpy() for c in ("node", "part"))
+        comp = table.column("comp").to_numpy().copy()
+        first, last, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        values, of = shingle_sets(arrays.text_array(table.column("text")), k)
+        edges = arrays.row_starts(of, len(node))
+        n, regs = np.diff(edges), registers(values, of, len(node))
+        left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
+        found = []
+        for x in left.tolist():
+            own = values[edges[x]:edges[x + 1]]
+            for y in _partners(x, right, first == last, node, comp, n, regs, band, percent).tolist():
+                if comp[x] == comp[y]:  # linked meanwhile
+                    continue
+                both = np.concatenate([own, values[edges[y]:edges[y + 1]]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    found.append((node[x], node[y]))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
-    return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return _blocks(rows.join(texts, "node"), ["text"]).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
@@ -218,6 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Band candidates miss a pair at the limit with a probability of about 1e-6;
     every pair found is confirmed exactly. Other columns are ignored.
     """
+    arrays.small_batches(docs.sparkSession)
     rows = materialize(sketches(docs, id_col, text_col, k), "sketches")
     filled = rows.filter("n > 0")
     # one class for each distinct set; its node is its least document
@@ -228,28 +281,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(
         i.alias("i"), F.substring(F.col("regs"), 1 + i * bytes_, F.lit(bytes_)).alias("r")))
     keyed = materialize(classes.filter(F.col("n") >= least).select("node", F.explode(bands).alias("band")).filter(
-        F.col("band.r") != F.lit(b"\xff" * bytes_)).select(F.xxhash64("band.i", "band.r").alias("key"), "node"), "bands")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("_size")).filter("_size > 1")
-    shared = materialize(keyed.join(hubs.select("key", "a"), "key"), "shared-bands")
-    texts = _texts(docs, id_col, text_col, k)
+        F.col("band.r") != F.lit(b"\xff" * bytes_)).select(
+            F.xxhash64("band.i", "band.r").alias("key"), F.col("band.i").alias("band"), "node"), "bands")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = materialize(keyed.join(sizes, "key"), "shared-bands")
+    shared = materialize(met.join(met.groupBy("node").agg(F.sum("size").alias("rank")), "node").select(
+        "key", "band", "node", "rank"), "ranked-bands")
     # the texts that any comparison may need, once
-    wanted = shared.select("node").distinct()
-    texts = materialize(texts.join(wanted, "node", "left_semi"), "texts")
-    tried = materialize(_likely(shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), classes, percent), "pairs")
-    links = materialize(_confirmed(tried, texts, k, percent), "links-1")
-    so_far = components(links)
-    open_ = shared.select("key", "node").join(so_far, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    left = materialize(open_.join(mixed, "key").select("key", "node", "comp"), "open-bands")
-    more = _across(left, classes, percent).join(tried, ["a", "b"], "left_anti")
-    links2 = materialize(_confirmed(materialize(more, "pairs"), texts, k, percent), "links-2")
+    texts = materialize(_texts(docs, id_col, text_col, k).join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    open_ = shared.withColumn("comp", F.col("node"))
+    links = tried = hubs = None
+    for _ in range(ROUNDS):
+        left = open_ if hubs is None else open_.join(hubs, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("_hub")), "left_anti")
+        best = materialize(left.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("_n"), "comp")).alias("b")).select(
+            F.col("key").alias("_key"), (-F.col("b._n")).alias("_hub"), F.col("b.comp").alias("_comp")), "hubs")
+        pairs = open_.join(best, F.col("key") == F.col("_key")).filter("comp <> _comp").select(
+            F.least("node", "_hub").alias("a"), F.greatest("node", "_hub").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        found = materialize(_confirmed(materialize(_likely(pairs, classes, percent), "pairs"), texts, k, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        used = best.select("_key", "_hub")
+        hubs = used if hubs is None else hubs.unionByName(used)
+        now = shared.join(components(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        open_ = materialize(now.join(mixed, "key").select("key", "band", "node", "rank", "comp"), "open-bands")
+    undecided = materialize(_undecided(open_, classes, percent), "undecided")
+    links = links.unionByName(materialize(_linked(undecided, texts, k, percent), "links"))
     placed = materialize(rows.join(classes.select("d1", "d2", F.col("node").alias("class")), ["d1", "d2"], "left").withColumn(
         "class", F.when(F.col("n") > 0, F.col("class"))).select(
         "id", "node", "n", "class"), "classed")
     # rows of one id with several sets hang together
     several = placed.filter("n > 0").groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("hi")).filter("a < hi")
     same_id = placed.join(several.select("node", "a"), "node").select("a", F.col("class").alias("b")).filter("a <> b")
-    found = components(links.unionByName(links2).unionByName(same_id))
+    found = components(links.unionByName(same_id))
     return placed.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "id", "node", "n", F.coalesce("component", "class", "node").alias("component"))
 
@@ -270,14 +337,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """The rows of ``docs`` with one document of each component, unchanged.
     Of rows with the same id, or without ids and with the same set, one stays."""
     found = materialize(mark(near_duplicates(docs, id_col, text_col, k, percent)), "near-duplicates")
-    key = F.col(f"`{id_col}`")
-    dropped = found.filter("not kept and id is not null").select(F.col("id").alias("_gone")).distinct()
-    repeated = materialize(found.filter("id is not null").groupBy("id").count().filter("count > 1").select(
-        F.col("id").alias("_again")), "repeated")
-    known = docs.filter(key.isNotNull()).join(dropped, key == F.col("_gone"), "left_anti")
-    once = known.join(repeated, key == F.col("_again"), "left_anti")
+    # whole rows in one column, so that no column of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.col("row").getField(id_col)
+    dropped = found.filter("not kept and id is not null").select("id").distinct()
+    repeated = materialize(found.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    known = rows.filter(key.isNotNull()).withColumn("id", key.cast("long")).join(dropped, "id", "left_anti")
+    once = known.join(repeated, "id", "left_anti").select("row")
     if not repeated.isEmpty():
-        once = once.unionByName(known.join(repeated, key == F.col("_again"), "left_semi").dropDuplicates([id_col]))
-    unknown = docs.filter(key.isNull()).withColumn("_node", _node_of(F.col(text_col), k))
-    kept = found.filter("kept and id is null").select(F.col("node").alias("_kept")).distinct()
-    return once.unionByName(unknown.join(kept, F.col("_node") == F.col("_kept"), "left_semi").dropDuplicates(["_node"]).drop("_node"))
+        once = once.unionByName(known.join(repeated, "id", "left_semi").dropDuplicates(["id"]).select("row"))
+    unknown = _with_node(rows.filter(key.isNull()), f"row.{text_col}", k)
+    kept = found.filter("kept and id is null").select("node").distinct()
+    once = once.unionByName(unknown.join(kept, "node", "left_semi").dropDuplicates(["node"]).select("row"))
+    return once.select("row.*")
