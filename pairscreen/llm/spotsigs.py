@@ -47,7 +47,9 @@ def with_signatures(df: DataFrame, text: Column, name: str, anchors: list[str] =
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(flat, " {2,}", " ")), F.lit(" "))
     # after this every content word that follows an anchor carries a mark
     listed = "|".join(sorted(set(anchors), key=lambda w: (-len(w), w)))
-    marked = F.regexp_replace("_spaced", f"(?<= )(?:(?:{listed}) )+", _MARK)
+    # (one anchor at a time: Java's matcher recurses into repeated groups, and
+    # a text may be nothing but anchors)
+    marked = F.regexp_replace(F.regexp_replace("_spaced", f"(?<= )(?:{listed}) ", _MARK), f"{_MARK}+", _MARK)
     found = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?=([^ ]+(?: [^ ]+){{0,{chain - 1}}}))"), F.lit(1))
     hashed = F.transform("_found", lambda s: F.hash(F.translate(s, _MARK, "")))
     whole = F.when(F.length("_spaced") > 2, F.array(F.hash("_spaced"))).otherwise(F.array().cast("array<int>"))
