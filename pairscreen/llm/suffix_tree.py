@@ -4,37 +4,48 @@ Texts are read once into chunks: the distinct word hashes of a chunk, and its
 documents as numbers into them. Word counts come from the chunks' distinct
 words, and go back to the chunks the same way, so no join sees single tokens.
 
-The tree's alphabet is the words that make up at least ``LEAST_SYMBOL`` of all
-training tokens, the end mark, and one symbol for the rest. A context of one to
-``DEPTH`` symbols is a candidate if at least ``LEAST_CONTEXT`` of all tokens
-follow it, and is kept if its next symbols differ from those of its longest
+The tree's alphabet is the words that training texts have ``LEAST_SYMBOL`` times or
+more, the end mark, and one symbol for the rest. A context of one to
+``DEPTH`` symbols is a candidate if it comes ``LEAST_CONTEXT`` times or more,
+and is kept if its next symbols differ from those of its longest
 kept suffix by a likelihood-ratio test. Its distribution is discounted
 and filled up with its parent's. A token is scored in the longest kept suffix of what
 precedes it; inside the rest, by its own discounted count, and an unknown word by the
 mass that discounting freed.
+
+Both bounds are counts, so the tree grows with the input, and nobody holds it:
+chunks send their distinct runs of a level to shards of contexts, which add them up,
+test the contexts and answer every chunk in the order of its question. The next level
+starts from the answers. A hot context's runs go to all shards.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscreen.llm import arrays
 from pairscreen.session import materialize
 
 CHUNK_BYTES = 8 << 20  # a batch at most
-LEAST_SYMBOL = 1e-3
-LEAST_CONTEXT = 5e-4
+#: Occurrences in training texts.
+LEAST_SYMBOL = 5
+LEAST_CONTEXT = 5
 DEPTH = 3
 #: Standard deviations above its mean that the test statistic must lie.
 CRITICAL = 3.09
 END = 0x3C656E643E  # stands for the end mark among word hashes
+REST = 0x6D1B8A4F35C927E3  # and this for the rest among symbols
+#: Training tokens whose runs a shard counts, on average at most twice as many.
+SHARD_TOKENS = 1 << 20
 
 CHUNKS = ("chunk long, ids array<{id}>, held array<boolean>, lengths array<int>, words array<long>, train array<int>, "
           "tokens binary")
@@ -110,6 +121,254 @@ def _contexts(symbols: np.ndarray, lengths: np.ndarray, depth: int, end: int) ->
     return out
 
 
+def _word_replies(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``of, pos, c``: training counts of a chunk's words, those that have any."""
+    asked = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
+    return asked.join(counts, "word").select(F.col("chunk").alias("of"), "pos", "c")
+
+
+def _combine(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Key of a run of symbols, from that of all but its last."""
+    return key * np.uint64(0x9E3779B97F4A7C15) + symbol
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+@dataclass
+class Model:
+    """What every task is told: totals, and by depth the discount and the hot
+    contexts, sorted, with how many symbols follow each (0: not kept)."""
+
+    total: int
+    distinct: int
+    discount: float
+    rest: float  # probability of the rest without a context
+    rest_count: int
+    least_symbol: float
+    least_context: float
+    bits: int  # of the number of shards
+    discounts: list[float]
+    hot: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _model(counts: DataFrame) -> Model:
+    c, symbol = F.col("c"), (F.col("c") >= LEAST_SYMBOL) | (F.col("word") == END)
+    total, distinct, once, twice, often, symbols = (int(v) for v in counts.agg(
+        F.coalesce(F.sum(c), F.lit(0)), F.count("*"), F.count_if(c == 1), F.count_if(c == 2),
+        F.coalesce(F.sum(F.when(symbol, c)), F.lit(0)), F.count_if(symbol)).first())
+    d = _discount(once, twice)
+    rest = max((total - often + d * symbols) / max(total, 1), 1e-12)
+    return Model(total, distinct, d, rest, total - often, LEAST_SYMBOL, max(LEAST_CONTEXT, 1),
+                 max(4, (total // SHARD_TOKENS).bit_length()), [], [])
+
+
+def _pack(*parts: np.ndarray) -> bytes:
+    import zstandard
+
+    sizes = np.asarray([len(x) for x in parts], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *[x.tobytes() for x in parts]]))
+
+
+def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)).tolist(), kinds):
+        out.append(np.frombuffer(data, kind, size, at))
+        at += out[-1].nbytes
+    return out
+
+
+class _Walk:
+    """The tokens of a chunk, each with its context of the present depth: that
+    context's ``key`` and training count ``n`` (0: no candidate), the ``run`` it makes
+    with the token, and the token's probability ``p`` in its longest kept context so far."""
+
+    def __init__(self, row: dict, count: np.ndarray, model: Model):
+        self.tokens, self.lengths, words = _decode(row)
+        self.model, self.count = model, count
+        self.known = (count > 0) & ((count >= model.least_symbol) | (words == END))
+        symbol = np.where(self.known, words.view(np.uint64), np.uint64(REST))
+        end = int(np.flatnonzero(words == END)[0])
+        before = _contexts(self.tokens, self.lengths, 1, end)[0]
+        self.symbols = symbol[self.tokens]
+        self.key = symbol[before]
+        self.n = np.where(self.known, count, model.rest_count)[before]
+        self.p = np.where(self.known, (count - model.discount) / max(model.total, 1), model.rest)[self.tokens]
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[np.cumsum(self.lengths) - self.lengths] = True
+
+    def ask(self) -> None:
+        """Distinct runs of candidate contexts, in order of shards and contexts.
+        A context's runs are in one shard; those of a hot one, more than a
+        shard's share of all tokens, in all."""
+        bits = np.uint64(self.model.bits)
+        self.run = _combine(self.key, self.symbols)
+        self.here = np.flatnonzero(self.n >= self.model.least_context)
+        runs, first, of = np.unique(self.run[self.here], return_index=True, return_inverse=True)
+        keys, n = self.key[self.here][first], self.n[self.here][first]
+        hot = n > self.model.total >> self.model.bits
+        place = arrays.mix(keys)
+        top = arrays.mix(runs[hot]) >> (np.uint64(64) - bits) << (np.uint64(64) - bits)
+        place[hot] = top | (place[hot] >> bits)
+        order = np.argsort(place, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.at = rank[of]  # of tokens, among runs
+        self.runs, place, keys, hot = runs[order], place[order], keys[order], hot[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
+        self.entry = np.cumsum(new) - 1  # of runs, among contexts
+        self.starts = np.flatnonzero(new)
+        self.keys, self.is_hot = keys[new], hot[new]
+        self.shard = (place[new] >> (np.uint64(64) - bits)).astype(np.int64)
+
+    def questions(self, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """By shard: contexts, whether hot, the sum of their training tokens' log
+        probabilities, their numbers of runs; runs and training counts."""
+        train = np.repeat(~held, self.lengths)[self.here].astype(float)
+        n = np.bincount(self.at, train, len(self.runs)).astype(np.uint32)
+        logs = np.bincount(self.entry[self.at], train * np.log(self.p[self.here]), len(self.keys))
+        sizes = np.diff(np.append(self.starts, len(self.runs)))
+        edges = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            i, j = self.starts[a], self.starts[b] if b < len(self.starts) else len(self.runs)
+            yield int(self.shard[a]), _pack(self.keys[a:b], self.is_hot[a:b].astype(np.uint8), logs[a:b], sizes[a:b].astype(np.uint32),
+                                            self.runs[i:j], n[i:j])
+
+    def go(self, depth: int, blobs: list[bytes]) -> None:
+        """On to contexts of one more symbol, by the shards' replies in order."""
+        self.ask()
+        replies = [_unpack(x, np.uint32, np.int64) for x in blobs]
+        types = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in replies]]).astype(np.int64)
+        n = np.concatenate([np.zeros(0, np.int64), *[x for _, x in replies]])
+        keys, followers = self.model.hot[depth - 1]
+        if self.is_hot.any():
+            types[self.is_hot] = followers[np.searchsorted(keys, self.keys[self.is_hot])]
+        self.types, self.counts = types, n
+        d, here = self.model.discounts[depth - 1], self.here
+        n, types = n[self.at], types[self.entry[self.at]]
+        inside = (np.maximum(n - d, 0) + d * types * self.p[here]) / self.n[here]
+        self.p[here] = np.where(types > 0, inside, self.p[here])
+        longer = np.zeros(len(self.tokens), np.int64)
+        longer[here] = n
+        self.key, self.n = np.roll(self.run, 1), np.where(self.first, 0, np.roll(longer, 1))
+
+
+def _by_depth(replies: pa.Table) -> dict[int, list[bytes]]:
+    by: dict[int, list] = {}
+    for depth, _, blob in sorted(zip(*[replies.column(k).to_pylist() for k in ("depth", "shard", "blob")])):
+        by.setdefault(depth, []).append(blob)
+    return by
+
+
+def _walk(left: pa.Table, right: pa.Table, model: Model, depth: int) -> _Walk:
+    """The chunk at contexts of ``depth`` symbols, by all replies so far: word
+    counts by place as plain columns, or as the reply at depth 0."""
+    row = {k: left.column(k)[0] for k in ("tokens", "lengths", "words")}
+    count = np.zeros(len(row["words"].values), np.int64)
+    if "pos" in right.column_names:
+        count[right.column("pos").to_numpy()] = right.column("c").to_numpy()
+        return _Walk(row, count, model)
+    by = _by_depth(right)
+    walk = _Walk(row, _unpack(by[0][0], np.int64)[0], model)
+    for d in range(1, depth):
+        walk.go(d, by.get(d, []))
+    return walk
+
+
+def _ask(model: Model, depth: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk, held = left.column("chunk")[0].as_py(), np.asarray(left.column("held")[0].values)
+        walk = _walk(left, right, model, depth)
+        walk.ask()
+        rows = list(walk.questions(held))
+        if depth == 1:  # a group of its own, to come back as it is
+            rows.append((-1 - chunk, _pack(walk.count)))
+        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
+                         "blob": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
+
+
+REPLIES = "chunk long, depth int, shard long, blob binary, key long, n long, types long, part double"
+
+
+def _passes(n: np.ndarray, types: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The likelihood-ratio test; ``part`` sums n_x log(n_x / parent(x))."""
+    free = np.maximum(types - 1, 1)
+    return (n > 0) & (2 * (part - n * np.log(np.maximum(n, 1))) > free + CRITICAL * np.sqrt(2 * free))
+
+
+def _reply(depth: int):
+    """Counts and the test in one shard. Rows: replies to chunks; parts of hot
+    contexts (chunk -1); how many runs came once and twice (chunk -2)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, chunks, blobs = table.column("shard")[0].as_py(), table.column("chunk").to_pylist(), table.column("blob").to_pylist()
+        out: list[tuple] = []
+        if shard < 0:
+            out = [(chunks[0], 0, shard, blobs[0], None, None, None, None)]
+        else:
+            got = [_unpack(x, np.uint64, np.uint8, np.float64, np.uint32, np.uint64, np.uint32) for x in blobs]
+            keys, hot, logs, sizes, runs, n = (np.concatenate(x) for x in zip(*got))
+            keys, first, entry = np.unique(keys, return_index=True, return_inverse=True)
+            hot = hot[first].astype(bool)
+            logs = np.bincount(entry, logs, len(keys))
+            runs, first, of = np.unique(runs, return_index=True, return_inverse=True)
+            total = np.bincount(of, n, len(runs)).astype(np.int64)
+            context = np.repeat(entry, sizes)[first]
+            n = np.bincount(context, total, len(keys))
+            types = np.bincount(context[total > 0], minlength=len(keys))
+            part = np.bincount(context, total * np.log(np.maximum(total, 1)), len(keys)) - logs
+            kept = np.where(_passes(n, types, part) & ~hot, types, 0).astype(np.uint32)
+            i = j = 0
+            for chunk, x in zip(chunks, got):
+                a, b = i + len(x[0]), j + len(x[4])
+                out.append((chunk, depth, shard, _pack(kept[entry[i:a]], total[of[j:b]]), None, None, None, None))
+                i, j = a, b
+            for k in np.flatnonzero(hot).tolist():
+                out.append((-1, depth, shard, None, int(keys[k].view(np.int64)), int(n[k]), int(types[k]), float(part[k])))
+            out.append((-2, depth, shard, None, None, int((total == 1).sum()), int((total == 2).sum()), None))
+        names = [x.split()[0] for x in REPLIES.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table({k: pa.array(list(v), t) for k, t, v in zip(names, kinds, zip(*out))})
+
+    return run
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _learn(chunks: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+    """All replies to the chunks, level by level. The driver receives at most one
+    row per shard and hot context, no state of the others."""
+    spark, levels = chunks.sparkSession, None
+    asking = chunks.select("chunk", "held", "lengths", "words", "tokens")
+    for depth in range(1, DEPTH + 1):
+        asked = asking.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(
+            _ask(model, depth), "shard long, chunk long, blob binary")
+        level = materialize(asked.groupBy("shard").applyInArrow(_reply(depth), REPLIES), "suffix-level")
+        once, twice = level.filter("chunk = -2").agg(F.sum("n"), F.sum("types")).first()
+        hot = level.filter("chunk = -1").groupBy("key").agg(F.sum("n"), F.sum("types"), F.sum("part")).collect()
+        keys = np.asarray([r[0] for r in hot], np.int64).view(np.uint64)
+        n, types, part = (np.asarray([r[i] for r in hot], float) for i in (1, 2, 3))
+        order = np.argsort(keys)
+        model.hot.append((keys[order], np.where(_passes(n, types, part), types, 0).astype(np.int64)[order]))
+        model.discounts.append(_discount(once or 0, twice or 0))
+        level = level.filter("chunk >= 0").select(F.col("chunk").alias("of"), "depth", "shard", "blob")
+        levels = level if levels is None else levels.unionByName(level)
+        replies = levels
+        _release(spark)
+    return replies
+
+
 @dataclass
 class Tree:
     """``words`` (sorted hashes) are symbols 1, 2, ...; 0 is the rest.
@@ -127,158 +386,85 @@ class Tree:
     state: list[np.ndarray]
     logs: np.ndarray
 
-    def symbol_of(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.symbols[at], 0)
-
-    def numbers(self, back: list[np.ndarray]) -> list[np.ndarray]:
-        """Number of the candidate context of each depth before every token, or -1.
-        A context of d + 1 symbols is found as (its first d, its last)."""
-        out = []
-        for d, table in enumerate(self.index):
-            if d == 0:
-                out.append(np.where(back[0] >= 0, table[np.maximum(back[0], 0)], -1))
-                continue
-            first = self._first(back, d)
-            ok = (first >= 0) & (back[0] >= 0)
-            out.append(np.where(ok, table[np.maximum(first, 0), np.maximum(back[0], 0)], -1))
-        return out
-
-    def _first(self, back: list[np.ndarray], d: int) -> np.ndarray:
-        """Number of the context of d symbols that ends one place earlier."""
-        at = np.where(back[d] >= 0, self.index[0][np.maximum(back[d], 0)], -1)
-        for k in range(1, d):
-            last = back[d - k]
-            ok = (at >= 0) & (last >= 0)
-            at = np.where(ok, self.index[k][np.maximum(at, 0), np.maximum(last, 0)], -1)
-        return at
-
-
-def _context_counts(chunks: DataFrame, tree: Tree, n: int) -> DataFrame:
-    """``s, x, n``: how often symbol ``x`` follows each of the ``n`` candidate
-    contexts of the deepest level, in training documents."""
-    wide, depth = len(tree.symbols) + 1, len(tree.index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * wide, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens, lengths, words = _decode({c: batch.column(c)[i] for c in ("tokens", "lengths", "words")})
-                symbols = tree.symbol_of(words)[tokens]
-                at = tree.numbers(_contexts(symbols, lengths, depth, tree.end))[-1]
-                held = np.asarray(batch.column("held")[i].values)
-                ok = (at >= 0) & np.repeat(~held, lengths)
-                total += np.bincount(at[ok] * wide + symbols[ok], minlength=len(total))
-        full = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(full // wide), pa.array(full % wide), pa.array(total[full])], names=["s", "x", "n"])
-
-    return chunks.select("held", "lengths", "words", "tokens").mapInArrow(run, "s long, x long, n long").groupBy(
-        "s", "x").agg(F.sum("n").alias("n"))
-
-
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-
 
 def grow(chunks: DataFrame, counts: DataFrame) -> Tree:
-    """The tree of the training documents. The driver holds the alphabet (at most
-    1 / LEAST_SYMBOL words) and, level by level, counts of at most 1 / LEAST_CONTEXT contexts
-    by symbol, whatever the input."""
-    stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    total, distinct, once, twice = (int(v) for v in stats)
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    rows = counts.filter((F.col("c") >= LEAST_SYMBOL * total) | (F.col("word") == END)).collect()
+    """The whole tree on the driver, for small inputs, to look at what ``score`` uses;
+    ``score`` itself never holds it."""
+    model = _model(counts)
+    rows = counts.filter((F.col("c") >= LEAST_SYMBOL) | (F.col("word") == END)).collect()
     often = sorted((int(r["word"]), int(r["c"])) for r in rows) or [(END, 0)]
     words = np.asarray([w for w, _ in often], np.int64)
-    c = np.asarray([n for _, n in often], float)
-    wide = len(words) + 1
-    end = int(np.flatnonzero(words == END)[0]) + 1 if END in words else 0
-    root = np.zeros(wide)
-    root[1:] = np.maximum(c - discount, 1e-9) / max(total, 1)
-    root[0] = max(1 - root.sum(), 1e-12)
-    tree = Tree(words, np.arange(1, wide), end, total, distinct, discount, [], [], np.log10(root)[None])
-    parts = [root]  # distributions by state
+    c = np.asarray([model.rest_count] + [n for _, n in often])
+    wide = len(c)
+    end = int(np.flatnonzero(words == END)[0]) + 1
+    hashes = np.concatenate([np.asarray([REST], np.uint64), words.view(np.uint64)])
+    root = (c - model.discount) / max(model.total, 1)
+    root[0] = model.rest
+    tree = Tree(words, np.arange(1, wide), end, model.total, model.distinct, model.discount, [], [], np.zeros(0))
+    parts = [np.maximum(root, 1e-300)]
     paths: dict[tuple, int] = {(): 0}  # kept context -> state
-    level = [(x,) for x in range(wide) if x == 0 or c[x - 1] >= LEAST_CONTEXT * total]
-    for depth in range(DEPTH if total else 0):
+    followers: list[dict] = [{} for _ in range(DEPTH)]
+    runs: list[dict] = [{} for _ in range(DEPTH)]
+    if model.total:
+        held, replies = chunks.toArrow(), _learn(chunks, _word_replies(chunks, counts), model).toArrow()
+        for i in range(held.num_rows):
+            own = replies.filter(pc.equal(replies.column("of"), held.column("chunk")[i]))
+            walk, by = _walk(held.slice(i, 1), own, model, 1), _by_depth(own)
+            for d in range(DEPTH):
+                walk.go(d + 1, by.get(d + 1, []))
+                followers[d].update(zip(walk.keys.tolist(), walk.types.tolist()))
+                runs[d].update(zip(walk.runs.tolist(), walk.counts.tolist()))
+    level = [((x,), hashes[x:x + 1]) for x in range(wide) if c[x] >= model.least_context]
+    previous: list[tuple] = []
+    for depth in range(DEPTH):
         if not level:
             break
-        if depth == 0:
-            table = np.full(wide, -1, np.int64)
-            for i, path in enumerate(level):
-                table[path[0]] = i
-        else:
-            table = np.full((len(previous), wide), -1, np.int64)
-            at = {path: i for i, path in enumerate(previous)}
-            for i, path in enumerate(level):
-                table[at[path[:-1]], path[-1]] = i
-        tree.index.append(table)
-        got = _context_counts(chunks, tree, len(level)).toPandas()
-        dense = np.zeros((len(level), wide))
-        dense[got["s"].to_numpy(int), got["x"].to_numpy(int)] = got["n"].to_numpy(float)
-        d = _discount(dense)
+        table = np.full((len(previous), wide) if depth else wide, -1, np.int64)
+        at = {path: i for i, (path, _) in enumerate(previous)}
         state = np.full(len(level), -1, np.int64)
-        for i, path in enumerate(level):
-            n = dense[i].sum()
-            if n < max(LEAST_CONTEXT * total, 1):
-                continue
-            suffix = path[1:]
-            while suffix not in paths:
-                suffix = suffix[1:]
-            parent = parts[paths[suffix]]
-            seen = dense[i] > 0
-            gain = 2 * float((dense[i][seen] * np.log(dense[i][seen] / n / parent[seen])).sum())
-            free = max(int(seen.sum()) - 1, 1)
-            if gain <= free + CRITICAL * np.sqrt(2 * free):
-                continue
-            cut = np.where(seen, np.maximum(dense[i] - d, 0), 0)
-            state[i] = len(parts)
-            paths[path] = len(parts)
-            parts.append((cut + (n - cut.sum()) * parent) / n)
+        longer = []
+        for i, (path, key) in enumerate(level):
+            table[(at[path[:-1]], path[-1]) if depth else path[0]] = i
+            after = _combine(key, hashes)
+            n = np.asarray([runs[depth].get(x, 0) for x in after.tolist()], float)
+            types = followers[depth].get(int(key[0]), 0)
+            if types:
+                suffix = path[1:]
+                while suffix not in paths:
+                    suffix = suffix[1:]
+                d = model.discounts[depth]
+                state[i] = paths[path] = len(parts)
+                parts.append((np.maximum(n - d, 0) + d * types * parts[paths[suffix]]) / n.sum())
+            longer += [(path + (int(x),), after[x:x + 1]) for x in np.flatnonzero(n >= model.least_context) if x != end]
+        tree.index.append(table)
         tree.state.append(state)
-        # candidates one symbol longer: frequent runs that do not cross documents
-        longer = np.argwhere(dense >= max(LEAST_CONTEXT * total, 1))
-        previous = level
-        level = [level[i] + (int(x),) for i, x in longer if x != end]
+        previous, level = level, longer
     tree.logs = np.log10(np.maximum(np.vstack(parts), 1e-300))
     return tree
 
 
-def _score(tree: Tree, kind: pa.DataType):
+def _score(model: Model, kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out = [], {k: [] for k in ("held_out", "n_tokens", "n_known", "base_score", "score")}
-        place, c = right.column("pos").to_numpy(), right.column("c").to_numpy()
-        for i in range(left.num_rows):
-            tokens, lengths, words = _decode({k: left.column(k)[i] for k in ("tokens", "lengths", "words")})
-            count = np.zeros(len(words))
-            count[place] = c
-            edges = np.concatenate([[0], np.cumsum(lengths)])
-
-            def per_row(values: np.ndarray) -> np.ndarray:
-                sums = np.concatenate([[0.0], np.cumsum(values)])
-                return sums[edges[1:]] - sums[edges[:-1]]
-
-            base = np.log10((count + 0.5) / (tree.total + 0.5 * (tree.distinct + 1)))
-            if tree.total:
-                own = np.where(count > 0, count - tree.discount, tree.discount * tree.distinct) / tree.total
-                symbol = tree.symbol_of(words)
-                inside = np.where(symbol == 0, np.log10(own) - tree.logs[0, 0], 0.0)
-                symbols = symbol[tokens]
-                state = np.zeros(len(tokens), np.int64)
-                for found, states in zip(tree.numbers(_contexts(symbols, lengths, len(tree.index), tree.end)), tree.state):
-                    here = np.where(found >= 0, states[np.maximum(found, 0)], -1)
-                    state = np.where(here >= 0, here, state)
-                scored = per_row(tree.logs[state, symbols] + inside[tokens])
-            else:
-                scored = per_row(base[tokens])
-            ids.append(left.column("ids")[i].values)
-            out["held_out"].append(left.column("held")[i].values)
-            out["n_tokens"].append(pa.array(lengths))
-            out["n_known"].append(pa.array(per_row((count > 0)[tokens]).astype(np.int64)))
-            out["base_score"].append(pa.array(per_row(base[tokens])))
-            out["score"].append(pa.array(scored))
-        return pa.table({"id": pa.chunked_array(ids, kind), **{k: pa.chunked_array(v) for k, v in out.items()}})
+        walk = _walk(left, right, model, DEPTH + 1 if model.total else 1)
+        tokens, lengths, count = walk.tokens, walk.lengths, walk.count
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+
+        def per_row(values: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0.0], np.cumsum(values)])
+            return sums[edges[1:]] - sums[edges[:-1]]
+
+        base = np.log10((count + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
+        if model.total:
+            own = np.where(count > 0, count - model.discount, model.discount * model.distinct) / model.total
+            inside = np.where(walk.known, 0.0, np.log10(own) - np.log10(model.rest))
+            scored = per_row(np.log10(np.maximum(walk.p, 1e-300)) + inside[tokens])
+        else:
+            scored = per_row(base[tokens])
+        held = left.column("held")[0].values
+        return pa.table({
+            "id": pa.chunked_array([left.column("ids")[0].values], kind), "held_out": held, "n_tokens": pa.array(lengths),
+            "n_known": pa.array(per_row((count > 0)[tokens]).astype(np.int64)), "base_score": pa.array(per_row(base[tokens])),
+            "score": pa.array(scored)})
 
     return run
 
@@ -296,12 +482,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     arrays.small_batches(docs.sparkSession)
     chunks = materialize(encode(docs, id_col, text_col, held_out), "chunks")
     counts = materialize(word_counts(chunks), "word-counts")
-    tree = grow(chunks, counts)
-    asked = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    replies = asked.join(counts, "word").select(F.col("chunk").alias("of"), "pos", "c")
+    model = _model(counts)
+    replies = _word_replies(chunks, counts)
+    if model.total:
+        replies = _learn(chunks, replies, model)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    scored = chunks.drop("train").groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(_score(tree, arrow), fields)
+    scored = chunks.drop("train").groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(_score(model, arrow), fields)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
-                         F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+                         F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -135,3 +135,42 @@ def test_contexts_stop_at_documents(lengths):
             assert one[place] == before[-1] and two[place] == (before[-2] if len(before) > 1 else -1)
             before.append(symbols[place])
             place += 1
+
+
+def test_rare_words_and_contexts_are_in_the_tree(spark):
+    """Words of a few occurrences among very many tokens are symbols and contexts, however large the rest."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(EN) for _ in range(100)), "en", "a") for i in range(600)]
+    rows += [(1000 + i, f"{rng.choice(EN)} seldom follows {rng.choice(EN)}", "en", "a") for i in range(12)]
+    docs = make_docs(spark, rows)
+    chunks = suffix_tree.materialize(suffix_tree.encode(docs, "doc_id", "text", F.lit(False)), "test-chunks")
+    counted = suffix_tree.word_counts(chunks)
+    few = [r.word for r in counted.collect() if r.c == 12]
+    tree = suffix_tree.grow(chunks, counted)
+    assert len(few) == 2 and set(few) <= set(tree.words.tolist())
+    one, two = (int(np.flatnonzero(tree.words == w)[0]) + 1 for w in few)
+    kept = [tree.state[0][tree.index[0][x]] for x in (one, two)]
+    assert max(kept) > 0  # 12 of 61,000 tokens make a kept context
+    logs = tree.logs[[k for k in kept if k > 0]]
+    assert max(logs[:, one].max(), logs[:, two].max()) > math.log10(0.9)  # "follows" after "seldom"
+
+
+def test_hot_contexts_over_shards(spark, monkeypatch):
+    """The same scores whether a context's runs are in one shard or in all."""
+    rng = random.Random(9)
+    docs = make_docs(spark, [(i, " ".join("the" if rng.random() < 0.3 else rng.choice(EN) for _ in range(60)), "en", "a") for i in range(150)])
+    many = {r.doc_id: r.score for r in suffix_tree.score(docs, held_col()).collect()}
+    make, made = suffix_tree._model, []
+
+    def one_shard(counts):
+        model = make(counts)
+        model.bits = 1
+        made.append(model)
+        return model
+
+    monkeypatch.setattr(suffix_tree, "_model", one_shard)
+    few = {r.doc_id: r.score for r in suffix_tree.score(docs, held_col()).collect()}
+    monkeypatch.setattr(suffix_tree, "_model", lambda counts: made.append(make(counts)) or made[-1])
+    suffix_tree.score(docs, held_col())
+    assert not len(made[0].hot[0][0]) and len(made[1].hot[0][0])
+    assert many.keys() == few.keys() and all(math.isclose(many[i], few[i], rel_tol=1e-9) for i in many)
