@@ -153,6 +153,18 @@ def test_quality_threshold_is_the_quantile(spark):
     assert quality.thresholds(scored, labels.limit(0), "doc_id", 1, 0.9) == [float("inf")]
 
 
+def test_quality_threshold_falls_back_to_the_language(spark):
+    lengths = len(quality.LENGTHS) + 1
+    # many documents of one length in two languages, few of another length, and a language of few
+    rows = [(i, 0, 1.0) for i in range(50)] + [(50 + i, lengths, 5.0) for i in range(50)]
+    rows += [(100, 1, 1.2), (101, lengths + 1, 5.2), (102, 2 * lengths, 3.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, cell int, log_ppl double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(103)], "doc_id long, quality int, toxic int")
+    got = quality.thresholds(scored, labels, "doc_id", 3 * lengths, 0.9)
+    assert got[1] == got[2] == got[0] < 1.1 and got[lengths + 1] == got[lengths] > 4.9
+    assert got[2 * lengths] > 4.9  # all together
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, None), (7, 0, 0), (None, 1, 0), (11, 1, 0), (11, 0, 0)],
                                    "doc_id long, quality int, toxic int")
