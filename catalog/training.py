@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.base import query, r, role, rounded
-from catalog.metrics import _confusion, _cut_cte
+from catalog.metrics import _cut_cte, _report_sql, _tidy
 from catalog.scoring import drug_and_protein_banks
-from pairscreen.operators import ranking, sampling, training
+from pairscreen.operators import optimise, sampling, training
 from pairscreen.plans.predict import prepare_pairs
 from pairscreen.plans.train import train_run, with_vectors
 from pairscreen.session import materialize
@@ -55,18 +56,26 @@ def quotas(spark, sf):
 
 
 @query("stage_gray_quota", """
-    SELECT stage, count(*) FILTER (label >= 0) + least(any_value(quota) * count(DISTINCT protein),
-           count(*) FILTER (label < 0)) AS rows
-    FROM {scored} AS s JOIN (VALUES ('pretrain', 3), ('cls_train', 2), ('rank_train', 0)) AS v(stage, quota) ON TRUE
-    GROUP BY stage""")
+    WITH s(stage, quota) AS (VALUES ('pretrain', 3), ('cls_train', 2), ('rank_train', 0)),
+    n AS (SELECT stage, quota, CAST(ceil((SELECT count(*) FROM {scored} AS x) / (8.0 * (8 + quota))) AS BIGINT) AS b FROM s)
+    SELECT stage, batch, CAST(slot AS INTEGER) AS slot, CAST(label AS INTEGER) AS label, CAST(q AS BIGINT) AS drawn,
+           CAST(q AS BIGINT) AS of_pool
+    FROM n, LATERAL (SELECT unnest(range(0, b)) AS batch) AS y, range(0, 8) AS z(slot),
+         LATERAL (VALUES (1, 4), (0, 4), (-1, quota)) AS v(label, q) WHERE q > 0""")
 def gray_quotas(spark, sf):
-    """Definitive rows plus the stage's gray allowance."""
+    """Every stage's draw with its own number of gray rows a protein; pools here are never short."""
     own = {"pretrain": 3, "cls_train": None, "rank_train": 0}
-    cells = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(sampling.stage_gray_quota(s, 2, own)).alias("quota"))
-                      for s in own])
-    df = role(spark, sf, "scored").select("protein", "label", F.explode(cells).alias("c"))
-    return df.groupBy("c.stage").agg((F.count_if(F.col("label") >= 0) + F.least(
-        F.max("c.quota") * F.count_distinct("protein"), F.count_if(F.col("label") < 0))).alias("rows"))
+    df = role(spark, sf, "scored")
+    truth = df.select("row_id", F.col("protein").alias("p"), F.col("label").alias("l"))
+    right = (F.col("p") == F.col("protein")) & (F.col("l") == F.col("label"))
+    out = None
+    for stage in own:
+        quota = sampling.stage_gray_quota(stage, 2, own)
+        drawn = sampling.balanced_sample(df, "protein", "row_id", **{**_QUOTA, "gray": quota})
+        part = drawn.join(truth, "row_id").groupBy("batch", "slot", "label").agg(
+            F.count("*").alias("drawn"), F.count_if(right).alias("of_pool")).withColumn("stage", F.lit(stage))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("pos_neg_pairs", """
@@ -105,28 +114,145 @@ def _training_pairs(spark, sf, label_mode):
 
 
 REG = 1e-4
-_RESIDUALS = """SELECT CAST(i AS INTEGER) AS pos, 0e0 AS residual
-    FROM range((SELECT 3 * max(len(embedding)) FROM embeddings)) AS t(i)"""
-
-
-def _residuals(spark, rows, model):
-    """Gradient by dimension of the pair vector, to two digits."""
-    found = training.gradient(rows, model, REG)
-    return spark.createDataFrame(list(enumerate(found)), "pos int, residual double").withColumn(
-        "residual", F.abs(F.round("residual", 2)))
 
-
-@query("train_cls", _RESIDUALS)
+# Gradients where all weights are zero, by dimension of the pair vector: SQL has them from the pairs themselves.
+_PAIR_VECTORS = """
+    e AS (SELECT drug_id, prot_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n
+          FROM {pairs} AS q WHERE prot_domain = 'virus' GROUP BY ALL),
+    b AS (SELECT CAST(vec_id AS STRING) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    x AS (SELECT prot_id, CASE WHEN p > 0 THEN 1 WHEN n > 0 THEN 0 ELSE -1 END AS label,
+                 d.v || t.v || list_transform(list_zip(d.v, t.v), lambda z: z[1] * z[2]) AS v
+          FROM e JOIN b AS d ON d.id = drug_id JOIN b AS t ON t.id = prot_id WHERE NOT (p > 0 AND n > 0)),
+    l AS (SELECT prot_id, label, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS pos FROM x)"""
+
+
+def _slope_sql(hard: str, gray: str, extra: str = "") -> str:
+    """Weighted mean slope of a row loss; ``hard`` and ``gray`` are a row's slope times its weight."""
+    return f"""WITH {_PAIR_VECTORS} SELECT CAST(pos AS INTEGER) AS pos, {r(f"""sum(CASE WHEN label >= 0 THEN {hard} ELSE {gray} END * v)
+        / sum(CASE WHEN label >= 0 THEN 1 ELSE 0.03 END)""")} AS start, 0e0 AS residual, TRUE AS lower FROM l {extra} GROUP BY pos"""
+
+
+_CLS_START = _slope_sql("(0.5 - label)", "0.009")
+# balance * u^2 * (slope + 2 u'/u * loss) at p = 1/2, with u = 1/2 and u' = (1 - 2t) / 4
+_FOCAL_START = _slope_sql("(0.25 * label + 0.75 * (1 - label)) * 0.25 * ((0.5 - label) + (1 - 2 * label) * ln(2))",
+                          "0.03 * (0.25 * 0.2 + 0.75 * 0.8) * 0.25 * (0.3 + 0.6 * ln(2))")
+_BCE_RANK_START = _slope_sql("(0.5 - label)", "0", "WHERE label >= 0")
+_GROUP_GAPS = f"""{_PAIR_VECTORS},
+    g AS (SELECT pos, prot_id, avg(v) FILTER (label = 1) - avg(v) FILTER (label = 0) AS gap FROM l GROUP BY pos, prot_id
+          HAVING count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label = 0) > 0)"""
+
+
+def _gap_sql(slope: str) -> str:
+    return f"""WITH {_GROUP_GAPS} SELECT CAST(pos AS INTEGER) AS pos, {r(f"{slope} * avg(gap)")} AS start, 0e0 AS residual,
+        TRUE AS lower FROM g GROUP BY pos"""
+
+
+def _fit_table(spark, fit, objective=None):
+    """By dimension: the gradient at the start, and what is left of it at the end as a share of its largest component;
+    ``lower`` says that the loss fell and, where ``objective`` is given, that no step of 1 % of the weights lowers it more.
+    The intercept is left out. An unfitted model leaves all of the gradient."""
+    lower = fit.loss < fit.start_loss
+    if objective is not None:
+        rng = np.random.default_rng(0)
+        size = 0.01 * float(np.linalg.norm(fit.weights))
+        for _ in range(4):
+            step = rng.normal(size=len(fit.weights))
+            lower = lower and objective(fit.weights + size * step / np.linalg.norm(step))[0] > fit.loss
+    share = np.abs(fit.gradient) / max(np.abs(fit.start).max(), 1e-300) if objective is None else np.zeros(len(fit.start))
+    n = len(fit.start) // 3 * 3
+    rows = [(k, float(fit.start[k]), float(share[k]), bool(lower)) for k in range(n)]
+    return spark.createDataFrame(rows, "pos int, start double, residual double, lower boolean").select(
+        "pos", rounded("start").alias("start"), F.abs(F.round("residual", 2)).alias("residual"), "lower")
+
+
+def _ml_table(spark, rows, model):
+    """The same for a fit of Spark ML, from its own objective."""
+    beta, bias = model.coefficients.toArray(), float(model.intercept)
+    start = training.gradient(rows, np.zeros(len(beta)), 0.0, REG)
+    left = training.gradient(rows, beta, bias, REG)
+    return _fit_table(spark, optimise.Fit(beta, 0.0, np.asarray(left), 1.0, np.asarray(start), 0))
+
+
+@query("train_cls", _CLS_START)
 def classifier(spark, sf):
     rows = training.cls_rows(_training_pairs(spark, sf, "gray"), "concat_product")
-    return _residuals(spark, rows, training.fit_cls(rows, REG))
+    return _ml_table(spark, rows, training.fit_cls(rows, REG))
 
 
-@query("train_rank", _RESIDUALS)
+@query("train_rank", """SELECT CAST(i AS INTEGER) AS pos, TRUE AS moved, 0e0 AS residual, TRUE AS lower
+    FROM range((SELECT 3 * max(len(embedding)) FROM embeddings)) AS t(i)""")
 def ranker(spark, sf):
+    """On a capped sample of pairs, so SQL knows only that the first gradient is gone; within a protein its own
+    vector makes no gap, so a third of the dimensions never move."""
     pairs = materialize(_training_pairs(spark, sf, "binary"), "pairs")
     rows = materialize(training.rank_differences(pairs, "protein", "row_id", "concat_product", cap=64), "gaps")
-    return _residuals(spark, rows, training.fit_rank(rows, REG))
+    table = _ml_table(spark, rows, training.fit_rank(rows, REG))
+    third = table.count() // 3
+    own = (F.col("pos") >= third) & (F.col("pos") < 2 * third)
+    return table.select("pos", (F.col("start") == 0).eqNullSafe(own).alias("moved"), "residual", "lower")
+
+
+def _features(spark, sf, label_mode):
+    return training.feature_rows(_training_pairs(spark, sf, label_mode))
+
+
+def _fitted(spark, objective, width, kinked=False):
+    return _fit_table(spark, optimise.fit(objective, np.zeros(width), 60, 1e-4), objective if kinked else None)
+
+
+@query("train_focal", _FOCAL_START)
+def focal_classifier(spark, sf):
+    rows = _features(spark, sf, "gray")
+    return _fitted(spark, training.cls_objective(rows, "focal", reg=REG), _width(rows) + 1)
+
+
+@query("train_rank_bce", _BCE_RANK_START)
+def plain_ranker(spark, sf):
+    rows = _features(spark, sf, "binary")
+    return _fitted(spark, training.rank_objective(rows, "bce", REG), _width(rows))
+
+
+@query("train_rank_bpr", _gap_sql("-0.5"))
+def pairwise_ranker(spark, sf):
+    """Over every pair."""
+    rows = _features(spark, sf, "binary")
+    return _fitted(spark, training.rank_objective(rows, "bpr", REG), _width(rows))
+
+
+@query("train_rank_margin", _gap_sql("-1"))
+def margin_ranker(spark, sf):
+    """Over every pair; the loss has kinks, so its end is no zero gradient but the lowest loss around."""
+    rows = _features(spark, sf, "binary")
+    return _fitted(spark, training.rank_objective(rows, "margin", 1e-2), _width(rows), True)
+
+
+def _width(rows):
+    return rows.select(F.size("features").alias("n")).first()["n"]
+
+
+@query("train_chain", """
+    SELECT 'pretrain' AS stage, TRUE AS lower, TRUE AS warm, 0e0 AS residual UNION ALL SELECT 'cls_train', TRUE, TRUE, 0e0""")
+def chain(spark, sf):
+    """A classifier of human pairs, and one of virus pairs that starts at its weights: ``warm`` says that the second fit
+    begins at the loss of the first one's weights, which is not that of zero weights. What is left of the
+    gradient is measured against that of zero weights."""
+    drugs, proteins = drug_and_protein_banks(spark, sf)
+    rows, fits, start = [], [], None
+    for stage, domain in (("pretrain", "human"), ("cls_train", "virus")):
+        attached = materialize(prepare_pairs(role(spark, sf, "pairs"), drugs, proteins, "gray", domain, "keep_hard"), "attached")
+        objective = training.cls_objective(training.feature_rows(with_vectors(attached, drugs, proteins)), reg=REG)
+        if start is None:
+            start = np.zeros(3 * 64 + 1)
+        cold = objective(np.zeros(len(start)))
+        found = optimise.fit(objective, start, 60, 1e-5)
+        again = objective(start)[0]
+        warm = found.start_loss == again and (not fits or abs(again - cold[0]) > 0)
+        share = float(np.abs(found.gradient).max() / np.abs(cold[1]).max())
+        rows.append((stage, bool(found.loss < found.start_loss), bool(warm), share))
+        fits.append(found)
+        start = found.weights
+    return spark.createDataFrame(rows, "stage string, lower boolean, warm boolean, residual double").withColumn(
+        "residual", F.abs(F.round("residual", 3)))
 
 
 @query("train_run")
@@ -136,8 +262,8 @@ def whole_run(spark, sf):
     part = lambda s, d: df.filter((F.col("split") == s) & (F.col("prot_domain") == d)).drop("split")
     drugs, proteins = drug_and_protein_banks(spark, sf)
     run = train_run(part("train", "human"), part("train", "virus"), part("val", "virus"), part("test", "virus"),
-                    drugs, proteins, policy="best_stage", on_mixture="keep_hard")
-    return ranking.long_report(run.test_report)
+                    drugs, proteins, policy="best_stage", on_mixture="keep_hard", epochs=(2, 3, 2))
+    return run.reports
 
 
 # -- epochs and stages ----------------------------------------------------------------------
@@ -178,17 +304,12 @@ def checkpoint(spark, sf):
     return training.select_checkpoint(_best(spark, sf), "best_stage", run=["run"])
 
 
-_EVAL_NAMES = ("f1", "acc", "balanced_acc", "precision", "recall", "threshold", "pp_mean", "n", "pos", "neg")
-
-
 def _evaluate_sql() -> str:
-    """Threshold from even users' rows, metrics on odd users' rows."""
-    cut = _cut_cte("cls", "cls_prob").replace("label >= 0", "label >= 0 AND CAST(protein AS BIGINT) % 2 = 0")
-    confusion = _confusion("cls_prob", "(SELECT t FROM cut_cls)").replace(
-        "label >= 0", "label >= 0 AND CAST(protein AS BIGINT) % 2 = 1")
-    cells = ", ".join(f"('cls_{n}', CAST({n} AS DOUBLE))" for n in _EVAL_NAMES)
-    return (f"WITH {cut}, c AS ({confusion}) SELECT x.metric, {r('x.value')} AS value FROM c, "
-            f"LATERAL (VALUES {cells}) AS x(metric, value)")
+    """Threshold from even users' rows, the whole report of odd users' rows."""
+    even, odd = ("label >= 0 AND CAST(protein AS BIGINT) % 2 = " + str(k) for k in (0, 1))
+    cut = _cut_cte("cls", "cls_prob").replace("label >= 0", even)
+    own = _report_sql("(SELECT t FROM cut_cls)", "(SELECT t FROM cut_rank)", _cut_cte("rank", "rank_prob"), False).replace("label >= 0", odd)
+    return own.replace("WITH ", f"WITH {cut}, ", 1)
 
 
 @query("evaluate_run", _evaluate_sql())
@@ -196,6 +317,4 @@ def evaluated(spark, sf):
     """Users are split in halves: one validates, the other tests."""
     df = role(spark, sf, "predictions")
     even = F.col("protein").cast("bigint") % 2 == 0
-    out = ranking.long_report(training.evaluate_run(df.filter(even), df.filter(~even)))
-    wanted = [f"cls_{n}" for n in _EVAL_NAMES]
-    return out.filter(F.col("metric").isin(wanted)).withColumn("value", rounded("value"))
+    return _tidy(training.evaluate_run(df.filter(even), df.filter(~even)))

@@ -1,25 +1,29 @@
-"""Linear heads fitted with Spark ML, and the choice among stages and epochs.
+"""Training of linear heads, and the choice among stages and epochs.
 
-Each stage is fitted on its own data; Spark ML offers no warm start, so
-stages are compared on validation data instead of chained.
+``train_cls`` and ``train_rank`` fit one head with Spark ML from nothing. ``train_stage`` fits from any
+start under any loss, epoch by epoch, and keeps a table of epochs that the stop rule reads
+and from which an interrupted run goes on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairscreen.functions.vectors import pair_features
-from pairscreen.operators.ranking import dual_head_report, select_threshold
+from pairscreen.operators import optimise
+from pairscreen.operators.ranking import (
+    confusion_metrics, curve_areas, dual_head_report, long_report, one_row, select_threshold)
 from pairscreen.operators.sampling import expand_gray, pos_neg_pairs
-from pairscreen.operators.scoring import LinearHead
+from pairscreen.operators.scoring import LinearHead, LinearModel
 from pairscreen.session import materialize
 
 # Fixed values ---------------------------------------------------------------
@@ -52,10 +56,9 @@ def head_from_coefficients(coefficients: Sequence[float], bias: float, mode: str
     return LinearHead(bias=bias, **cut)
 
 
-def gradient(rows: DataFrame, model: LogisticRegressionModel, reg: float) -> list[float]:
-    """Gradient of the fitted objective over ``label, weight, features`` rows;
+def gradient(rows: DataFrame, beta: np.ndarray, bias: float, reg: float) -> list[float]:
+    """Gradient of the logistic objective over ``label, weight, features`` rows;
     zero at the optimum. Tasks send one sum each, as wide as a feature vector."""
-    beta, bias = model.coefficients.toArray(), float(model.intercept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         total, weight = np.zeros(len(beta)), 0.0
@@ -185,8 +188,151 @@ def select_checkpoint(best: DataFrame, policy: str = "finetune", monitor: str =
     return rows.groupBy(*run).agg(chosen).select(*run, "b.stage", "b.best_epoch", "b.best_score")
 
 
+# -- training by epochs -----------------------------------------------------------------
+
+HISTORY = "stage string, epoch int, train_loss double, weights array<double>, " + ", ".join(f"{m} double" for m in MONITORS)
+
+
+@dataclass
+class Stage:
+    """``best`` has a row for each monitor; ``weights`` are those of the main monitor's best epoch."""
+
+    history: DataFrame
+    best: DataFrame
+    weights: np.ndarray
+    epochs: dict[int, np.ndarray]
+
+
+def feature_rows(pairs: DataFrame, mode: str = "concat_product", drug: str = "drug_vec", protein: str = "prot_vec",
+                 keep: Sequence[str] = ("row_id", "protein", "label")) -> DataFrame:
+    """Pairs with their vectors as ``features``, written once, and persisted in an order fixed by ``row_id`` for
+    all passes of a fit; ``unpersist`` them after it."""
+    built = materialize(pairs.select(*keep, pair_features(F.col(drug), F.col(protein), mode).alias("features")), "features")
+    return optimise.in_order(built, keep[:1]).persist()
+
+
+def cls_objective(rows: DataFrame, loss: str = "bce", pos_weight: float = 1.0, reg: float = 1e-4,
+                  gray_target: float = 0.20, gray_weight: float = 0.03, alpha: float = 0.25, gamma: float = 2.0) -> optimise.Objective:
+    """The classifier's loss, ``bce`` or ``focal``; the last weight is the bias."""
+    if loss not in ("bce", "focal"):
+        raise ValueError("loss must be bce or focal")
+    form = optimise.cross_entropy if loss == "bce" else optimise.focal(alpha, gamma)
+    return optimise.row_objective(rows, form, reg, pos_weight, gray_target, gray_weight)
+
+
+def rank_objective(rows: DataFrame, loss: str = "bpr", reg: float = 1e-4, margin: float = 0.2, group: str = "protein",
+                   row_id: str = "row_id") -> optimise.Objective:
+    """The ranking head's loss, without a bias: ``bpr`` or ``margin`` over every pair of a group's hard rows,
+    or ``bce`` over the hard rows."""
+    if loss not in ("bpr", "margin", "bce"):
+        raise ValueError("loss must be bpr, margin or bce")
+    if loss == "bce":
+        return optimise.row_objective(rows.filter(F.col("label").isin(0, 1)), reg=reg, intercept=False)
+    blocks = optimise.pair_blocks(rows, group, row_id).persist()
+    return optimise.pair_objective(blocks, optimise.bpr if loss == "bpr" else optimise.margin(margin), reg)
+
+
+def feature_logits(rows: DataFrame, heads: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> DataFrame:
+    """``model, row_id, protein, label`` and both heads' logits and probabilities for every named pair of
+    classification weights (bias last) and ranking weights: one scan of ``feature_rows`` serves all."""
+    names = [n for n, _, _ in heads]
+    cls, rank = (np.stack([np.asarray(h[k], float) for h in heads], axis=1) for k in (1, 2))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cls) - 1)
+            z, r = x @ cls[:-1] + cls[-1], x @ rank
+            for k, name in enumerate(names):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * batch.num_rows, pa.string()), *batch.columns[:3], pa.array(z[:, k]), pa.array(r[:, k])],
+                    names=["model", "row_id", "protein", "label", "cls_logit", "rank_logit"])
+
+    kind = dict(rows.dtypes)
+    scored = rows.select("row_id", "protein", "label", "features").mapInArrow(
+        run, f"model string, row_id {kind['row_id']}, protein {kind['protein']}, label {kind['label']}, cls_logit double, rank_logit double")
+    return scored.select("*", *[(1 / (1 + F.exp(-F.col(f"{h}_logit")))).alias(f"{h}_prob") for h in ("cls", "rank")])
+
+
+def monitor_values(scored: DataFrame, row_id: str = "row_id", group: str = "protein", metric: str = "f1") -> DataFrame:
+    """One row with the MONITORS of a prediction table, without the rest of its report."""
+    cls = one_row(curve_areas(scored, "cls_prob").select(F.col("average_precision").alias("cls_aupr")),
+                  confusion_metrics(scored, "cls_prob", select_threshold(scored, "cls_prob", metric)).select(
+                      F.col("f1").alias("cls_f1"), F.col("balanced_acc").alias("cls_balanced_acc")))
+    rank = curve_areas(scored, "rank_logit", [group]).agg(F.avg("average_precision").alias("rank_perprotein_aupr_mean"))
+    both = one_row(cls, rank)
+    half = lambda name: 0.5 * F.col(name) + 0.5 * F.col("rank_perprotein_aupr_mean")
+    return both.select("*", half("cls_aupr").alias("combo_cls_rank"), half("cls_f1").alias("combo_cls_f1_rank"),
+                       half("cls_aupr").alias("combo_aupr_ppaupr")).select(*MONITORS)
+
+
+def open_history(spark: SparkSession, path: str) -> DataFrame:
+    """The table of epochs at ``path``, created empty if there is none."""
+    spark.createDataFrame([], HISTORY).write.mode("ignore").parquet(path)
+    return spark.read.schema(HISTORY).parquet(path)
+
+
+def train_stage(spark: SparkSession, stage: str, objective: optimise.Objective, start: np.ndarray,
+                report: Callable[[np.ndarray], DataFrame], path: str, epochs: int, main: str = "cls_aupr",
+                patience: int = PATIENCE, steps: int = 5) -> Stage:
+    """Fit from ``start``, ``steps`` descent steps an epoch, until the stop rule of ``early_stop_select`` says
+    that the ``main`` monitor no longer improves.
+
+    ``report`` gives the MONITORS of weights on validation data. Every epoch is one row of the table at ``path``: loss,
+    monitors and weights. A run that finds rows there goes on after the last of them, from its
+    weights, and ends with the same rows as one that was never interrupted, as an epoch depends on
+    the weights before it alone. The driver holds one weight vector an epoch.
+    """
+    def mine() -> DataFrame:
+        return open_history(spark, path).filter(F.col("stage") == stage)
+
+    done = {r["epoch"]: np.asarray(r["weights"]) for r in mine().select("epoch", "weights").collect()}
+
+    def stopped() -> bool:
+        if not done:
+            return False
+        row = early_stop_select(mine(), [main], main, patience).first()
+        return row["last_epoch"] - (row["best_epoch"] or 0) >= patience
+
+    while len(done) < epochs and not stopped():
+        epoch = len(done) + 1
+        found = optimise.fit(objective, done.get(epoch - 1, np.asarray(start, float)), steps)
+        values = report(found.weights).first().asDict()
+        row = (stage, epoch, float(found.loss), found.weights.tolist(), *[values[m] for m in MONITORS])
+        spark.createDataFrame([row], HISTORY).coalesce(1).write.mode("append").parquet(path)
+        done[epoch] = found.weights
+    history = mine()
+    best = early_stop_select(history, MONITORS, main, patience)
+    chosen = best.filter(F.col("monitor") == main).first()
+    at = chosen["best_epoch"] if chosen else None
+    return Stage(history, best, done[at] if at else np.asarray(start, float), done)
+
+
 def evaluate_run(val: DataFrame, test: DataFrame, row_id: str = "row_id", group: str = "protein",
                  metric: str = "f1", minimum: float = 0.0) -> DataFrame:
     """Test report at the threshold that validation data selects."""
     cut = select_threshold(val, "cls_prob", metric, minimum)
     return dual_head_report(test, row_id, group, metric, threshold=cut)
+
+
+def evaluate_monitors(best: DataFrame, val: DataFrame, test: DataFrame, epoch_of: str = "model", row_id: str = "row_id",
+                      group: str = "protein", metric: str = "f1", minimum: float = 0.0) -> DataFrame:
+    """``monitor, epoch, split, metric, value``: for every monitor, the full report of its best epoch's predictions on
+    validation and on test data, the latter at the threshold that validation selects.
+
+    ``best`` is ``early_stop_select``'s table; ``val`` and ``test`` hold the predictions of several epochs, named in
+    ``epoch_of``. Monitors that chose the same epoch share its reports; a monitor without an epoch has none.
+    """
+    chosen = best.filter("best_epoch is not null").select("monitor", F.col("best_epoch").cast("string").alias("epoch"))
+    epochs = sorted(r["epoch"] for r in chosen.select("epoch").distinct().collect())  # at most one a monitor
+    out = None
+    for epoch in epochs:
+        own_val, own_test = (df.filter(F.col(epoch_of) == epoch) for df in (val, test))
+        cut = select_threshold(own_val, "cls_prob", metric, minimum)
+        for split, row in (("val", dual_head_report(own_val, row_id, group, metric, minimum, threshold=cut)),
+                           ("test", dual_head_report(own_test, row_id, group, metric, threshold=cut))):
+            part = long_report(row).select(F.lit(epoch).alias("epoch"), F.lit(split).alias("split"), "metric", "value")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return chosen.limit(0).select("monitor", F.col("epoch").cast("int").alias("epoch"), F.lit("").alias("split"), F.lit("").alias("metric"),
+                                      F.lit(0.0).alias("value"))
+    return chosen.join(out, "epoch").select("monitor", F.col("epoch").cast("int").alias("epoch"), "split", "metric", "value")

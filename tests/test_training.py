@@ -127,8 +127,9 @@ def test_train_rank_minimises_the_pairwise_loss(spark, labelled):
     assert np.allclose(model.coefficients.toArray(), beta, atol=2e-3) and model.intercept == 0
 
 
-def test_whole_run(spark):
-    """Both heads learn a planted rule and the reports say so."""
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Pairs that follow a rule on their vectors."""
     rng = np.random.default_rng(3)
     d, p = rng.normal(size=(60, 4)), rng.normal(size=(9, 4))
 
@@ -141,17 +142,94 @@ def test_whole_run(spark):
 
     drugs = scans.scan_bank(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "drug_id long, vec array<float>"), ["drug_id"])
     prots = scans.scan_bank(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "prot_id long, vec array<float>"), ["prot_id"])
+    return table, drugs, prots
+
+
+def test_whole_run(spark, planted):
+    """Both heads learn a planted rule and the reports say so."""
+    table, drugs, prots = planted
     run = train_run(table([0, 1], "human"), table([2, 3, 4, 5], "virus"), table([6, 7], "virus"), table([8], "virus"), drugs, prots,
-                    policy="best_stage", max_iter=30)
+                    policy="best_stage", epochs=(1, 2, 1), steps=12)
     report = run.test_report.first()
     assert report["auc"] > 0.9 and report["perprotein_auc_mean"] > 0.9 and report["n_proteins"] == 1
     assert report["threshold"] == run.val_report.first()["threshold"]
+    history = {(r["stage"], r["epoch"]): r for r in run.history.collect()}
+    assert {s for s, _ in history} == {"pretrain", "cls_train", "rank_train"}
+    # every monitor has its reports, and the main one's are those returned
+    reports = {(r["monitor"], r["split"], r["metric"]): r["value"] for r in run.reports.collect()}
+    assert {m for m, _, _ in reports} == set(training.MONITORS)
+    best = {(r["stage"], r["monitor"]): r for r in run.best.collect()}
+    for m in training.MONITORS:
+        assert reports[m, "val", m] == pytest.approx(best["rank_train", m]["best_score"], abs=1e-9)
+    assert reports["combo_cls_rank", "test", "auc"] == pytest.approx(report["auc"])
     out = predict(table([8], "virus"), drugs, prots, [run.model], domain="virus")
     assert out.per_model.count() == out.ensemble.count() == sum(1 for i in range(60) if (i + 8) % 11)
-    with pytest.raises(ValueError, match="no usable"):
+    with pytest.raises(ValueError, match="no usable|None of"):
         predict(table([8], "virus").withColumn("prot_id", F.lit("77")), drugs, prots, [run.model])
 
 
+def stage_of(spark, planted, name="cls_train"):
+    from pairscreen.plans.predict import prepare_pairs
+    from pairscreen.plans.train import with_vectors
+
+    table, drugs, prots = planted
+    part = lambda t: training.feature_rows(with_vectors(prepare_pairs(table(t, "virus"), drugs, prots, "gray"), drugs, prots))
+    rows, val = part([2, 3, 4]), part([6, 7])
+    report = lambda w: training.monitor_values(training.feature_logits(val.filter("label >= 0"), [("x", w, w[:-1])]))
+    return rows, report, training.cls_objective(rows)
+
+
+def test_an_interrupted_stage_ends_with_the_same_rows(spark, planted, tmp_path):
+    rows, report, objective = stage_of(spark, planted)
+    whole = training.train_stage(spark, "cls_train", objective, np.zeros(13), report, str(tmp_path / "a"), 3, steps=2)
+    calls = []
+
+    def killed(theta):
+        calls.append(1)
+        if len(calls) > 7:
+            raise KeyboardInterrupt
+        return objective(theta)
+
+    with pytest.raises(KeyboardInterrupt):
+        training.train_stage(spark, "cls_train", killed, np.zeros(13), report, str(tmp_path / "b"), 3, steps=2)
+    before = training.open_history(spark, str(tmp_path / "b")).count()
+    assert 0 < before < 3
+    _, _, fresh = stage_of(spark, planted)  # as a new session would
+    resumed = training.train_stage(spark, "cls_train", fresh, np.zeros(13), report, str(tmp_path / "b"), 3, steps=2)
+    a, b = ([r for r in s.history.orderBy("epoch").collect()] for s in (whole, resumed))
+    assert [(r["epoch"], r["weights"], r["train_loss"]) for r in a] == [(r["epoch"], r["weights"], r["train_loss"]) for r in b]
+    assert whole.weights.tolist() == resumed.weights.tolist()
+
+
+def test_twins_tell_unfitted_and_half_fitted_models(spark, planted):
+    """The registered fits say a residual of 0; a model that was not fitted to the end says more."""
+    from catalog.training import _fit_table
+    from pairscreen.operators import optimise
+
+    _, _, objective = stage_of(spark, planted)
+    for steps, ends in ((0, False), (1, False), (60, True)):
+        table = _fit_table(spark, optimise.fit(objective, np.zeros(13), steps)).collect()
+        assert all(r["residual"] == 0 and r["lower"] for r in table) == ends
+        assert any(r["start"] != 0 for r in table)
+
+
+def test_a_stage_stops_by_its_monitor(spark, planted, tmp_path):
+    """A monitor that falls from the second epoch on ends the stage ``patience`` later, at the first epoch's weights."""
+    rows, report, objective = stage_of(spark, planted)
+    seen = []
+
+    def falling(theta):
+        seen.append(theta)
+        return report(theta).withColumn("cls_aupr", F.lit(1.0 / len(seen)))
+
+    stage = training.train_stage(spark, "cls_train", objective, np.zeros(13), falling, str(tmp_path / "h"), 9, patience=2, steps=1)
+    assert stage.history.count() == 3 and stage.weights.tolist() == seen[0].tolist()
+    with pytest.raises(ValueError):
+        training.cls_objective(rows, "hinge")
+    with pytest.raises(ValueError):
+        training.rank_objective(rows, "hinge")
+
+
 def test_bilinear_head_scores_like_its_pair_vector(spark):
     from pairscreen.functions.vectors import pair_features
 
