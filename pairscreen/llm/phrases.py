@@ -3,12 +3,13 @@
 Texts become chunks of one language, as numbers of words with a 0 at every break. Words that
 come LEAST times are numbered by falling frequency, so the pairs of frequent words fill a corner
 of the table of pairs: it is cut into tiles of TILE x TILE numbers, and a chunk counts
-a well-filled tile with one bincount. All other pairs are counted as sorted coordinates.
-Counts of tiles are added up tile by tile as streams, those of coordinates by a grouped sum.
+a well-filled tile with one bincount. All other pairs are counted as sorted coordinates, in
+shards by their hash. Both are added up as streams of parts.
 
 Frequent pairs are numbered by frequency again, and take the places of the numbers in the
 chunks; two such numbers side by side are a phrase of one word more, and the same counting
-finds the frequent ones. Nothing but the numbers of a chunk's own pairs returns to it.
+finds the frequent ones. A chunk asks the shards for its own pairs, if a map of bits of fixed
+size says that they may be frequent, and only their numbers return to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ TOP = 2000
 CHUNK_BYTES = 8 << 20
 #: Numbers along the side of a tile, and tiles along the side of the corner.
 TILE, SIDE = 256, 4
+#: Bits of the map that keeps questions about rare words and pairs from being asked.
+MAP_BITS = 1 << 26
+#: Sorted coordinates that a shard's sum holds beside those added up.
+HELD_PAIRS = 1 << 20
 #: A tile of a chunk with as many pairs is counted densely.
 DENSE = TILE * TILE // 8
 
@@ -43,16 +48,60 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09]] = True
 
 
-def _squeeze(values: np.ndarray) -> bytes:
+def _pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte of equal weight, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    out = []
+    for column in columns:
+        values = np.ascontiguousarray(column, np.int64)
+        width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+        out.append(np.asarray([len(values), width], np.int64).tobytes())
+        out.append(values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def _loose(blob: bytes, kind: str) -> np.ndarray:
+def _open(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    at, out = 0, []
+    while at < len(data):
+        n, width = data[at:at + 16].view(np.int64).tolist()
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = data[at + 16:at + 16 + n * width].reshape(width, n).T
+        out.append(whole.reshape(-1).view(np.int64))
+        at += 16 + n * width
+    return out
+
+
+def _bit_map(places: DataFrame) -> Broadcast:
+    """A map of MAP_BITS bits, set at ``place``, for all tasks: 8 MB at any size of the input. A bit
+    set by chance costs a question without an answer."""
+    rows = places.select((F.col("place") + 1).alias("at")).distinct().groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for bucket, part in rows:
+        bits[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
+    return places.sparkSession.sparkContext.broadcast(bits)
+
+
+def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
+def _place(i, j):
+    """Place of a pair in the map of bits: of columns and of arrays alike."""
+    return (i * 611_953 + j * 1_299_709) % MAP_BITS
+
+
+def _shard(i, j, shards: int):
+    return (i * 7919 + j * 104_729) % shards
+
+
+def _word_places(words: pa.Array) -> np.ndarray:
+    data, offsets = arrays.buffer(words)
+    return (arrays.span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(MAP_BITS)).astype(np.int64)
 
 
 def _numbers(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -91,7 +140,7 @@ def encode(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         pa.array([chunk], pa.int64()), pa.array([lang], pa.string()),
                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts, pa.int64())),
-                        pa.array([_squeeze(numbers.astype("<u4"))], pa.binary())], names=["chunk", "lang", "words", "counts", "numbers"])
+                        pa.array([_pack(numbers)], pa.binary())], names=["chunk", "lang", "words", "counts", "numbers"])
                     chunk += 1
 
     named = [F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")]
@@ -110,161 +159,191 @@ def _sides(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return here, numbers[here] - 1, numbers[here + 1] - 1
 
 
-def _tiles(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Tile of each pair in the corner of frequent numbers; -1 outside."""
-    corner = TILE * SIDE
-    return np.where((i < corner) & (j < corner), i // TILE * SIDE + j // TILE, -1)
-
-
 def _sorted_pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, and how often each comes."""
     rows, columns = np.unique(i), np.unique(j)
-    code = np.searchsorted(rows, i) * max(len(columns), 1) + np.searchsorted(columns, j)
-    code, n = np.unique(code, return_counts=True)
-    return rows[code // max(len(columns), 1)], columns[code % max(len(columns), 1)], n
+    wide = max(len(columns), 1)
+    code, n = np.unique(np.searchsorted(rows, i) * wide + np.searchsorted(columns, j), return_counts=True)
+    return rows[code // wide], columns[code % wide], n
 
 
-PARTS = "chunk long, lang string, tile int, cells binary, ns binary, is array<long>, js array<long>, counts array<long>"
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=0)
 
 
-def count_pairs(chunks: DataFrame) -> DataFrame:
-    """Pairs of every chunk: a row for each tile (its ``cells`` as sorted coordinates with
-    their counts ``ns``, or no cells and the whole tile's counts), and one of tile -1 for the
-    pairs outside the corner (``is, js, counts``)."""
+def count_pairs(chunks: DataFrame, shards: int) -> DataFrame:
+    """``chunk, lang, tile, blob``: the pairs of every chunk, by tile of the corner of frequent
+    numbers (all counts of a well-filled tile, else its cells in order and their counts) and by shard
+    of all others, numbered behind the tiles (sorted coordinates with counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lang, blob in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "numbers")]):
-                _, i, j = _sides(_loose(blob, "<i8"))
-                tile, rows = _tiles(i, j), []
+                _, i, j = _sides(*_open(blob))
+                corner = (i < TILE * SIDE) & (j < TILE * SIDE)
+                x, y = i[corner], j[corner]
+                tile, rows = x // TILE * SIDE + y // TILE, []
                 order = np.argsort(tile, kind="stable")
-                edges = np.searchsorted(tile[order], np.arange(-1, SIDE * SIDE + 1))
-                for t, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()), -1):
-                    if a == b:
-                        continue
-                    x, y = i[order[a:b]], j[order[a:b]]
-                    if t < 0:
-                        found = [v.tolist() for v in _sorted_pairs(x, y)]
-                        rows.append((chunk, lang, t, None, None, *found))
-                        continue
-                    cell = x % TILE * TILE + y % TILE
+                edges = np.searchsorted(tile[order], np.arange(SIDE * SIDE + 1)).tolist()
+                cell = (x % TILE * TILE + y % TILE)[order]
+                for t, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if b - a >= DENSE:
-                        rows.append((chunk, lang, t, None, _squeeze(np.bincount(cell, minlength=TILE * TILE).astype("<u4")), None, None, None))
-                    else:
-                        cells, n = np.unique(cell, return_counts=True)
-                        rows.append((chunk, lang, t, _squeeze(cells.astype("<u2")), _squeeze(n.astype("<u4")), None, None, None))
+                        rows.append((t, _pack(np.bincount(cell[a:b], minlength=TILE * TILE))))
+                    elif b > a:
+                        cells, n = np.unique(cell[a:b], return_counts=True)
+                        rows.append((t, _pack(_steps(cells), n)))
+                x, y, n = _sorted_pairs(i[~corner], j[~corner])
+                shard = _shard(x, y, shards)
+                order = np.argsort(shard, kind="stable")
+                edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist()
+                for a, b in zip(edges[:-1], edges[1:]):
+                    own = order[a:b]
+                    rows.append((SIDE * SIDE + int(shard[own[0]]), _pack(_steps(x[own]), y[own], n[own])))
                 if rows:
-                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-                    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
-                                          names=["chunk", "lang", "tile", "cells", "ns", "is", "js", "counts"])
+                    yield pa.record_batch([pa.array([chunk] * len(rows), pa.int64()), pa.array([lang] * len(rows), pa.string()),
+                                           pa.array([t for t, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
+                                          names=["chunk", "lang", "tile", "blob"])
 
-    return chunks.select("chunk", "lang", "numbers").mapInArrow(run, PARTS)
+    return chunks.select("chunk", "lang", "numbers").mapInArrow(run, "chunk long, lang string, tile int, blob binary")
 
 
 def _add_tiles(batches: Iterator[pa.RecordBatch]) -> tuple[str | None, int, np.ndarray]:
     """The sum of a tile's parts, read as a stream."""
     total, lang, tile = np.zeros(TILE * TILE, np.int64), None, 0
     for batch in batches:
-        for lang, tile, cells, ns, wide in zip(*[batch.column(c).to_pylist() for c in ("lang", "tile", "cells", "ns", "wide")]):
-            n = _loose(ns, "<i8" if wide else "<u4")
-            if cells is None:
-                total += n
+        for lang, tile, blob in zip(*[batch.column(c).to_pylist() for c in ("lang", "tile", "blob")]):
+            *cells, n = _open(blob)
+            if cells:
+                total[np.cumsum(cells[0])] += n
             else:
-                total[_loose(cells, "<u2")] += n
+                total += n
     return lang, tile, total
 
 
 def _part_of_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lang, tile, total = _add_tiles(batches)
-    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([tile], pa.int32()), pa.nulls(1, pa.binary()),
-                           pa.array([_squeeze(total)], pa.binary()), pa.array([True])], names=["lang", "tile", "cells", "ns", "wide"])
+    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([tile], pa.int32()), pa.array([_pack(total)], pa.binary())], names=["lang", "tile", "blob"])
+
+
+def _often(lang: str | None, i: np.ndarray, j: np.ndarray, n: np.ndarray, least: int) -> pa.RecordBatch:
+    own = np.flatnonzero(n >= least)
+    return pa.record_batch([pa.array([lang] * len(own), pa.string()), *[pa.array(v[own], pa.int64()) for v in (i, j, n)]], names=["lang", "i", "j", "a"])
 
 
 def _often_in_tile(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, tile, total = _add_tiles(batches)
-        cell = np.flatnonzero(total >= least)
-        yield pa.record_batch([
-            pa.array([lang] * len(cell), pa.string()), pa.array(tile // SIDE * TILE + cell // TILE, pa.int64()),
-            pa.array(tile % SIDE * TILE + cell % TILE, pa.int64()), pa.array(total[cell], pa.int64())], names=["lang", "i", "j", "a"])
+        cell = np.arange(TILE * TILE)
+        yield _often(lang, tile // SIDE * TILE + cell // TILE, tile % SIDE * TILE + cell % TILE, total, least)
+
+    return run
+
+
+def _often_in_shard(least: int):
+    """Sorted coordinates are added up whenever HELD_PAIRS of them have come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, lang = [np.zeros((3, 0), np.int64)], 0, None
+
+        def added() -> np.ndarray:
+            i, j, n = np.concatenate(held, axis=1)
+            order = np.lexsort((j, i))
+            i, j, n = i[order], j[order], n[order]
+            new = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
+            return np.stack([i[new], j[new], np.add.reduceat(n, new)]) if len(new) else np.zeros((3, 0), np.int64)
+
+        for batch in batches:
+            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("blob").to_pylist()):
+                i, j, n = _open(blob)
+                held.append(np.stack([np.cumsum(i), j, n]))
+                waiting += len(n)
+                if waiting > max(HELD_PAIRS, held[0].shape[1]):
+                    held, waiting = [added()], 0
+        yield _often(lang, *added(), least)
 
     return run
 
 
 def frequent_pairs(parts: DataFrame, least: int) -> DataFrame:
     """``lang, i, j, a`` of the pairs that come ``least`` times. A tile's parts are
-    added in as many sums as the session has shuffle partitions, and those in one, of which each
-    holds a tile and one part at a time."""
-    tiles = parts.filter("tile >= 0").select("lang", "tile", "cells", "ns", F.lit(False).alias("wide"), "chunk")
-    shape = "lang string, tile int, cells binary, ns binary, wide boolean"
-    some = tiles.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(parallelism(parts.sparkSession)))).groupBy("lang", "tile", "salt").applyInArrow(
-        _part_of_tile, shape)
-    often = some.groupBy("lang", "tile").applyInArrow(_often_in_tile(least), "lang string, i long, j long, a long")
-    flat = parts.filter("tile < 0").select("lang", F.explode(F.arrays_zip("is", "js", "counts")).alias("x"))
-    outside = flat.groupBy("lang", F.col("x.is").alias("i"), F.col("x.js").alias("j")).agg(F.sum("x.counts").alias("a"))
-    return often.unionByName(outside.filter(F.col("a") >= least))
-
-
-def _replies(parts: DataFrame, ranked: DataFrame) -> DataFrame:
-    """The numbers of a chunk's own frequent pairs: blobs by tile, and rows outside the corner."""
-    corner = TILE * SIDE
-    inside = (F.col("i") < corner) & (F.col("j") < corner)
-    cell = F.struct(((F.col("i") % TILE) * TILE + F.col("j") % TILE).alias("cell"), "id")
-    tiles = ranked.filter(inside).groupBy(
-        "lang", (F.floor(F.col("i") / TILE) * SIDE + F.floor(F.col("j") / TILE)).cast("int").alias("tile")).agg(
-            F.sort_array(F.collect_list(cell)).alias("known"))  # at most TILE * TILE
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    added in as many sums as the session has shuffle partitions, and those in one; a shard's parts are
+    added as they come. Each sum reads a stream and holds one tile, or its shard's distinct pairs."""
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(parallelism(parts.sparkSession)))
+    shape = "lang string, i long, j long, a long"
+    corner = F.col("tile") < SIDE * SIDE
+    some = parts.filter(corner).withColumn("salt", salt).groupBy("lang", "tile", "salt").applyInArrow(_part_of_tile, "lang string, tile int, blob binary")
+    tiles = some.groupBy("lang", "tile").applyInArrow(_often_in_tile(least), shape)
+    return tiles.unionByName(parts.filter(~corner).groupBy("lang", "tile").applyInArrow(_often_in_shard(least), shape))
+
+
+def _ask(chunks: DataFrame, bits: Broadcast, shards: int) -> DataFrame:
+    """``lang, shard, of, blob``: by shard, those pairs of a chunk that may be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                known = batch.column(4)[k].values
-                cells, ids = known.field("cell").to_numpy(), known.field("id").to_numpy()
-                blob = batch.column(2)[k].as_py()
-                if blob is None:
-                    own = np.flatnonzero(_loose(batch.column(3)[k].as_py(), "<u4"))
-                else:
-                    own = _loose(blob, "<u2")
-                both = np.isin(cells, own)
-                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), _squeeze(cells[both].astype("<u2")), _squeeze(ids[both].astype("<i8"))))
-            if rows:
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                                      names=["of", "tile", "cells", "ids"])
-
-    dense = parts.filter("tile >= 0").join(tiles, ["lang", "tile"]).select("chunk", "tile", "cells", "ns", "known").mapInArrow(
-        meet, "of long, tile int, cells binary, ids binary")
-    asked = parts.filter("tile < 0").select("chunk", "lang", F.explode(F.arrays_zip("is", "js")).alias("x")).select(
-        "chunk", "lang", F.col("x.is").alias("i"), F.col("x.js").alias("j"))
-    outside = asked.join(ranked.filter(~inside).select("lang", "i", "j", "id"), ["lang", "i", "j"]).select(
-        F.col("chunk").alias("of"), F.lit(-1).alias("tile"), "i", "j", "id")
-    return dense.unionByName(outside, allowMissingColumns=True)
-
-
-def _answer(numbers: np.ndarray, replies: pa.Table) -> np.ndarray:
+            for chunk, lang, blob in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "numbers")]):
+                _, i, j = _sides(*_open(blob))
+                often = _is_set(bits.value, _place(i, j))
+                i, j, _ = _sorted_pairs(i[often], j[often])
+                shard = _shard(i, j, shards)
+                order = np.argsort(shard, kind="stable")
+                edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist()
+                rows = [(int(shard[order[a]]), _pack(_steps(i[order[a:b]]), j[order[a:b]])) for a, b in zip(edges[:-1], edges[1:])]
+                if rows:
+                    yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int64()),
+                                           pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())],
+                                          names=["lang", "shard", "of", "blob"])
+
+    return chunks.select("chunk", "lang", "numbers").mapInArrow(run, "lang string, shard long, of long, blob binary")
+
+
+class _Known:
+    """Pairs and their numbers, to look others up in."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray):
+        self.rows, self.columns = np.unique(i), np.unique(j)
+        code = np.searchsorted(self.rows, i) * len(self.columns) + np.searchsorted(self.columns, j)
+        order = np.argsort(code)
+        self.code, self.ids = code[order], ids[order]
+
+    def find(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Numbers of pairs from 1; 0 for those not known."""
+        found = np.zeros(len(i), np.int64)
+        if not len(self.code):
+            return found
+        a = np.minimum(np.searchsorted(self.rows, i), len(self.rows) - 1)
+        b = np.minimum(np.searchsorted(self.columns, j), len(self.columns) - 1)
+        code = a * len(self.columns) + b
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        own = (self.rows[a] == i) & (self.columns[b] == j) & (self.code[at] == code)
+        found[own] = self.ids[at[own]] + 1
+        return found
+
+
+def _replies(chunks: DataFrame, ranked: DataFrame, shards: int) -> DataFrame:
+    """``of, blob``: the numbers of a chunk's own frequent pairs."""
+    asked = _ask(chunks, _bit_map(ranked.select(_place(F.col("i"), F.col("j")).alias("place"))), shards)
+    known = ranked.select("lang", _shard(F.col("i"), F.col("j"), shards).alias("shard"), F.lit(-1).cast("long").alias("of"), "i", "j", "id")
+
+    def answer(held: list, batch: pa.RecordBatch, k: int) -> bytes | None:
+        if not isinstance(held[0], _Known):
+            held[:] = [_Known(*[np.concatenate([part[n].to_numpy() for part in held]) for n in range(3)])]
+        i, j = _open(batch.column("blob")[k].as_py())
+        i = np.cumsum(i)
+        found = held[0].find(i, j)
+        own = found > 0
+        return _pack(_steps(i[own]), j[own], found[own] - 1) if own.any() else None
+
+    return _met(known, asked, ("i", "j", "id"), answer, parallelism(chunks.sparkSession))
+
+
+def _answer(numbers: np.ndarray, blobs: list[bytes]) -> np.ndarray:
     """Numbers of the pairs that begin at each place, from 1; 0 for those not frequent."""
     here, i, j = _sides(numbers)
-    tile, found = _tiles(i, j), np.zeros(len(here), np.int64)
-    of = replies.column("tile").to_numpy()
-    for k in np.flatnonzero(of >= 0).tolist():
-        table = np.zeros(TILE * TILE, np.int64)
-        table[_loose(replies.column("cells")[k].as_py(), "<u2")] = _loose(replies.column("ids")[k].as_py(), "<i8") + 1
-        own = tile == of[k]
-        found[own] = table[i[own] % TILE * TILE + j[own] % TILE]
-    rest = np.flatnonzero(of < 0)
-    if len(rest):
-        x, y, ids = (replies.column(c).take(pa.array(rest)).to_numpy() for c in ("i", "j", "id"))
-        rows, columns = np.unique(x), np.unique(y)
-        code = np.searchsorted(rows, x) * len(columns) + np.searchsorted(columns, y)
-        order = np.argsort(code)
-        out = np.flatnonzero(tile < 0)
-        a, b = np.searchsorted(rows, i[out]), np.searchsorted(columns, j[out])
-        known = (a < len(rows)) & (b < len(columns))
-        known[known] &= (rows[a[known]] == i[out][known]) & (columns[b[known]] == j[out][known])
-        asked = a[known] * len(columns) + b[known]
-        at = np.minimum(np.searchsorted(code[order], asked), len(order) - 1)
-        found[out[known]] = np.where(code[order][at] == asked, ids[order][at] + 1, 0)
+    parts = [_open(x) for x in blobs]
+    table = _Known(*[np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.cumsum(p[0]) for p in parts], [p[1] for p in parts], [p[2] for p in parts])])
     after = np.zeros(len(numbers), np.int64)
-    after[here] = found
+    after[here] = table.find(i, j)
     return after
 
 
@@ -276,27 +355,95 @@ def _trim(numbers: np.ndarray) -> np.ndarray:
 
 
 def _chunk_table(left: pa.Table, numbers: np.ndarray) -> pa.Table:
-    return pa.table({"chunk": left.column("chunk"), "lang": left.column("lang"), "numbers": pa.array([_squeeze(_trim(numbers).astype("<i8"))], pa.binary())})
+    return pa.table({"chunk": left.column("chunk"), "lang": left.column("lang"), "numbers": pa.array([_pack(_trim(numbers))], pa.binary())})
 
 
 def _words_to_ranks(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return _nothing()
-    rank = np.zeros(len(left.column("words")[0].values) + 1, np.int64)
-    rank[right.column("pos").to_numpy() + 1] = right.column("id").to_numpy() + 1
-    return _chunk_table(left, rank[_loose(left.column("numbers")[0].as_py(), "<u4")])
+    numbers = _open(left.column("numbers")[0].as_py())[0]
+    rank = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+    for blob in right.column("blob").to_pylist():
+        steps, ids = _open(blob)
+        rank[np.cumsum(steps) + 1] = ids + 1
+    return _chunk_table(left, rank[numbers])
 
 
 def _pairs_to_ranks(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return _nothing()
-    return _chunk_table(left, _answer(_loose(left.column("numbers")[0].as_py(), "<i8"), right))
+    return _chunk_table(left, _answer(_open(left.column("numbers")[0].as_py())[0], right.column("blob").to_pylist()))
 
 
 def _nothing() -> pa.Table:
     return pa.table({"chunk": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "numbers": pa.array([], pa.binary())})
 
 
+def _word_replies(chunks: DataFrame, ranked: DataFrame, shards: int) -> DataFrame:
+    """``of, blob``: places of a chunk's frequent words and their numbers, by shards like ``_replies``."""
+    spark = chunks.sparkSession
+    placed = materialize(arrays.add_columns(ranked.select("lang", "word", "id"), ["word"], "place long", lambda words: [pa.array(_word_places(words), pa.int64())]), "placed")
+    bits = _bit_map(placed.select("place"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, lang, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
+                place = _word_places(words)
+                often = np.flatnonzero(_is_set(bits.value, place))
+                shard = place[often] % shards
+                order = np.argsort(shard, kind="stable")
+                edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+                m, own = len(edges) - 1, often[order]
+                if m > 0:
+                    yield pa.record_batch([
+                        pa.array([lang] * m, pa.string()), pa.array(shard[order][edges[:-1]], pa.int64()), pa.array([chunk] * m, pa.int64()),
+                        pa.array([_pack(_steps(own[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words.take(pa.array(own)))], names=["lang", "shard", "of", "blob", "asked"])
+
+    asked = chunks.select("chunk", "lang", "words").mapInArrow(ask, "lang string, shard long, of long, blob binary, asked array<string>")
+    known = placed.select("lang", (F.col("place") % shards).alias("shard"), F.lit(-1).cast("long").alias("of"), "word", "id")
+
+    def answer(held: list, batch: pa.RecordBatch, k: int) -> bytes | None:
+        words, ids = (pa.concat_arrays([x[n] for x in held]) for n in range(2))
+        at = pc.index_in(batch.column("asked")[k].values, value_set=words)
+        found = np.flatnonzero(at.is_valid())
+        places = np.cumsum(_open(batch.column("blob")[k].as_py())[0])
+        return _pack(_steps(places[found]), ids.to_numpy()[at.drop_null().to_numpy()]) if len(found) else None
+
+    return _met(known, asked, ("word", "id"), answer, parallelism(spark))
+
+
+def _met(known: DataFrame, asked: DataFrame, columns: tuple, answer, n: int) -> DataFrame:
+    """``of, blob``: answers to the questions of each (lang, shard), made where it is read as a stream: first what is
+    known (``of`` is -1; its ``columns`` are held), then the questions, one at a time."""
+    both = known.unionByName(asked, allowMissingColumns=True)
+    names = ["lang", "shard", "of", *[c for c in both.columns if c not in ("lang", "shard", "of")]]
+    met = both.select(*names).repartition(n, "lang", "shard").sortWithinPartitions("lang", "shard", "of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            lang, shard, of = (batch.column(c).to_pylist() for c in ("lang", "shard", "of"))
+            kinds = [(x, y, z < 0) for x, y, z in zip(lang, shard, of)]
+            out, a = [], 0
+            while a < len(kinds):
+                b = a + 1
+                while b < len(kinds) and kinds[b] == kinds[a]:
+                    b += 1
+                if kinds[a][:2] != key:
+                    key, held = kinds[a][:2], []
+                if kinds[a][2]:
+                    held.append([batch.column(c).slice(a, b - a) for c in columns])
+                elif held:
+                    answers = [(of[k], answer(held, batch, k)) for k in range(a, b)]
+                    out += [x for x in answers if x[1] is not None]
+                a = b
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["of", "blob"])
+
+    return met.mapInArrow(run, "of long, blob binary")
+
+
 def _grown(ranked: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases with the counts of all that they begin with (``pre``) and end with (``suf``)."""
     one = shorter.select("lang", F.col("id").alias("i"), "phrase", "pre")
@@ -341,13 +488,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ranked = _ranked(materialize(words, "words"), ["word"], "ranks")
     held = F.array("a")
     phrases = ranked.select("lang", "id", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), held.alias("pre"), held.alias("suf"))
-    replies = chunks.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).join(
-        ranked.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "pos", "id")
-    now = materialize(chunks.select("chunk", "lang", "words", "numbers").groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(
+    shards = parallelism(docs.sparkSession)
+    replies = _word_replies(chunks, ranked, shards)
+    now = materialize(chunks.select("chunk", "lang", "numbers").groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(
         _words_to_ranks, "chunk long, lang string, numbers binary"), "numbered")
     levels: list[DataFrame] = []
     for size in range(2, LONGEST + 1):
-        parts = materialize(count_pairs(now), "pairs")
+        parts = materialize(count_pairs(now, shards), "pairs")
         found = materialize(frequent_pairs(parts, least), "frequent")
         if found.isEmpty():
             break
@@ -359,7 +506,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         phrases = materialize(_grown(ranked, phrases), "phrases")
         levels.append(phrases)
         if size < LONGEST:
-            now = materialize(now.groupBy("chunk").cogroup(_replies(parts, ranked).groupBy("of")).applyInArrow(
+            now = materialize(now.groupBy("chunk").cogroup(_replies(now, ranked, shards).groupBy("of")).applyInArrow(
                 _pairs_to_ranks, "chunk long, lang string, numbers binary"), "numbered")
     best = phrases.limit(0) if not levels else levels[0]
     for level in levels[1:]:
