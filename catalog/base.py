@@ -56,6 +56,16 @@ ROLES = {
                    CAST(event_id * 7919 % 1000 AS DOUBLE) / 250e0 - 2e0 AS rank_logit,
                    CAST(event_id % 11 AS DOUBLE) AS w
             FROM {events}) AS e""",
+    # the same pairs as another epoch scores them
+    "late_predictions": """
+        SELECT row_id, drug, protein, label, cls_logit, 1e0 / (1e0 + exp(-cls_logit)) AS cls_prob,
+               rank_logit, 1e0 / (1e0 + exp(-rank_logit)) AS rank_prob, w
+        FROM (
+            SELECT event_id AS row_id, CAST(event_id AS STRING) AS drug, CAST(user_id AS STRING) AS protein,
+                   CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 0 WHEN 'click' THEN 0 ELSE -1 END AS label,
+                   CAST(event_id * 6133 % 1000 AS DOUBLE) / 400e0 - 1e0 AS cls_logit,
+                   2e0 - value / 25e0 AS rank_logit, CAST(event_id % 11 AS DOUBLE) AS w
+            FROM {events}) AS e""",
     "history": """
         SELECT run, stage, CAST(row_number() OVER (PARTITION BY run, stage ORDER BY event_id) AS INT) AS epoch,
                CASE WHEN event_id % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS cls_aupr,

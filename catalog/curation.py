@@ -71,7 +71,7 @@ def safe(spark, sf):
 
 @query("attach_constant", "SELECT p_partkey, 'ChEMBL' AS source_db, 7 AS seed FROM part")
 def constants(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.lit("ChEMBL").alias("source_db"), F.lit(7).alias("seed"))
+    return library.attach_constants(table(spark, sf, "part").select("p_partkey"), source_db="ChEMBL", seed=7)
 
 
 # -- cascades ------------------------------------------------------------------------
@@ -278,16 +278,18 @@ def vowels(spark, sf):
         COALESCE(TRY_CAST(max_phase AS DOUBLE), -1) DESC, COALESCE(TRY_CAST(bioactivities AS DOUBLE), -1) DESC,
         COALESCE(TRY_CAST(targets AS DOUBLE), -1) DESC, CAST(name <> '' AS INT) DESC, chembl_id) AS k
         FROM qc WHERE st = 'ok')
-    SELECT 'qc' AS name, count(*) AS rows FROM qc UNION ALL SELECT 'drug2id', count(*) FROM best WHERE k = 1
-    UNION ALL SELECT 'metadata', count(*) FROM best WHERE k = 1""")
+    SELECT 'qc' AS name, COALESCE(SMILES, '') AS smiles, count(*) AS rows FROM qc GROUP BY ALL
+    UNION ALL SELECT 'drug2id', SMILES, count(*) FROM best WHERE k = 1 GROUP BY ALL
+    UNION ALL SELECT 'metadata', std, count(*) FROM best WHERE k = 1 GROUP BY ALL""")
 def written(spark, sf):
     out = curate_library(_cleaned(spark, sf), _describe)
     paths = sinks.write_tables({"qc": out.qc, "drug2id": out.drugs, "metadata": out.metadata},
                                scratch_path(spark, "library"), "csv")
     back = None
     for name, path in paths.items():
-        part = spark.read.option("header", True).csv(path).agg(F.count("*").alias("rows")).withColumn(
-            "name", F.lit(name))
+        key = "SMILES_Std" if name == "metadata" else "SMILES"
+        part = spark.read.option("header", True).csv(path).groupBy(
+            F.lit(name).alias("name"), F.coalesce(F.col(key), F.lit("")).alias("smiles")).agg(F.count("*").alias("rows"))
         back = part if back is None else back.unionByName(part)
     return back
 
@@ -304,6 +306,6 @@ def reported(spark, sf):
 
 @query("sort_output", "SELECT p_name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_name ORDER BY p_name")
 def sorted_output(spark, sf):
-    return table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n")).orderBy("p_name")
+    return sinks.sort_output(table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n")), ["p_name"])
 
 

@@ -318,3 +318,31 @@ def evaluated(spark, sf):
     df = role(spark, sf, "predictions")
     even = F.col("protein").cast("bigint") % 2 == 0
     return _tidy(training.evaluate_run(df.filter(even), df.filter(~even)))
+
+
+#: Of seven monitors, two chose the late epoch and one none.
+_CHOSEN = {"cls_aupr": 1, "cls_f1": 2, "cls_balanced_acc": 1, "rank_perprotein_aupr_mean": 2, "combo_cls_rank": 1,
+           "combo_cls_f1_rank": 1, "combo_aupr_ppaupr": None}
+
+
+def _monitors_sql() -> str:
+    even, odd = ("label >= 0 AND CAST(protein AS BIGINT) % 2 = " + str(k) for k in (0, 1))
+    cut = _cut_cte("cls", "cls_prob").replace("label >= 0", even)
+    parts = []
+    for epoch, rows in ((1, "{predictions}"), (2, "{late_predictions}")):
+        for split, own in (("val", even), ("test", odd)):
+            report = _report_sql("(SELECT t FROM cut_cls)", "(SELECT t FROM cut_rank)", _cut_cte("rank", "rank_prob"), False)
+            report = report.replace("label >= 0", own).replace("WITH ", f"WITH {cut}, ", 1).replace("{predictions}", rows)
+            parts.append(f"SELECT {epoch} AS epoch, '{split}' AS split, metric, value FROM ({report})")
+    chosen = ", ".join(f"('{m}', {e})" for m, e in _CHOSEN.items() if e)
+    return f"SELECT monitor, epoch, split, metric, value FROM ({' UNION ALL '.join(parts)}) JOIN (VALUES {chosen}) AS c(monitor, epoch) USING (epoch)"
+
+
+@query("evaluate_monitors", _monitors_sql())
+def all_monitors(spark, sf):
+    """Every monitor's best epoch, of two, with its whole reports on both halves of the users."""
+    even = F.col("protein").cast("bigint") % 2 == 0
+    scored = role(spark, sf, "predictions").withColumn("model", F.lit("1")).unionByName(
+        role(spark, sf, "late_predictions").withColumn("model", F.lit("2")))
+    best = spark.createDataFrame(list(_CHOSEN.items()), "monitor string, best_epoch int")
+    return training.evaluate_monitors(best, scored.filter(even), scored.filter(~even)).withColumn("value", rounded("value"))

@@ -73,16 +73,33 @@ def status_counts(df: DataFrame, status: str = "SMILES_Status") -> DataFrame:
 
 
 def library_summary(qc: DataFrame, raw_key: str = "SMILES", std_key: str = "SMILES_Std") -> DataFrame:
-    """One row of counts over the QC table (which carries ``keep_final``)."""
-    kept = F.count_if(F.col("keep_final"))
-    unique = F.count_distinct(F.when(F.col("keep_final"), F.col(std_key)))
-    return qc.agg(
-        F.count("*").alias("candidate_rows_after_prefilter"),
-        F.count_distinct(raw_key).alias("unique_raw_smiles_processed"),
-        kept.alias("rows_after_filter"),
-        unique.alias("unique_drugs_after_dedup"),
-        (kept - unique).alias("duplicate_rows_removed"),
-    )
+    """One row of counts over the QC table (which carries ``keep_final``).
+
+    Rows are counted by key first, before the shuffle too, so distinct keys are
+    plain rows of the last aggregate."""
+    cell = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    cells = F.array_compact(F.array(cell("raw", raw_key), F.when(F.col("keep_final"), cell("std", std_key))))
+    counted = qc.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.key").agg(F.count("*").alias("n"))
+
+    def rows(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+
+    def keys(kind: str) -> Column:
+        return F.count_if((F.col("kind") == kind) & F.col("key").isNotNull())
+
+    return counted.agg(
+        rows("raw").alias("candidate_rows_after_prefilter"), keys("raw").alias("unique_raw_smiles_processed"),
+        rows("std").alias("rows_after_filter"), keys("std").alias("unique_drugs_after_dedup"),
+        (rows("std") - keys("std")).alias("duplicate_rows_removed"))
+
+
+def attach_constants(df: DataFrame, **values: object) -> DataFrame:
+    """``df`` with one column for each value, the same in every row; a column that is
+    there already is an error, not overwritten."""
+    taken = {c.lower() for c in df.columns} & {c.lower() for c in values}
+    if taken:
+        raise ValueError(f"columns exist already: {sorted(taken)}")
+    return df.select("*", *[F.lit(v).alias(name) for name, v in values.items()])
 
 
 def invalid_count(df: DataFrame, valid: Column) -> DataFrame:

@@ -149,7 +149,7 @@ def clean_pairs(df: DataFrame, row_id: str = "row_id", on_mixture: str = "error"
     evidence = pair_evidence(df, row_id, strict, carry)
     if strict:
         evidence = evidence.filter(_fail_if(
-            (F.col("n_human") > 0) & (F.col("n_virus") > 0), "a pair has inconsistent domains"))
+            (F.col("n_human") > 0) & (F.col("n_virus") > 0), "one drug and protein occur under human and virus"))
     kept = evidence.filter(~is_conflict())
     if on_mixture == "error":
         kept = kept.filter(_fail_if(is_mixture(), "a pair has a hard and a gray label: choose on_mixture"))

@@ -56,7 +56,7 @@ def predict(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Seq
     if write_once:
         scored = materialize(scored, "scored-pairs")
     if scored.isEmpty():
-        raise ValueError("no usable pairs after feature matching")
+        raise ValueError("every pair lacks a drug or a protein vector")
     narrow = scored.drop("drug_idx", "prot_idx")
     return Predictions(attached, prediction_table(narrow, models), ensemble_stats(narrow))
 

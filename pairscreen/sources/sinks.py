@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairscreen.functions.text import safe_filename
 
@@ -17,6 +18,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
+def sort_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in a total order, for a file that is the same after every run: by ``keys``, missing values last, then by
+    all other columns that can be ordered."""
+    others = [f.name for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, T.MapType)]
+    return df.orderBy(*[F.asc_nulls_last(f"`{c}`") for c in [*keys, *others]])
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
     """Each table under its name; returns the paths."""
     return {name: write_table(df, f"{folder}/{name}", fmt) for name, df in tables.items()}
