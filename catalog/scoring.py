@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.base import query, r, role, rounded, table
-from pairscreen.operators import joins, scoring
+from pairscreen.operators import joins, ranking, scoring
 from pairscreen.plans.predict import predict
 from pairscreen.plans.screen import screen
 from pairscreen.session import materialize, scratch_path
@@ -296,6 +297,64 @@ def scored_pairs(spark, sf):
         rounded("prob").alias("prob"))
 
 
+class _Gated:
+    """A plug-in that says more than two logits: how much the second half of the vectors adds, and a gate
+    that is no number for half of the pairs."""
+
+    name, seed, outputs = "gated", 5, ("drug_weight_ecfp", "drug_aux_gate")
+
+    def pairs(self, d, p):
+        half = d.shape[1] // 2
+        first, second = (d[:, :half] * p[:, :half]).sum(axis=1), (d[:, half:] * p[:, half:]).sum(axis=1)
+        return first + second, first, second, np.where(first > 0, first, np.nan)
+
+
+class _Plain(_Gated):
+    name, seed, outputs = "plain", 6, ("drug_weight_ecfp",)
+
+    def pairs(self, d, p):
+        first = super().pairs(d, p)[1]
+        return first, -first, 2 * first
+
+
+# 'gated' for viral proteins and 'plain' for human ones have one output in common; a third model has both
+_WIDE = """g2 AS (SELECT *, CAST(prot_id AS BIGINT) % 2 = 1 AS virus FROM g),
+    x AS (SELECT drug_id, prot_id, label, 'by-domain' AS checkpoint, CASE WHEN virus THEN a ELSE h END AS c, CASE WHEN virus THEN h ELSE -h END AS k,
+                 CASE WHEN virus THEN a - h ELSE 2 * h END AS w, CAST(NULL AS DOUBLE) AS gate FROM g2
+          UNION ALL SELECT drug_id, prot_id, label, 'gated', a, h, a - h, CASE WHEN h > 0 THEN h END FROM g2)"""
+
+
+def _wide(spark, sf):
+    drugs, proteins = drug_and_protein_banks(spark, sf)
+    return predict(role(spark, sf, "messy_pairs"), drugs, proteins, [scoring.DomainModel("by-domain", _Plain(), _Gated()), _Gated()],
+                   on_mixture="keep_hard")
+
+
+@query("score_pairs_wide", f"""WITH {_PAIR_SCORES}, {_WIDE}
+    SELECT drug_id AS drug, prot_id AS protein, label, checkpoint, {r('c')} AS cls_logit, {r('k')} AS rank_logit,
+           {r('w')} AS drug_weight_ecfp, {r('gate')} AS drug_aux_gate FROM x""")
+def scored_wide(spark, sf):
+    """A model that depends on the protein's domain beside a plug-in with more outputs."""
+    return _wide(spark, sf).per_model.select("drug", "protein", "label", "checkpoint", *[
+        rounded(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in ("cls_logit", "rank_logit", "drug_weight_ecfp", "drug_aux_gate")])
+
+
+@query("ensemble_outputs", f"""WITH {_PAIR_SCORES}, {_WIDE}
+    SELECT drug_id AS drug, prot_id AS protein, {r('avg(c)')} AS cls_logit_mean, {r('avg(w)')} AS drug_weight_ecfp_mean,
+           {r('avg(gate)')} AS drug_aux_gate_mean FROM x GROUP BY ALL""")
+def wide_ensemble(spark, sf):
+    return _wide(spark, sf).ensemble.select("drug", "protein", *[
+        rounded(c).alias(c) for c in ("cls_logit_mean", "drug_weight_ecfp_mean", "drug_aux_gate_mean")])
+
+
+@query("finite_means_outputs", f"""WITH {_PAIR_SCORES}, {_WIDE}
+    SELECT {r('avg(w)')} AS fusion_drug_weight_ecfp_mean, {r('avg(gate)')} AS fusion_drug_aux_gate_mean FROM x""")
+def output_means(spark, sf):
+    """Means of what the plug-ins say of themselves."""
+    out = ranking.finite_means(_wide(spark, sf).per_model, ["drug_weight_ecfp", "drug_aux_gate"])
+    return out.select(*[rounded(c).alias(c) for c in out.columns])
+
+
 @query("predict_ensemble", f"""WITH {_PAIR_SCORES}
     SELECT drug_id AS drug, prot_id AS protein, label, {r('(a + h) / 2')} AS cls_logit_mean,
            {r('1 / (1 + exp(-(a + h) / 2))')} AS cls_prob_mean, {r('abs(a - h) / 2')} AS rank_logit_std FROM g""")

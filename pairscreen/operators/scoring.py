@@ -8,6 +8,11 @@ It is any object with two methods over NumPy arrays:
 
 ``LinearModel`` covers dot products and the linear heads that
 ``operators.training`` fits; a frozen network plugs in the same way.
+
+A model may say more of itself in two attributes. ``outputs`` names further numbers of a pair
+(view weights, gates) that ``pairs`` returns behind the two logits, an array each; they are carried
+through predictions and ensembles. ``uses_domain`` asks for the pairs' domains (0 human, 1 virus) as a
+third argument of both methods; a screen's targets are all viral.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pairscreen.session import materialize
 TARGET_BLOCK_BYTES = 64 << 20
 TILE_CELLS = 2_000_000
 SLACK = 1e-9
+VIRUS = 1  # as infer_domain numbers it
+OUTPUT = "_output_"
 
 
 @dataclass(frozen=True)
@@ -100,6 +107,53 @@ class LinearModel:
         return self.cls.pairs(d, p), self.rank.pairs(d, p)
 
 
+@dataclass(frozen=True)
+class DomainModel:
+    """One model for human and one for viral proteins, with the outputs that both have."""
+
+    name: str
+    human: object
+    virus: object
+    seed: int = -1
+    uses_domain = True
+
+    @property
+    def outputs(self) -> tuple[str, ...]:
+        theirs = outputs_of([self.virus])
+        return tuple(n for n in outputs_of([self.human]) if n in theirs)
+
+    def grid(self, d: np.ndarray, p: np.ndarray, domain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        human, virus = self.human.grid(d, p), self.virus.grid(d, p)
+        return tuple(np.where(domain[None, :] == VIRUS, b, a) for a, b in zip(human, virus))
+
+    def pairs(self, d: np.ndarray, p: np.ndarray, domain: np.ndarray) -> tuple[np.ndarray, ...]:
+        both = []
+        for model in (self.human, self.virus):
+            values = model.pairs(d, p)
+            named = dict(zip(getattr(model, "outputs", ()), values[2:]))
+            both.append([values[0], values[1], *[named[n] for n in self.outputs]])
+        return tuple(np.where(domain == VIRUS, b, a) for a, b in zip(*both))
+
+
+def outputs_of(models: Sequence) -> list[str]:
+    """Names of all further outputs, each once, in the models' order."""
+    return list(dict.fromkeys(n for m in models for n in getattr(m, "outputs", ())))
+
+
+def _pair_values(model, names: Sequence[str], d: np.ndarray, p: np.ndarray, domain: np.ndarray | None) -> list[np.ndarray]:
+    """Both logits of a model and its outputs under ``names``; NaN for those it has not."""
+    found = model.pairs(d, p, domain) if getattr(model, "uses_domain", False) else model.pairs(d, p)
+    own = tuple(getattr(model, "outputs", ()))
+    if len(found) != 2 + len(own):
+        raise ValueError(f"model {model.name} declares {len(own)} outputs and returns {len(found) - 2}")
+    named = dict(zip(own, found[2:]))
+    return [*found[:2], *[np.asarray(named[n], float) if n in named else np.full(len(d), np.nan) for n in names]]
+
+
+def _grid_values(model, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return model.grid(d, p, np.full(len(p), VIRUS)) if getattr(model, "uses_domain", False) else model.grid(d, p)
+
+
 def dot_model(name: str, width: int, active: int | None = None, seed: int = -1) -> LinearModel:
     """Both logits are the dot product over the first ``active`` dimensions."""
     kept = width if active is None else active
@@ -131,9 +185,10 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 # -- labelled pairs ---------------------------------------------------------------------
 
 def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Sequence,
-                drug_idx: str = "drug_idx", prot_idx: str = "prot_idx") -> DataFrame:
-    """Add ``cls_logits, rank_logits`` (one element per model) to pairs that
-    carry bank indices.
+                drug_idx: str = "drug_idx", prot_idx: str = "prot_idx", domain: str = "domain_id") -> DataFrame:
+    """Add ``cls_logits, rank_logits`` and ``_output_<name>`` for every declared output (one element
+    per model; NaN where a model has no such output) to pairs that carry bank indices, and
+    the ``domain`` column if a model uses it.
 
     Pairs meet each bank in a join on its index, salted for hot entities;
     vectors do not travel through a shuffle with the pairs except where a
@@ -145,37 +200,41 @@ def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models:
     both = salted_join(with_drug, proteins.select(F.col("idx").alias(prot_idx), F.col("vec").alias("_p")),
                        [prot_idx], "inner", hot_from=pairs)
     kept = pairs.columns
-    schema = T.StructType([pairs.schema[c] for c in kept] + [
-        T.StructField("cls_logits", T.ArrayType(T.DoubleType())),
-        T.StructField("rank_logits", T.ArrayType(T.DoubleType()))])
-    frozen = tuple(models)
+    names, frozen = outputs_of(models), tuple(models)
+    by_domain = any(getattr(m, "uses_domain", False) for m in models)
+    if by_domain and domain not in kept:
+        raise ValueError(f"a model uses the pairs' domain, but they have no column {domain}")
+    added = ["cls_logits", "rank_logits", *[f"{OUTPUT}{n}" for n in names]]
+    schema = T.StructType([pairs.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             width = len(batch.column("_d")[0]) + len(batch.column("_p")[0]) if batch.num_rows else 0
             for b in _tiles(batch, width):
                 d, p = _matrix(b.column("_d")), _matrix(b.column("_p"))
-                logits = [m.pairs(d, p) for m in frozen]
+                of = b.column(domain).to_numpy(zero_copy_only=False) if by_domain else None
+                values = [_pair_values(m, names, d, p, of) for m in frozen]
                 arrays = [b.column(c) for c in kept]
-                arrays += [_lists(np.stack([x[h] for x in logits], axis=1)) for h in (0, 1)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "cls_logits", "rank_logits"])
+                arrays += [_lists(np.stack([x[h] for x in values], axis=1)) for h in range(len(added))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
 
     return both.select(*kept, "_d", "_p").mapInArrow(run, schema)
 
 
 def prediction_table(scored: DataFrame, models: Sequence) -> DataFrame:
-    """One row per pair and model with logits and probabilities; the
+    """One row per pair and model with logits, probabilities and the models' outputs; the
     ``logit`` and ``prob`` columns are the classification head's."""
     names = F.array(*[F.struct(F.lit(m.name).alias("checkpoint"), F.lit(m.seed).alias("seed")) for m in models])
+    extra = [c for c in scored.columns if c.startswith(OUTPUT)]
     each = scored.select(
         "*", F.explode(F.arrays_zip(names.alias("m"), F.col("cls_logits").alias("c"),
-                                    F.col("rank_logits").alias("r"))).alias("_x"))
-    others = [c for c in scored.columns if c not in ("cls_logits", "rank_logits")]
+                                    F.col("rank_logits").alias("r"), *extra)).alias("_x"))
+    others = [c for c in scored.columns if c not in ("cls_logits", "rank_logits", *extra)]
     c, r = F.col("_x.c"), F.col("_x.r")
     return each.select(
         F.col("_x.m.checkpoint").alias("checkpoint"), F.col("_x.m.seed").alias("seed"), *others,
         c.alias("logit"), sigmoid(c).alias("prob"), c.alias("cls_logit"), sigmoid(c).alias("cls_prob"),
-        r.alias("rank_logit"), sigmoid(r).alias("rank_prob"))
+        r.alias("rank_logit"), sigmoid(r).alias("rank_prob"), *[F.col(f"_x.{c}").alias(c.removeprefix(OUTPUT)) for c in extra])
 
 
 def ensemble_columns() -> dict[str, Column]:
@@ -190,8 +249,16 @@ def ensemble_columns() -> dict[str, Column]:
 
 
 def ensemble_stats(scored: DataFrame) -> DataFrame:
-    """Ensemble of scores held side by side: no shuffle."""
-    return scored.withColumns(ensemble_columns()).drop("cls_logits", "rank_logits")
+    """Ensemble of scores held side by side: no shuffle. An output's ``<name>_mean`` is over
+    the models that have a finite value of it."""
+    extra = [c for c in scored.columns if c.startswith(OUTPUT)]
+
+    def mean(c: str) -> Column:
+        known = F.filter(F.col(c), lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        return F.when(F.size(known) > 0, vec_mean(known))
+
+    means = {f"{c.removeprefix(OUTPUT)}_mean": mean(c) for c in extra}
+    return scored.withColumns(ensemble_columns() | means).drop("cls_logits", "rank_logits", *extra)
 
 
 def ensemble_align(predictions: DataFrame, keys: Sequence[str], n_models: int | None = None) -> DataFrame:
@@ -308,7 +375,7 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
         def run(batches: Iterable[pa.RecordBatch], matrix=matrix, keys=keys, pdbs=pdbs) -> Iterable[pa.RecordBatch]:
             best, worst = _Shortlist(top or 0, len(matrix)), _Shortlist(bottom or 0, len(matrix))
             for b in (tile for batch in batches for tile in _tiles(batch, len(matrix) * len(frozen))):
-                logits = [m.grid(_matrix(b.column("vec")), matrix) for m in frozen]
+                logits = [_grid_values(m, _matrix(b.column("vec")), matrix) for m in frozen]
                 cls, rank = (np.stack([x[h] for x in logits], axis=2) for h in (0, 1))
                 flag = (b.column("eligible").to_numpy(zero_copy_only=False).astype(bool)
                         if has_flag else np.ones(b.num_rows, dtype=bool))

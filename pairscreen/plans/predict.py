@@ -51,13 +51,13 @@ def predict(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Seq
     once for both tables."""
     attached = materialize(
         prepare_pairs(pairs, drugs, proteins, label_mode, domain, on_mixture, row_id), "attached")
-    kept = matched(attached).select(row_id, "drug", "protein", "label", "drug_idx", "prot_idx")
+    kept = matched(attached).select(row_id, "drug", "protein", "label", "domain_id", "drug_idx", "prot_idx")
     scored = score_pairs(kept, drugs, proteins, models)
     if write_once:
         scored = materialize(scored, "scored-pairs")
     if scored.isEmpty():
         raise ValueError("every pair lacks a drug or a protein vector")
-    narrow = scored.drop("drug_idx", "prot_idx")
+    narrow = scored.drop("drug_idx", "prot_idx", "domain_id")
     return Predictions(attached, prediction_table(narrow, models), ensemble_stats(narrow))
 
 

@@ -216,3 +216,53 @@ def test_many_targets_in_blocks(spark, monkeypatch):
     cut = scoring.cross_score(lib, targets, [scoring.dot_model("m", 2)], top=3)
     best = lambda rows: {(r.protein_key, r.drug_id) for r in rows if r.drug_id >= 27}
     assert best(cut.collect()) == best(whole) and len(best(whole)) == 150
+
+
+class Told:
+    """A plug-in with one output more."""
+
+    name, seed, outputs = "told", 1, ("gate",)
+
+    def __init__(self, sign=1.0):
+        self.sign = sign
+
+    def grid(self, d, p):
+        return self.sign * (d @ p.T), self.sign * (d @ p.T)
+
+    def pairs(self, d, p):
+        x = (d * p).sum(axis=1)
+        return self.sign * x, self.sign * x, np.where(x > 0, x, np.inf)
+
+
+def test_models_with_domains_and_outputs(spark):
+    rng = np.random.default_rng(2)
+    d, p = rng.normal(size=(9, 3)), rng.normal(size=(4, 3))
+    bank = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "idx long, vec array<double>")
+    pairs = spark.createDataFrame([(i, i % 9, i % 4, i % 2) for i in range(36)], "row_id long, drug_idx long, prot_idx long, domain_id int")
+    models = [scoring.DomainModel("both", Told(1.0), Told(-1.0)), scoring.dot_model("dot", 3), Told()]
+    scored = scoring.score_pairs(pairs, bank(d), bank(p), models)
+    rows = {(r["row_id"], r["checkpoint"]): r for r in scoring.prediction_table(scored, models).collect()}
+    means = {r["row_id"]: r for r in scoring.ensemble_stats(scored).collect()}
+    for i in range(36):
+        x = float(d[i % 9] @ p[i % 4])
+        assert rows[i, "both"]["cls_logit"] == pytest.approx(-x if i % 2 else x) and rows[i, "told"]["rank_logit"] == pytest.approx(x)
+        assert rows[i, "told"]["gate"] == pytest.approx(x if x > 0 else np.inf) and np.isnan(rows[i, "dot"]["gate"])
+        assert means[i]["gate_mean"] == (pytest.approx(x) if x > 0 else None)
+    with pytest.raises(ValueError, match="domain"):
+        scoring.score_pairs(pairs.drop("domain_id"), bank(d), bank(p), models)
+    # a screen's targets are viral
+    targets = spark.createDataFrame([(f"k{i}", f"x{i}", v.tolist()) for i, v in enumerate(p)], "protein_key string, pdb_id string, vec array<double>")
+    library = bank(d).withColumnRenamed("idx", "drug_id")
+    got = {(r["drug_id"], r["protein_key"]): r["cls_logit_mean"] for r in scoring.screening_table(
+        scoring.cross_score(library, targets, models[:1], 0.0), 0.0).collect()}
+    assert len(got) == 36
+    for i in range(9):
+        for k in range(4):
+            assert got[i, f"k{k}"] == pytest.approx(-float(d[i] @ p[k]))
+
+
+def test_a_model_must_return_what_it_declares(spark):
+    model = Told()
+    model.outputs = ("gate", "other")
+    with pytest.raises(ValueError, match="declares 2"):
+        scoring._pair_values(model, ["gate", "other"], np.ones((2, 3)), np.ones((2, 3)), None)
