@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common. A text of fewer than ``k`` words is one shingle; a text without words
     (or NULL) links with nothing. A node is the document's id; rows of one id
     are one document. Rows without an id have a negative node made from their set.
-    Band candidates miss a pair at the limit with a probability of about 1e-6;
+    A pair at the limit is missed with a probability of about 2.0e-5 (README);
     every pair found is confirmed exactly. Other columns are ignored.
     """
     arrays.small_batches(docs.sparkSession)
