@@ -197,7 +197,9 @@ def _features(spark, sf, label_mode):
 
 
 def _fitted(spark, objective, width, kinked=False):
-    return _fit_table(spark, optimise.fit(objective, np.zeros(width), 60, 1e-4), objective if kinked else None)
+    table = _fit_table(spark, optimise.fit(objective, np.zeros(width), 60, 1e-4), objective if kinked else None)
+    optimise.release(objective)
+    return table
 
 
 @query("train_focal", _FOCAL_START)
@@ -249,6 +251,7 @@ def chain(spark, sf):
         warm = found.start_loss == again and (not fits or abs(again - cold[0]) > 0)
         share = float(np.abs(found.gradient).max() / np.abs(cold[1]).max())
         rows.append((stage, bool(found.loss < found.start_loss), bool(warm), share))
+        optimise.release(objective)
         fits.append(found)
         start = found.weights
     return spark.createDataFrame(rows, "stage string, lower boolean, warm boolean, residual double").withColumn(
