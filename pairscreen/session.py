@@ -51,3 +51,27 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one job by name, given up as soon as nothing reads
+    them any more, so the shared folder holds what is still needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._written: dict[str, tuple[str, DataFrame]] = {}
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back, as ``materialize`` does."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._written[name] = (path, out)
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Empty tables by overwriting them. Whatever was derived from them must
+        be written by now: a lost executor's work reads its own inputs again."""
+        for name in names:
+            path, table = self._written.pop(name)
+            self.spark.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
