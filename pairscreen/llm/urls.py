@@ -1,7 +1,7 @@
 """URL filters in the manner of safe-browsing lists.
 
 A URL is expanded into every (host suffix, path prefix) that a rule could
-name. Expressions meet the rules on the first 32 bits of their digests; the
+name: of as many labels and characters as some rule has. Expressions meet the rules on the first 32 bits of their digests; the
 whole digest then confirms, and the longest rule decides.
 """
 
@@ -27,15 +27,19 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def expressions(pairs: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row for every host suffix, at label borders, and every path prefix
-    of one of ``lengths`` characters: ``host, path, digest``."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    return pairs.withColumn("_suffix", F.explode(suffixes)).withColumn("_n", F.explode(fits)).select(
-        "host", "path", _digest(F.col("_suffix"), F.substr("path", F.lit(1), F.col("_n"))).alias("digest"))
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
+def expressions(pairs: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """One row for every host suffix and path prefix of one of ``shapes``, a
+    number of labels and one of characters: ``host, path, digest``."""
+    listed = F.array(*[F.struct(F.lit(labels).alias("labels"), F.lit(size).alias("size")) for labels, size in shapes])
+    fits = F.filter(listed, lambda s: (s.labels <= F.col("_labels")) & (s["size"] <= F.col("_size")))
+    measured = pairs.withColumn("_labels", _labels(F.col("host"))).withColumn("_size", F.length("path"))
+    return measured.withColumn("_shape", F.explode(fits)).select(
+        "host", "path", _digest(F.expr("substring_index(host, '.', -_shape.labels)"),
+                                F.substr("path", F.lit(1), F.col("_shape.size"))).alias("digest"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -48,7 +52,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     longer path, then the verdict and the text that sort last (``block`` before
     ``allow``). Rules with a NULL or empty host fit nothing; a NULL path is
     empty. Without a fitting rule, ``rule`` is NULL and ``verdict`` is
-    ``default``. The driver receives the distinct lengths of rule paths. Repeated URLs
+    ``default``. The driver receives the distinct shapes of rules (labels of the host, length of the path),
+    and a URL is expanded into these only, however long its host. Repeated URLs
     are judged once, so a hot URL or host costs one row before the join.
     """
     host, path = url_host_path(F.col(url_col))
@@ -60,14 +65,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     columns = [F.col("row").getField(c).alias(c) for c in kept] + ["host", "path"]
     named = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''").withColumn(
         "rule", F.concat("host", "path")).withColumn("digest", _digest(F.col("host"), F.col("path")))
-    lengths = sorted(r[0] for r in named.select(F.length("path")).distinct().collect())
-    if not lengths:
+    shapes = sorted(tuple(r) for r in named.select(_labels(F.col("host")), F.length("path")).distinct().collect())
+    if not shapes:
         return rows.select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = named.select(
         F.substring("digest", 1, 8).alias("_prefix"), F.col("digest").alias("_whole"),
         F.struct(F.length("rule").alias("size"), F.length("path").alias("path_size"), "verdict", "rule").alias("found"))
     pairs = rows.filter("host <> ''").select("host", "path").distinct()
-    hits = expressions(pairs, lengths).withColumn("_prefix", F.substring("digest", 1, 8)).join(
+    hits = expressions(pairs, shapes).withColumn("_prefix", F.substring("digest", 1, 8)).join(
         listed, "_prefix").filter("digest = _whole")
     best = hits.groupBy("host", "path").agg(F.max("found").alias("found"))
     return rows.join(best, ["host", "path"], "left").select(

@@ -198,6 +198,7 @@ def test_urls_against_all_rules(spark):
     paths = ["", "/", "/en/1", "/en", "/de/?q=/", "/de/a#b", "?a://b/c", "#x", "/x/y", "/p", "//", "/\n/en/"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c.net/", "http://x.net/" + "y" * 5000]
     urls += ["http://x.net/same"] * 50
+    urls += ["http://" + "l." * 20_000 + "example.net/en/", "http://" + "." * 50_000 + "org/fr/x"]
     pages = spark.createDataFrame([(i, u, "f", "r") for i, u in enumerate(urls)], "page_id long, url string, found string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = judge(pages, rules)
