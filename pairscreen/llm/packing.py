@@ -6,13 +6,15 @@ level, or to a new window, for which the sum of squared counts of partly
 filled windows grows least. A document longer than a window first fills whole
 windows; its rest is placed. Since no whole document may fit the gaps that
 are left, at most ``open_windows`` stay open: beyond that a document is cut to
-close the window with the largest gap it can fill. What is still open when the
-task ends is laid end to end and cut into full windows, and the last part into
+close the window with the largest gap it can fill. Windows still open when the
+task ends stay together: the emptiest are taken apart to fill the gaps of the
+fullest. What is left of one window at last becomes
 sequences whose lengths are powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ class Packer:
         self.counts = np.zeros(window + 1, np.int64)  # open windows by level
         self.at: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
+        self.moved = 0
 
     def _level(self, size: int) -> int:
         """The level to put ``size`` ids on: 0 for a new window. The fullest
@@ -96,27 +99,45 @@ class Packer:
             start = end
 
     def close(self) -> Iterator[tuple]:
-        """Windows still open, as full windows and a tail of powers of two."""
-        left = [p for level in range(self.window, 0, -1) for w in self.at[level] for p in w]
-        total = sum(len(p[2]) for p in left)
-        sizes = [self.window] * (total // self.window)
-        rest = total % self.window
-        sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        queue = iter(left)
-        held: tuple | None = None
-        for size in sizes:
-            pieces = []
-            while size:
-                document, start, ids = held or next(queue)
-                cut = min(size, len(ids))
-                pieces.append((document, start, ids[:cut]))
-                held = (document, start + cut, ids[cut:]) if cut < len(ids) else None
-                size -= cut
-            yield from self._emit(pieces)
+        """Windows still open, the fullest filled up from the emptiest, and the
+        last one's rest as a tail of powers of two. ``moved`` counts the ids
+        that change their window."""
+        left = deque(w for level in range(self.window, 0, -1) for w in self.at[level])
+        while left:
+            pieces = left.popleft()
+            gap = self.window - sum(len(p[2]) for p in pieces)
+            while gap and left:
+                document, start, ids = left[-1].pop()
+                cut = max(0, len(ids) - gap)
+                pieces.append((document, start + cut, ids[cut:]))
+                gap -= len(ids) - cut
+                self.moved += len(ids) - cut
+                if cut:
+                    left[-1].append((document, start, ids[:cut]))
+                if not left[-1]:
+                    left.pop()
+            if gap:
+                yield from self._tail(pieces, self.window - gap)
+            else:
+                yield from self._emit(pieces)
         self.counts[:] = 0
         self.at = [[] for _ in range(self.window + 1)]
         self.n_open = 0
 
+    def _tail(self, pieces: list, total: int) -> Iterator[tuple]:
+        """Pieces cut into sequences of powers of two, the largest first."""
+        queue = deque(pieces)
+        for bit in reversed(range(total.bit_length())):
+            size, taken = total & 1 << bit, []
+            while size:
+                document, start, ids = queue.popleft()
+                taken.append((document, start, ids[:size]))
+                if len(ids) > size:
+                    queue.appendleft((document, start + size, ids[size:]))
+                size -= len(taken[-1][2])
+            if taken:
+                yield from self._emit(taken)
+
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          end_id: int = END_ID, open_windows: int = OPEN_WINDOWS) -> DataFrame:

@@ -117,7 +117,11 @@ def test_packer(window, limit, sizes):
             assert squares(level) == squares(tried)
         pieces += packer.add(k, np.full(size, k, np.uint32))
         assert packer.n_open <= limit
+    fill_levels = sorted((h for h, c in enumerate(packer.counts) for _ in range(c)), reverse=True)
     pieces += packer.close()
+    # the fullest windows keep what they hold; only the emptiest are taken apart
+    whole = sum(fill_levels) // window
+    assert packer.moved <= sum(fill_levels[whole:]) and packer.moved <= sum(window - h for h in fill_levels[:whole + 1])
     at = Counter()
     for document, start, ids, sequence, offset in sorted(pieces, key=lambda p: (p[0], p[1])):
         assert start == at[document] and len(ids)
