@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pairscreen.llm import arrays
 from pairscreen.llm.graph import components
-from pairscreen.session import materialize
+from pairscreen.session import Scratch, materialize
 
 WORDS = 5
 PERCENT = 80
@@ -272,24 +272,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every pair found is confirmed exactly. Other columns are ignored.
     """
     arrays.small_batches(docs.sparkSession)
-    rows = materialize(sketches(docs, id_col, text_col, k), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table("sketches", sketches(docs, id_col, text_col, k))
     filled = rows.filter("n > 0")
     # one class for each distinct set; its node is its least document
-    classes = materialize(filled.groupBy("d1", "d2").agg(
-        F.min("node").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = scratch.table("classes", filled.groupBy("d1", "d2").agg(
+        F.min("node").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    placed = materialize(rows.join(classes.select("d1", "d2", F.col("node").alias("class")), ["d1", "d2"], "left").withColumn(
+        "class", F.when(F.col("n") > 0, F.col("class"))).select(
+        "id", "node", "n", "class"), "classed")
+    scratch.drop("sketches")
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link to equal ones only
     bytes_ = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(
         i.alias("i"), F.substring(F.col("regs"), 1 + i * bytes_, F.lit(bytes_)).alias("r")))
-    keyed = materialize(classes.filter(F.col("n") >= least).select("node", F.explode(bands).alias("band")).filter(
+    keyed = classes.filter(F.col("n") >= least).select("node", F.explode(bands).alias("band")).filter(
         F.col("band.r") != F.lit(b"\xff" * bytes_)).select(
-            F.xxhash64("band.i", "band.r").alias("key"), F.col("band.i").alias("band"), "node"), "bands")
+            F.xxhash64("band.i", "band.r").alias("key"), F.col("band.i").alias("band"), "node")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = materialize(keyed.join(sizes, "key"), "shared-bands")
-    shared = materialize(met.join(met.groupBy("node").agg(F.sum("size").alias("rank")), "node").select(
-        "key", "band", "node", "rank"), "ranked-bands")
+    met = scratch.table("shared-bands", keyed.join(sizes, "key"))
+    shared = scratch.table("ranked-bands", met.join(met.groupBy("node").agg(F.sum("size").alias("rank")), "node").select(
+        "key", "band", "node", "rank"))
+    scratch.drop("shared-bands")
     # the texts that any comparison may need, once
-    texts = materialize(_texts(docs, id_col, text_col, k).join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    texts = scratch.table("texts", _texts(docs, id_col, text_col, k).join(shared.select("node").distinct(), "node", "left_semi"))
     open_ = shared.withColumn("comp", F.col("node"))
     links = tried = hubs = None
     for _ in range(ROUNDS):
@@ -309,11 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = shared.join(components(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         open_ = materialize(now.join(mixed, "key").select("key", "band", "node", "rank", "comp"), "open-bands")
+    scratch.drop("ranked-bands")
     undecided = materialize(_undecided(open_, classes, percent), "undecided")
+    scratch.drop("classes")
     links = links.unionByName(materialize(_linked(undecided, texts, k, percent), "links"))
-    placed = materialize(rows.join(classes.select("d1", "d2", F.col("node").alias("class")), ["d1", "d2"], "left").withColumn(
-        "class", F.when(F.col("n") > 0, F.col("class"))).select(
-        "id", "node", "n", "class"), "classed")
+    scratch.drop("texts")
     # rows of one id with several sets hang together
     several = placed.filter("n > 0").groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("hi")).filter("a < hi")
     same_id = placed.join(several.select("node", "a"), "node").select("a", F.col("class").alias("b")).filter("a <> b")
