@@ -34,8 +34,8 @@ MANTISSA = 10
 _EMPTY = 0xFFFF
 _HASH_BITS = 52
 #: Standard errors below the limit that an estimate may lie. With 128 filled registers
-#: a pair at 0.8 falls below them with a probability of 2.0e-5 (binomial tail).
-SLACK = 4.5
+#: a pair at 0.8 falls below them with a probability of 2.1e-7 (binomial tail).
+SLACK = 5.5
 #: Classes of a band compared by one task at once.
 BLOCK = 512
 #: Rounds of comparing the classes of a band with one of them.
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common. A text of fewer than ``k`` words is one shingle; a text without words
     (or NULL) links with nothing. A node is the document's id; rows of one id
     are one document. Rows without an id have a negative node made from their set.
-    A pair at the limit is missed with a probability of about 2.0e-5 (README);
+    A pair at the limit is missed with a probability of about 2.6e-7 (README);
     every pair found is confirmed exactly. Other columns are ignored.
     """
     arrays.small_batches(docs.sparkSession)
