@@ -44,6 +44,23 @@ def scan_compounds(spark, sf):
     return scans.scan_compounds(spark, path, [headers[c] for c in _FIELDS])
 
 
+_BROKEN = "name || chr(10) || '\"quoted\"; ' || chr(10) || 'C' || CAST(p_partkey AS STRING)"
+
+
+@query("scan_compounds_line_breaks", f"""SELECT {', '.join('n AS name' if c == 'name' else c for c in _FIELDS)} FROM (
+    SELECT *, CASE WHEN p_partkey % 3 = 0 THEN trim({_BROKEN}, ' ' || chr(10)) ELSE name END AS n FROM ({_CLEANED}))""")
+def scan_broken_lines(spark, sf):
+    """The same export with line breaks, quotes and separators inside cells."""
+    headers = {v: k for k, v in scans.EXPORT_COLUMNS.items()}
+    df = role(spark, sf, "compounds").withColumn("name", F.when(F.col("p_partkey") % 3 == 0, F.concat(
+        F.when(F.trim("name") == "", "").otherwise(F.trim("name")), F.lit('\n"quoted"; \nC'),
+        F.col("p_partkey").cast("string"))).otherwise(F.col("name")))
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in _FIELDS]
+    path = scratch_path(spark, "export")
+    df.select(F.concat_ws(";", *quoted).alias("value")).write.text(path)
+    return scans.scan_compounds(spark, path, [headers[c] for c in _FIELDS], line_breaks=True)
+
+
 @query("clean_text", f"SELECT p_partkey, {_clean('inchi_key')} AS inchi_key, {_clean('name')} AS name, "
                      f"{_clean('max_phase')} AS max_phase FROM {{compounds}} AS c")
 def cleaned(spark, sf):

@@ -254,6 +254,10 @@ def pooled_cls(spark, sf):
     SELECT doc_id, CAST(pos AS INTEGER) AS residue_idx, {r('avg(a + start)')} AS a, {r('avg(b)')} AS b, {r('avg(c)')} AS c
     FROM t JOIN w USING (doc_id) WHERE pos >= start AND pos < start + 64 GROUP BY ALL""")
 def stitched(spark, sf):
+    return _wide(stitched_tokens(spark, sf), "doc_id", "residue_idx")
+
+
+def stitched_tokens(spark, sf):
     """Each window shifts the first number by its start, so overlaps differ."""
     words = F.split("text", " ")
     docs = table(spark, sf, "documents", "doc_id").select("doc_id", words.alias("words"), F.size(words).alias("length"))
@@ -264,7 +268,7 @@ def stitched(spark, sf):
     vecs = seen.select("doc_id", "start", "offset", F.array(
         (F.length("word") + F.col("start")).cast("float"), F.ascii("word").cast("float"),
         ((F.col("start") + F.col("offset")) % 7).cast("float")).alias("vec"))
-    return _wide(sequences.stitch_windows(vecs, "doc_id", docs.select("doc_id", "length")), "doc_id", "residue_idx")
+    return sequences.stitch_windows(vecs, "doc_id", docs.select("doc_id", "length"))
 
 
 @query("boundary_trim", """

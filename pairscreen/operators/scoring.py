@@ -12,7 +12,9 @@ It is any object with two methods over NumPy arrays:
 A model may say more of itself in two attributes. ``outputs`` names further numbers of a pair
 (view weights, gates) that ``pairs`` returns behind the two logits, an array each; they are carried
 through predictions and ensembles. ``uses_domain`` asks for the pairs' domains (0 human, 1 virus) as a
-third argument of both methods; a screen's targets are all viral.
+third argument of both methods; a screen's targets are all viral. ``uses_tokens`` asks for the proteins'
+residues: ``grid`` gets ``tokens[t, l, k]`` and ``mask[t, l]`` by keyword, padded with zeros where the
+mask is false, and ``pairs`` the same for each of its rows' one protein, ``tokens[l, k]`` and ``mask[l]``.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pairscreen.session import materialize
 # and the scores of one tile of rows.
 TARGET_BLOCK_BYTES = 64 << 20
 TILE_CELLS = 2_000_000
+PAIRS_PER_CHUNK = 1024
 SLACK = 1e-9
 VIRUS = 1  # as infer_domain numbers it
 OUTPUT = "_output_"
@@ -135,14 +138,36 @@ class DomainModel:
         return tuple(np.where(domain == VIRUS, b, a) for a, b in zip(*both))
 
 
+@dataclass(frozen=True)
+class ResidueModel:
+    """How well a compound's first dimensions match a protein's residues: the classification logit is
+    the best match by dot product, the ranking logit the mean of all, both times ``scale``."""
+
+    name: str
+    scale: float = 1.0
+    seed: int = -1
+    uses_tokens = True
+
+    def pairs(self, d: np.ndarray, p: np.ndarray, tokens: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        real = tokens[mask]
+        match = d[:, :real.shape[1]] @ real.T * self.scale
+        return match.max(axis=1), match.mean(axis=1)
+
+    def grid(self, d: np.ndarray, p: np.ndarray, tokens: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.pairs(d, p, t, m) for t, m in zip(tokens, mask)]
+        return tuple(np.stack([x[h] for x in each], axis=1) for h in (0, 1))
+
+
 def outputs_of(models: Sequence) -> list[str]:
     """Names of all further outputs, each once, in the models' order."""
     return list(dict.fromkeys(n for m in models for n in getattr(m, "outputs", ())))
 
 
-def _pair_values(model, names: Sequence[str], d: np.ndarray, p: np.ndarray, domain: np.ndarray | None) -> list[np.ndarray]:
+def _pair_values(model, names: Sequence[str], d: np.ndarray, p: np.ndarray, domain: np.ndarray | None,
+                 residues: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
     """Both logits of a model and its outputs under ``names``; NaN for those it has not."""
-    found = model.pairs(d, p, domain) if getattr(model, "uses_domain", False) else model.pairs(d, p)
+    args = [d, p, domain] if getattr(model, "uses_domain", False) else [d, p]
+    found = model.pairs(*args, **(residues if getattr(model, "uses_tokens", False) else {}))
     own = tuple(getattr(model, "outputs", ()))
     if len(found) != 2 + len(own):
         raise ValueError(f"model {model.name} declares {len(own)} outputs and returns {len(found) - 2}")
@@ -150,8 +175,22 @@ def _pair_values(model, names: Sequence[str], d: np.ndarray, p: np.ndarray, doma
     return [*found[:2], *[np.asarray(named[n], float) if n in named else np.full(len(d), np.nan) for n in names]]
 
 
-def _grid_values(model, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return model.grid(d, p, np.full(len(p), VIRUS)) if getattr(model, "uses_domain", False) else model.grid(d, p)
+def _grid_values(model, d: np.ndarray, p: np.ndarray, residues: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    args = [d, p, np.full(len(p), VIRUS)] if getattr(model, "uses_domain", False) else [d, p]
+    return model.grid(*args, **(residues if getattr(model, "uses_tokens", False) else {}))
+
+
+def _token_models(models: Sequence) -> bool:
+    return any(getattr(m, "uses_tokens", False) for m in models)
+
+
+def _padded(residues: Sequence[np.ndarray]) -> dict[str, np.ndarray]:
+    """Residue matrices of several proteins as one block with its mask."""
+    longest, width = max(len(r) for r in residues), residues[0].shape[1]
+    tokens, mask = np.zeros((len(residues), longest, width)), np.zeros((len(residues), longest), dtype=bool)
+    for i, r in enumerate(residues):
+        tokens[i, :len(r)], mask[i, :len(r)] = r, True
+    return {"tokens": tokens, "mask": mask}
 
 
 def dot_model(name: str, width: int, active: int | None = None, seed: int = -1) -> LinearModel:
@@ -185,7 +224,8 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 # -- labelled pairs ---------------------------------------------------------------------
 
 def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Sequence,
-                drug_idx: str = "drug_idx", prot_idx: str = "prot_idx", domain: str = "domain_id") -> DataFrame:
+                drug_idx: str = "drug_idx", prot_idx: str = "prot_idx", domain: str = "domain_id",
+                tokens: DataFrame | None = None) -> DataFrame:
     """Add ``cls_logits, rank_logits`` and ``_output_<name>`` for every declared output (one element
     per model; NaN where a model has no such output) to pairs that carry bank indices, and
     the ``domain`` column if a model uses it.
@@ -194,7 +234,16 @@ def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models:
     vectors do not travel through a shuffle with the pairs except where a
     second join must follow, so the protein side (the smaller bank, which
     Spark broadcasts while it is small) comes last.
+
+    With a model that uses residues, ``tokens`` (``idx, tokens``) gives them by protein. The pairs of a
+    protein are then cut by hash into chunks of about ``PAIRS_PER_CHUNK``, and residues and
+    protein vector meet each chunk once instead of every pair. Pairs without residues fall away, like those
+    without a vector; rows alike in all columns share a chunk.
     """
+    if _token_models(models):
+        if tokens is None:
+            raise ValueError("a model uses residues, but no tokens are given")
+        return _score_chunks(pairs, drugs, proteins.join(tokens, "idx"), models, drug_idx, prot_idx, domain)
     with_drug = salted_join(pairs, drugs.select(F.col("idx").alias(drug_idx), F.col("vec").alias("_d")),
                             [drug_idx], "inner")
     both = salted_join(with_drug, proteins.select(F.col("idx").alias(prot_idx), F.col("vec").alias("_p")),
@@ -221,6 +270,41 @@ def score_pairs(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models:
     return both.select(*kept, "_d", "_p").mapInArrow(run, schema)
 
 
+def _score_chunks(pairs: DataFrame, drugs: DataFrame, proteins: DataFrame, models: Sequence,
+                  drug_idx: str, prot_idx: str, domain: str) -> DataFrame:
+    """``score_pairs`` for models that use residues. Counts by protein fix the
+    number of its chunks before any vector moves."""
+    kept, names, frozen = pairs.columns, outputs_of(models), tuple(models)
+    by_domain = any(getattr(m, "uses_domain", False) for m in models)
+    if by_domain and domain not in kept:
+        raise ValueError(f"a model uses the pairs' domain, but they have no column {domain}")
+    added = ["cls_logits", "rank_logits", *[f"{OUTPUT}{n}" for n in names]]
+    sizes = pairs.groupBy(prot_idx).agg(F.ceil(F.count("*") / PAIRS_PER_CHUNK).alias("_chunks"))
+    dealt = salted_join(pairs, sizes, [prot_idx], "inner").withColumn(
+        "_chunk", F.pmod(F.xxhash64(*kept), F.col("_chunks")))
+    with_drug = salted_join(dealt, drugs.select(F.col("idx").alias(drug_idx), F.col("vec").alias("_d")), [drug_idx], "inner")
+    chunks = with_drug.groupBy(F.col(prot_idx).alias("_prot"), "_chunk").agg(
+        F.collect_list(F.struct(*kept, "_d")).alias("_rows"))
+    met = chunks.join(proteins.select(F.col("idx").alias("_prot"), F.col("vec").alias("_p"), "tokens"), "_prot")
+    schema = T.StructType([pairs.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in added])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for chunk in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            rows = pa.RecordBatch.from_struct_array(chunk.column("_rows").flatten())
+            p = _matrix(chunk.column("_p"))
+            residues = _matrix(chunk.column("tokens").flatten())
+            block = {"tokens": residues, "mask": np.ones(len(residues), dtype=bool)}
+            for b in _tiles(rows, max(len(residues), p.shape[1])):
+                d = _matrix(b.column("_d"))
+                of = b.column(domain).to_numpy(zero_copy_only=False) if by_domain else None
+                values = [_pair_values(m, names, d, np.repeat(p, len(d), axis=0), of, block) for m in frozen]
+                arrays = [b.column(c) for c in kept]
+                arrays += [_lists(np.stack([x[h] for x in values], axis=1)) for h in range(len(added))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
+
+    return met.filter(F.size("tokens") > 0).select("_rows", "_p", "tokens").mapInArrow(run, schema)
+
+
 def prediction_table(scored: DataFrame, models: Sequence) -> DataFrame:
     """One row per pair and model with logits, probabilities and the models' outputs; the
     ``logit`` and ``prob`` columns are the classification head's."""
@@ -277,24 +361,26 @@ def ensemble_align(predictions: DataFrame, keys: Sequence[str], n_models: int |
 
 # -- a library against targets --------------------------------------------------------------
 
-def _target_blocks(targets: DataFrame, listed: int) -> Iterator[tuple[list, bool]]:
-    """Targets in blocks, and whether there are several. A block's vectors
-    and its shortlists (up to ``4 * listed`` scores for each target and side) fit
-    ``TARGET_BLOCK_BYTES``.
+def _target_blocks(targets: DataFrame, listed: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Targets in blocks, and whether there are several. A block's vectors,
+    residues and shortlists (up to ``4 * listed`` scores for each target and side) fit
+    ``TARGET_BLOCK_BYTES``, each target counted with as many residues as the longest.
 
-    Only (key, id, vector) of one block at a time reach the driver; more
+    Only (key, id, vector, residues) of one block at a time reach the driver; more
     targets mean more blocks, each scored in its own pass over the library.
     """
-    columns = targets.select("protein_key", "pdb_id", "vec")
-    total, width = columns.select(F.count("*"), F.max(F.size("vec"))).first()
+    more = [c for c in ("tokens",) if c in targets.columns]
+    columns = targets.select("protein_key", "pdb_id", "vec", *more)
+    numbers = F.size("vec") + (F.size("tokens") * F.size(F.get("tokens", F.lit(0))) if more else F.lit(0))
+    total, width = columns.select(F.count("*"), F.max(numbers)).first()
     per_block = max(1, TARGET_BLOCK_BYTES // (8 * ((width or 1) + 4 * listed)))
     if total <= per_block:
         if total:
-            yield columns.orderBy("protein_key").collect(), False
+            yield columns.orderBy("protein_key").toArrow(), False
         return
     numbered = materialize(number_rows(columns, [], ["protein_key"], "_n"), "targets")
     for lo in range(0, total, per_block):
-        yield numbered.filter((F.col("_n") >= lo) & (F.col("_n") < lo + per_block)).orderBy("_n").collect(), True
+        yield numbered.filter((F.col("_n") >= lo) & (F.col("_n") < lo + per_block)).orderBy("_n").toArrow(), True
 
 
 def check_targets(targets: DataFrame) -> None:
@@ -304,6 +390,10 @@ def check_targets(targets: DataFrame) -> None:
     rows = bad.limit(5).collect()
     if rows:
         raise ValueError(f"targets repeated or without a vector: {[r['protein_key'] for r in rows]}")
+    if "tokens" in targets.columns:
+        bare = targets.filter(F.col("tokens").isNull() | (F.size("tokens") <= 0)).select("protein_key").limit(5).collect()
+        if bare:
+            raise ValueError(f"targets without residues: {[r['protein_key'] for r in bare]}")
 
 
 class _Shortlist:
@@ -345,7 +435,7 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
     """Scores of every compound against every target.
 
     ``library`` has ``drug_id, vec`` (and optionally a boolean ``eligible``);
-    ``targets`` has ``protein_key, pdb_id, vec``. The library streams past a
+    ``targets`` has ``protein_key, pdb_id, vec`` and, for models that use residues, ``tokens``. The library streams past a
     block of target vectors as matrix products, so no pair row is built
     before it has a score and nothing is shuffled. With several blocks each is
     written before the next is fetched, so the driver holds one.
@@ -357,6 +447,10 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
     no list, pruned or not; without pruning its row stays.
     """
     check_targets(targets)
+    by_tokens = _token_models(models)
+    if by_tokens and "tokens" not in targets.columns:
+        raise ValueError("a model uses residues, but the targets have no tokens")
+    targets = targets if by_tokens else targets.drop("tokens")
     has_flag = "eligible" in library.columns
     prune = top is not None or bottom is not None
     schema = T.StructType([
@@ -368,14 +462,16 @@ def cross_score(library: DataFrame, targets: DataFrame, models: Sequence, beta:
     frozen = tuple(models)
     out = None
     for block, several in _target_blocks(targets, (top or 0) + (bottom or 0)):
-        matrix = np.array([r["vec"] for r in block], dtype=np.float64)
-        keys = pa.array([str(r["protein_key"]) for r in block])
-        pdbs = pa.array([None if r["pdb_id"] is None else str(r["pdb_id"]) for r in block])
+        matrix = _matrix(block.column("vec"))
+        keys, pdbs = (block.column(c).cast(pa.string()).combine_chunks() for c in ("protein_key", "pdb_id"))
+        ragged = [_matrix(t.values) for t in block.column("tokens")] if by_tokens else None
 
-        def run(batches: Iterable[pa.RecordBatch], matrix=matrix, keys=keys, pdbs=pdbs) -> Iterable[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], matrix=matrix, keys=keys, pdbs=pdbs, ragged=ragged) -> Iterable[pa.RecordBatch]:
+            residues = _padded(ragged) if ragged else None
+            cells = max(len(matrix) * len(frozen), residues["mask"].shape[1] if residues else 0)
             best, worst = _Shortlist(top or 0, len(matrix)), _Shortlist(bottom or 0, len(matrix))
-            for b in (tile for batch in batches for tile in _tiles(batch, len(matrix) * len(frozen))):
-                logits = [_grid_values(m, _matrix(b.column("vec")), matrix) for m in frozen]
+            for b in (tile for batch in batches for tile in _tiles(batch, cells)):
+                logits = [_grid_values(m, _matrix(b.column("vec")), matrix, residues) for m in frozen]
                 cls, rank = (np.stack([x[h] for x in logits], axis=2) for h in (0, 1))
                 flag = (b.column("eligible").to_numpy(zero_copy_only=False).astype(bool)
                         if has_flag else np.ones(b.num_rows, dtype=bool))

@@ -157,6 +157,14 @@ def center_crop(tokens: DataFrame, key: str, residue: str, limit: int) -> DataFr
     return salted_join(tokens, sizes, [key], "inner").filter(keep).drop("_n")
 
 
+def gather_tokens(tokens: DataFrame, key: str, residue: str, vec: str = "vec") -> DataFrame:
+    """``key, tokens``: a sequence's residue vectors in order, in one row. Crop first: a row holds
+    all residues that are left."""
+    rows = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(residue).alias("at"), F.col(vec).alias("v")))).alias("_t"))
+    return rows.select(key, F.transform("_t", lambda t: t["v"]).alias("tokens"))
+
+
 def token_manifest(tokens: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Length and vector width per sequence, sorted by id."""
     return tokens.groupBy(*keys).agg(

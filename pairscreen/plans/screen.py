@@ -9,9 +9,11 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.operators.joins import assert_same_ids, eligible_ids, select_targets, target_lookup
+from pairscreen.operators.joins import (
+    assert_same_ids, eligible_ids, manifest_match, require_single_record, select_targets, target_lookup)
 from pairscreen.operators.scoring import (
     bottom_k_per_target, cross_score, screening_table, top_hits, with_library_columns)
+from pairscreen.operators.sequences import center_crop, gather_tokens
 from pairscreen.session import materialize
 from pairscreen.sources.sinks import write_per_target, write_report, write_table
 
@@ -48,11 +50,22 @@ def flag_eligible(bank: DataFrame, ids: DataFrame | None, drug_id: str = "drug_i
         "eligible", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
+def attach_tokens(targets: DataFrame, manifest: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
+    """Targets with ``tokens``, the middle ``limit`` residue vectors of their one token record. Residues
+    of other records are left out before they move."""
+    match = require_single_record(manifest_match(targets, manifest)).select("prot_id", "protein_key", "token_file")
+    wanted = tokens.join(match.select("token_file").distinct(), "token_file", "left_semi")
+    cropped = center_crop(wanted, "token_file", "residue_idx", limit)
+    found = match.join(gather_tokens(cropped, "token_file", "residue_idx"), "token_file", "left").drop("token_file")
+    return targets.join(found, ["prot_id", "protein_key"], "left")
+
+
 def screen(library: DataFrame, drugs: DataFrame, targets: DataFrame, proteins: DataFrame, models: Sequence,
            top_k: int = 1000, bottom_k: int = 0, beta: float = 0.0, cls_min_prob: float = 0.0,
            eligibility: DataFrame | None = None, eligibility_key: str = "drug_key", library_key: str = "drug_key",
            predicate: str | None = None, pdb_ids: Sequence[str] = (), keep_scores: bool = False,
-           check_library: bool = True, write_once: bool = True) -> ScreenResult:
+           check_library: bool = True, write_once: bool = True, tokens: DataFrame | None = None,
+           manifest: DataFrame | None = None, max_tokens: int = 1024) -> ScreenResult:
     """``library``: ``drug_id`` and descriptive columns; ``drugs``:
     ``drug_id, vec``; ``targets``: ``prot_id, protein_key, pdb_id``;
     ``proteins``: ``idx, prot_id, protein_key, vec``.
@@ -61,10 +74,16 @@ def screen(library: DataFrame, drugs: DataFrame, targets: DataFrame, proteins: D
     only rows that can still make a list; those few (or, with
     ``keep_scores``, all) are written once, and everything else reads them.
     ``write_once=False`` is for callers that read one list once.
+
+    Models that use residues need ``tokens`` (``token_file, residue_idx, vec``) and their ``manifest``
+    (``prot_id, protein_key, token_file, length``): each target must match exactly one record, by key or id,
+    and gets its middle ``max_tokens`` residues.
     """
     if check_library:
         assert_same_ids(library, drugs, "drug_id")
     chosen = target_lookup(select_targets(targets, pdb_ids), proteins)
+    if tokens is not None:
+        chosen = attach_tokens(chosen, manifest, tokens, max_tokens)
     ids, n_eligible = None, None
     if eligibility is not None:
         ids = eligible_ids(eligibility, library, eligibility_key, library_key, predicate)

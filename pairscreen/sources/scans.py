@@ -12,6 +12,7 @@ from pairscreen.functions.text import clean_text
 from pairscreen.functions.vectors import PREFERRED_VECTOR_COLUMNS
 from pairscreen.operators.joins import alias_index
 from pairscreen.operators.ordering import number_rows
+from pairscreen.sources.records import quoted_records
 
 # Export headers and the names their columns take ----------------
 EXPORT_COLUMNS = {
@@ -44,13 +45,16 @@ PAIR_SCHEMA = T.StructType([
 # --------------------------------------------------------------------------------
 
 
-def scan_compounds(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def scan_compounds(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                   line_breaks: bool = False) -> DataFrame:
     """A ``;``-separated, quoted compound export as cleaned text columns.
 
     ``columns`` names the cells of files without a header line, such as parts
     that many tasks wrote; left out, each file's header line is read.
     Surplus cells of a line are ignored and short lines are padded with
-    missing cells.
+    missing cells. ``line_breaks`` reads files whose quoted cells hold line
+    breaks (``records.quoted_records``), still split by split, at the cost of
+    writing the lines once.
     """
     header = list(columns) if columns else (
         spark.read.options(sep=";", header=True, quote='"').csv(path).columns)
@@ -58,8 +62,12 @@ def scan_compounds(spark: SparkSession, path: str, columns: Sequence[str] | None
     if missing:
         raise ValueError(f"missing columns: {missing}")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    raw = spark.read.schema(schema).options(
-        sep=";", header=columns is None, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
+    options = {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if line_breaks:
+        cells = F.from_csv("value", ", ".join(f"{f.name} STRING" for f in schema.fields), options)
+        raw = quoted_records(spark, path, ";", header=columns is None).select(cells.alias("c")).select("c.*")
+    else:
+        raw = spark.read.schema(schema).options(header=columns is None, enforceSchema=True, **options).csv(path)
     return raw.select(*[
         _cell(f"c{header.index(source)}").alias(name) for source, name in EXPORT_COLUMNS.items()])
 
