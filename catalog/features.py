@@ -9,7 +9,7 @@ from catalog.base import long_vector, query, r, role, rounded, table
 from pairscreen.functions import vectors
 from pairscreen.functions.text import clean_sequence
 from pairscreen.operators import features, sequences
-from pairscreen.session import scratch_path, spread
+from pairscreen.session import parallelism, scratch_path, spread
 from pairscreen.sources import scans, sinks
 
 _LONG = """v AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
@@ -259,16 +259,21 @@ def stitched(spark, sf):
 
 def stitched_tokens(spark, sf):
     """Each window shifts the first number by its start, so overlaps differ."""
-    words = F.split("text", " ")
-    docs = table(spark, sf, "documents", "doc_id").select("doc_id", words.alias("words"), F.size(words).alias("length"))
-    starts = sequences.window_starts(F.col("length"), 64, 32, tail_anchored=True)
-    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, 64).alias("piece")))
-    windows = docs.select("doc_id", F.explode(pieces).alias("w")).select("doc_id", "w.*")
+    # Many small tasks: each holds a sum for every residue of its documents.
+    docs = table(spark, sf, "documents").repartition(4 * parallelism(spark), "doc_id")
+
+    def pieces(words):
+        starts = sequences.window_starts(F.size(words), 64, 32, tail_anchored=True)
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, 64).alias("piece")))
+
+    # A text is split once, not once for each of its windows.
+    windows = docs.select("doc_id", F.explode(vectors.bind(F.split("text", " "), pieces)).alias("w")).select("doc_id", "w.*")
     seen = windows.select("doc_id", "start", F.posexplode("piece").alias("offset", "word"))
     vecs = seen.select("doc_id", "start", "offset", F.array(
         (F.length("word") + F.col("start")).cast("float"), F.ascii("word").cast("float"),
         ((F.col("start") + F.col("offset")) % 7).cast("float")).alias("vec"))
-    return sequences.stitch_windows(vecs, "doc_id", docs.select("doc_id", "length"))
+    lengths = docs.select("doc_id", F.size(F.split("text", " ")).alias("length"))
+    return sequences.stitch_windows(vecs, "doc_id", lengths, dims=3)
 
 
 @query("boundary_trim", """

@@ -109,17 +109,22 @@ def pool_mean(tokens: DataFrame, key: str, vec: str = "vec", pool: str = "mean")
     return per_window.groupBy(key).agg(_mean(vec).alias(vec))
 
 
-def stitch_windows(tokens: DataFrame, key: str, lengths: DataFrame | None = None, vec: str = "vec") -> DataFrame:
+def stitch_windows(tokens: DataFrame, key: str, lengths: DataFrame | None = None, vec: str = "vec",
+                   dims: int | None = None) -> DataFrame:
     """Residue vectors at their original position, overlaps averaged.
 
     ``tokens`` has ``key, start, offset, vec``; ``lengths`` (``key, length``)
     turns on the check that every residue is covered. The vectors gathered
     per residue are those of the windows over it, ``width / stride`` at most.
+    Where vectors are narrow and all have ``dims`` elements, name it: elements are then plain sums,
+    which combine before a shuffle, and a later choice of sequences is made before they are stitched.
     """
     if lengths is not None and not uncovered_sequences(tokens, key, lengths).isEmpty():
         raise ValueError("uncovered residues")
     placed = tokens.select(key, (F.col("start") + F.col("offset")).alias("residue_idx"),
                            F.col(vec).cast("array<double>").alias(vec))
+    if dims is not None:
+        return _summed(placed, key, vec, dims)
     gathered = placed.groupBy(key, "residue_idx").agg(F.collect_list(vec).alias("_v"))
     total = F.reduce(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0)),
                      lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
@@ -128,6 +133,16 @@ def stitch_windows(tokens: DataFrame, key: str, lengths: DataFrame | None = None
     return gathered.select(key, "residue_idx", mean.alias(vec))
 
 
+def _summed(placed: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
+    """Means by element; like the gathered ones, NULL vectors do not count, and a NULL element leaves none."""
+    fits = F.col(vec).isNull() | (F.size(vec) == dims)
+    cells = placed.select(key, "residue_idx", F.when(
+        fits, F.col(vec)).otherwise(F.raise_error(F.lit(f"vectors must have {dims} elements"))).alias(vec))
+    n = F.count(vec)
+    mean = F.array(*[F.when(F.count(c) == n, F.sum(c) / n) for c in (F.get(vec, F.lit(i)) for i in range(dims))])
+    return cells.groupBy(key, "residue_idx").agg(F.when(n > 0, mean).alias(vec))
+
+
 def uncovered_sequences(tokens: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
     """Sequences whose windows leave a gap, judged from window extents; the
     vectors are not read."""

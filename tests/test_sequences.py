@@ -94,6 +94,36 @@ def test_stitching(spark, tokens):
             sequences.stitch_windows(holes, "id", lengths)
 
 
+def test_stitching_by_element(spark, tokens):
+    """Sums by element give what the gathered vectors give, NULL vectors and elements included."""
+    rows = [(9, 0, 0, 0, [1.0, None, 3.0]), (9, 1, 0, 0, None), (9, 1, 0, 1, None), (9, 1, 0, 2, [-2.0, 0.5, 4.0])]
+    df = spark.createDataFrame(tokens, SCHEMA).repartition(4).unionByName(spark.createDataFrame(rows, SCHEMA))
+    found = sequences.stitch_windows(df, "id", dims=3)
+    assert sorted(map(str, found.collect())) == sorted(map(str, sequences.stitch_windows(df, "id").collect()))
+    chosen = found.join(F.broadcast(spark.createDataFrame([(2,)], "id int")), "id", "left_semi")
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # chosen before they are stitched
+    with pytest.raises(Exception, match="must have 2 elements"):
+        sequences.stitch_windows(df, "id", dims=2).collect()
+
+
+def test_words_are_split_once_a_text(spark):
+    from catalog.features import stitched_tokens
+
+    plan = stitched_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_center_crop_never_sorts_residues(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "KEYS_SENT", 0)
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 5), (None, 7)) for i in range(n)], "id int, i int")
+    found = sequences.center_crop(df, "id", "i", 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [
+        *[(1, i) for i in range(13, 17)], *[(2, i) for i in range(4)], *[(None, i) for i in range(1, 5)]]))
+
+
 @pytest.mark.parametrize("limit", [1, 4, 5, 30, 99])
 def test_center_crop(spark, limit):
     df = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 5)) for i in range(n)], "id int, i int")
