@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairscreen.functions.text import clean_sequence, parse_number
-from pairscreen.operators.joins import salted_join
+from pairscreen.operators.joins import HOT_SHARE, salted_join
 from pairscreen.operators.ordering import first_per_key
-from pairscreen.session import parallelism
+from pairscreen.session import materialize, parallelism
 
 # Fixed values ---------------------------------------------------------------
 WINDOW = 1024
 STRIDE = 512
+KEYS_SENT = 50_000
 # ----------------------------------------------------------------------------
 
 
@@ -163,13 +164,17 @@ def uncovered_sequences(tokens: DataFrame, key: str, lengths: DataFrame) -> Data
 def center_crop(tokens: DataFrame, key: str, residue: str, limit: int) -> DataFrame:
     """At most ``limit`` residues per sequence, taken from the middle.
 
-    Counts are joined back instead of windowed, and a sequence that holds a
-    large share of all residues is spread over tasks.
+    Counts are written once and joined back instead of windowed, and a sequence that holds a
+    large share of all residues is spread over tasks. Residues stream past the
+    counts of their task and are never sorted.
     """
-    sizes = tokens.groupBy(key).agg(F.count("*").alias("_n"))
+    sizes = materialize(tokens.groupBy(key).agg(F.count("*").alias("_n")), "sizes")
+    keys, total = sizes.agg(F.count("*"), F.sum("_n")).first()
+    hot = [r["h"] for r in sizes.filter(F.col("_n") > (total or 0) * HOT_SHARE).select(F.xxhash64(key).alias("h")).collect()]
     start = F.floor((F.col("_n") - limit) / 2)
     keep = (F.col("_n") <= limit) | ((F.col(residue) >= start) & (F.col(residue) < start + limit))
-    return salted_join(tokens, sizes, [key], "inner").filter(keep).drop("_n")
+    counts = sizes.hint("shuffle_hash") if keys > KEYS_SENT else sizes
+    return salted_join(tokens, counts, [key], "inner", hot=hot).filter(keep).drop("_n")
 
 
 def gather_tokens(tokens: DataFrame, key: str, residue: str, vec: str = "vec") -> DataFrame:
