@@ -21,9 +21,9 @@ def residues(spark, sf):
     return stitched_tokens(spark, sf).withColumnRenamed("doc_id", "token_file")
 
 
-def records(spark, sf):
+def records(found):
     """A token record for each document, under its id."""
-    return sequences.token_manifest(residues(spark, sf), ["token_file"]).select(
+    return sequences.token_manifest(found, ["token_file"]).select(
         F.col("token_file").cast("string").alias("prot_id"), F.concat(F.lit("doc"), "token_file").alias("protein_key"),
         "token_file", "length")
 
@@ -44,7 +44,8 @@ _MATCH = f"{SCALE} * (lib.v[1] * cr.a + lib.v[2] * cr.b + lib.v[3] * cr.c)"
     FROM {{targets}} AS g JOIN cr ON cr.doc_id = CAST(g.prot_id AS BIGINT) GROUP BY protein_key""")
 def attached(spark, sf):
     """Middle residues of each target's one record."""
-    found = attach_tokens(role(spark, sf, "targets"), records(spark, sf), residues(spark, sf), LIMIT)
+    tokens = residues(spark, sf)
+    found = attach_tokens(role(spark, sf, "targets"), records(tokens), tokens, LIMIT)
     each = found.select("protein_key", F.size("tokens").cast("bigint").alias("length"),
                         F.size(F.get("tokens", F.lit(0))).alias("width"), F.explode("tokens").alias("v"))
     return each.groupBy("protein_key", "length", "width").agg(

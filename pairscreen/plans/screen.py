@@ -52,8 +52,8 @@ def flag_eligible(bank: DataFrame, ids: DataFrame | None, drug_id: str = "drug_i
 
 def attach_tokens(targets: DataFrame, manifest: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
     """Targets with ``tokens``, the middle ``limit`` residue vectors of their one token record. Residues
-    of other records are left out before they move."""
-    match = require_single_record(manifest_match(targets, manifest)).select("prot_id", "protein_key", "token_file")
+    of other records are left out before they move; the match, one row a target, is written once."""
+    match = materialize(require_single_record(manifest_match(targets, manifest)).select("prot_id", "protein_key", "token_file"), "match")
     wanted = tokens.join(match.select("token_file").distinct(), "token_file", "left_semi")
     cropped = center_crop(wanted, "token_file", "residue_idx", limit)
     found = match.join(gather_tokens(cropped, "token_file", "residue_idx"), "token_file", "left").drop("token_file")

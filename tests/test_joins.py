@@ -100,6 +100,16 @@ def test_manifest_needs_one_record(spark):
         joins.require_single_record(joins.manifest_match(targets, records)).collect()
 
 
+def test_manifest_is_read_once(spark):
+    targets = spark.createDataFrame([("1", "1"), (None, "b"), ("c", None)], "prot_id string, protein_key string")
+    rows = [("1", "1", "f1", 5), (None, None, "f2", 6), ("b", "c", "f3", 7)]
+    schema = "prot_id string, protein_key string, token_file string, length int"
+    found = joins.manifest_match(targets, spark.createDataFrame(rows, schema).withColumn("length", F.col("length") + F.lit(1000)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("+ 1000)") == 1
+    assert {(r["prot_id"], r["protein_key"]): r["n_records"] for r in found.collect()} == {("1", "1"): 1, (None, "b"): 0, ("c", None): 0}
+
+
 def test_attach_metadata_rejects_repeated_ids(spark):
     hits = spark.createDataFrame([(1, "p"), (1, "q"), (3, "p")], "drug_id int, protein_key string")
     lib = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "drug_id int, name string")
