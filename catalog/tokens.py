@@ -66,9 +66,10 @@ def attached(spark, sf):
     FROM f QUALIFY rank <= {TOP}""")
 def screened_with_tokens(spark, sf):
     """A model of residues beside one of vectors, best K."""
+    tokens = residues(spark, sf)
     found = screen(
         library_table(spark, sf), library_bank(spark, sf), role(spark, sf, "targets"), protein_bank(spark, sf), models(),
-        top_k=TOP, beta=BETA, tokens=residues(spark, sf), manifest=records(spark, sf), max_tokens=LIMIT)
+        top_k=TOP, beta=BETA, tokens=tokens, manifest=records(tokens), max_tokens=LIMIT)
     return found.top.select("drug_id", "protein_key", "pdb_id", *[
         rounded(c).alias(c) for c in ("cls_logit_mean", "rank_logit_mean", "final_score")], "rank")
 

@@ -83,7 +83,8 @@ def screen(library: DataFrame, drugs: DataFrame, targets: DataFrame, proteins: D
         assert_same_ids(library, drugs, "drug_id")
     chosen = target_lookup(select_targets(targets, pdb_ids), proteins)
     if tokens is not None:
-        chosen = attach_tokens(chosen, manifest, tokens, max_tokens)
+        # Checks, blocks and the report read the targets again and again.
+        chosen = materialize(attach_tokens(chosen, manifest, tokens, max_tokens), "targets")
     ids, n_eligible = None, None
     if eligibility is not None:
         ids = eligible_ids(eligibility, library, eligibility_key, library_key, predicate)
