@@ -9,6 +9,7 @@ from catalog.features import _TOKENS, stitched_tokens
 from catalog.scoring import TOP, library_bank, library_table, protein_bank
 from pairscreen.operators import scoring, sequences
 from pairscreen.plans.screen import attach_tokens, screen
+from pairscreen.session import materialize
 
 LIMIT, SCALE, BETA = 48, 0.05, 0.5
 
@@ -86,7 +87,10 @@ def pairs_with_tokens(spark, sf):
     bank = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
     pairs = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("drug_idx"), F.col("l_suppkey").alias("prot_idx")).distinct()
-    cropped = sequences.center_crop(residues(spark, sf), "token_file", "residue_idx", LIMIT)
+    pairs = materialize(pairs, "pairs")
+    paired = pairs.select(F.col("prot_idx").alias("token_file")).distinct()
+    wanted = residues(spark, sf).join(materialize(paired, "paired"), "token_file", "left_semi")
+    cropped = sequences.center_crop(wanted, "token_file", "residue_idx", LIMIT)
     tokens = sequences.gather_tokens(cropped, "token_file", "residue_idx").withColumnRenamed("token_file", "idx")
     scored = scoring.ensemble_stats(scoring.score_pairs(pairs, bank, bank, models(), tokens=tokens))
     return scored.select("drug_idx", "prot_idx", *[rounded(c).alias(c) for c in ("cls_logit_mean", "rank_logit_mean")])
