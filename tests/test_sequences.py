@@ -107,10 +107,11 @@ def test_stitching_by_element(spark, tokens):
         sequences.stitch_windows(df, "id", dims=2).collect()
 
 
-def test_words_are_split_once_a_text(spark):
+def test_words_are_split_once_a_text(spark, tmp_path):
     from catalog.features import stitched_tokens
 
-    plan = stitched_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.createDataFrame([(1, "a b c"), (2, " ".join("w" * 90))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = stitched_tokens(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
 
 
