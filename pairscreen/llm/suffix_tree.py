@@ -16,12 +16,13 @@ mass that discounting freed.
 Both bounds are counts, so the tree grows with the input, and nobody holds it:
 chunks send their distinct runs of a level to shards of contexts, which add them up,
 test the contexts and answer every chunk in the order of its question. The next level
-starts from the answers. A hot context's runs go to all shards.
+starts from the answers. A hot context's runs go to all shards. A run is sent as its last symbol's number,
+the most frequent first, as steps inside its context, and every question by bytes of one weight: small numbers
+pack well, hashes of runs would not.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairscreen.llm import arrays
-from pairscreen.session import materialize
+from pairscreen.operators.ordering import number_rows
+from pairscreen.session import materialize, release_shuffles
 
 CHUNK_BYTES = 8 << 20  # a batch at most
 #: Occurrences in training texts.
@@ -100,6 +102,14 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return flat.groupBy(F.col("x.words").alias("word")).agg(F.sum(F.col("x.train").cast("long")).alias("c"))
 
 
+def _symbols(counts: DataFrame) -> DataFrame:
+    """``word, c, symbol``: symbols numbered from 1, most frequent first; 0 is the rest."""
+    often = counts.filter((F.col("c") >= LEAST_SYMBOL) | (F.col("word") == END)).withColumn("_less", -F.col("c"))
+    numbered = number_rows(often, [], ["_less", "word"], "symbol").select("word", "c", (F.col("symbol") + 1).cast("int").alias("symbol"))
+    rest = counts.filter((F.col("c") < LEAST_SYMBOL) & (F.col("word") != END))
+    return numbered.unionByName(rest.select("word", "c", F.lit(0).alias("symbol")))
+
+
 def _decode(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
@@ -122,9 +132,18 @@ def _contexts(symbols: np.ndarray, lengths: np.ndarray, depth: int, end: int) ->
 
 
 def _word_replies(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """``of, pos, c``: training counts of a chunk's words, those that have any."""
+    """Replies of depth 0: training counts and symbols of a chunk's words, those that have any."""
     asked = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    return asked.join(counts, "word").select(F.col("chunk").alias("of"), "pos", "c")
+    found = asked.join(_symbols(counts), "word").select(F.col("chunk").alias("of"), "pos", "c", "symbol")
+
+    def run(table: pa.Table) -> pa.Table:
+        pos, c, symbol = (table.column(k).to_numpy() for k in ("pos", "c", "symbol"))
+        order = np.argsort(pos)
+        blob = _pack(np.diff(pos[order], prepend=0).astype(np.uint32), c[order].astype(np.int64), symbol[order].astype(np.uint32))
+        return pa.table({"of": table.column("of").slice(0, 1), "depth": pa.array([0], pa.int32()), "shard": pa.array([-1], pa.int64()),
+                         "blob": pa.array([blob], pa.binary())})
+
+    return found.groupBy("of").applyInArrow(run, "of long, depth int, shard long, blob binary")
 
 
 def _combine(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -165,10 +184,12 @@ def _model(counts: DataFrame) -> Model:
 
 
 def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays by bytes of one weight: the high ones are mostly alike."""
     import zstandard
 
     sizes = np.asarray([len(x) for x in parts], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *[x.tobytes() for x in parts]]))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in parts]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
 
 
 def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -177,8 +198,10 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 8 * len(kinds), []
     for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)).tolist(), kinds):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size * width
     return out
 
 
@@ -187,9 +210,9 @@ class _Walk:
     context's ``key`` and training count ``n`` (0: no candidate), the ``run`` it makes
     with the token, and the token's probability ``p`` in its longest kept context so far."""
 
-    def __init__(self, row: dict, count: np.ndarray, model: Model):
+    def __init__(self, row: dict, count: np.ndarray, number: np.ndarray, model: Model):
         self.tokens, self.lengths, words = _decode(row)
-        self.model, self.count = model, count
+        self.model, self.count, self.number = model, count, number  # training count and symbol of its words
         self.known = (count > 0) & ((count >= model.least_symbol) | (words == END))
         symbol = np.where(self.known, words.view(np.uint64), np.uint64(REST))
         end = int(np.flatnonzero(words == END)[0])
@@ -209,26 +232,28 @@ class _Walk:
         self.run = _combine(self.key, self.symbols)
         self.here = np.flatnonzero(self.n >= self.model.least_context)
         runs, first, of = np.unique(self.run[self.here], return_index=True, return_inverse=True)
-        keys, n = self.key[self.here][first], self.n[self.here][first]
+        keys, n, last = self.key[self.here][first], self.n[self.here][first], self.number[self.tokens[self.here][first]]
         hot = n > self.model.total >> self.model.bits
         place = arrays.mix(keys)
         top = arrays.mix(runs[hot]) >> (np.uint64(64) - bits) << (np.uint64(64) - bits)
         place[hot] = top | (place[hot] >> bits)
-        order = np.argsort(place, kind="stable")
+        order = np.lexsort((last, keys, place))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.at = rank[of]  # of tokens, among runs
-        self.runs, place, keys, hot = runs[order], place[order], keys[order], hot[order]
+        self.runs, place, keys, hot, last = runs[order], place[order], keys[order], hot[order], last[order].astype(np.uint32)
         new = np.ones(len(order), bool)
         new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
         self.entry = np.cumsum(new) - 1  # of runs, among contexts
         self.starts = np.flatnonzero(new)
+        self.steps = last.copy()  # from one run's symbol to the next in its context
+        self.steps[1:] -= np.where(new[1:], np.uint32(0), last[:-1])
         self.keys, self.is_hot = keys[new], hot[new]
         self.shard = (place[new] >> (np.uint64(64) - bits)).astype(np.int64)
 
     def questions(self, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """By shard: contexts, whether hot, the sum of their training tokens' log
-        probabilities, their numbers of runs; runs and training counts."""
+        probabilities, their numbers of runs; steps of the runs' symbols, and training counts."""
         train = np.repeat(~held, self.lengths)[self.here].astype(float)
         n = np.bincount(self.at, train, len(self.runs)).astype(np.uint32)
         logs = np.bincount(self.entry[self.at], train * np.log(self.p[self.here]), len(self.keys))
@@ -236,8 +261,8 @@ class _Walk:
         edges = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             i, j = self.starts[a], self.starts[b] if b < len(self.starts) else len(self.runs)
-            yield int(self.shard[a]), _pack(self.keys[a:b], self.is_hot[a:b].astype(np.uint8), logs[a:b], sizes[a:b].astype(np.uint32),
-                                            self.runs[i:j], n[i:j])
+            yield int(self.shard[a]), _pack(arrays.mix(self.keys[a:b]), self.is_hot[a:b].astype(np.uint8), logs[a:b], sizes[a:b].astype(np.uint32),
+                                            self.steps[i:j], n[i:j])
 
     def go(self, depth: int, blobs: list[bytes]) -> None:
         """On to contexts of one more symbol, by the shards' replies in order."""
@@ -247,7 +272,7 @@ class _Walk:
         n = np.concatenate([np.zeros(0, np.int64), *[x for _, x in replies]])
         keys, followers = self.model.hot[depth - 1]
         if self.is_hot.any():
-            types[self.is_hot] = followers[np.searchsorted(keys, self.keys[self.is_hot])]
+            types[self.is_hot] = followers[np.searchsorted(keys, arrays.mix(self.keys[self.is_hot]))]
         self.types, self.counts = types, n
         d, here = self.model.discounts[depth - 1], self.here
         n, types = n[self.at], types[self.entry[self.at]]
@@ -266,15 +291,15 @@ def _by_depth(replies: pa.Table) -> dict[int, list[bytes]]:
 
 
 def _walk(left: pa.Table, right: pa.Table, model: Model, depth: int) -> _Walk:
-    """The chunk at contexts of ``depth`` symbols, by all replies so far: word
-    counts by place as plain columns, or as the reply at depth 0."""
+    """The chunk at contexts of ``depth`` symbols, by all replies so far."""
     row = {k: left.column(k)[0] for k in ("tokens", "lengths", "words")}
-    count = np.zeros(len(row["words"].values), np.int64)
-    if "pos" in right.column_names:
-        count[right.column("pos").to_numpy()] = right.column("c").to_numpy()
-        return _Walk(row, count, model)
+    count, number = np.zeros(len(row["words"].values), np.int64), np.zeros(len(row["words"].values), np.uint32)
     by = _by_depth(right)
-    walk = _Walk(row, _unpack(by[0][0], np.int64)[0], model)
+    for blob in by.get(0, []):
+        steps, c, symbol = _unpack(blob, np.uint32, np.int64, np.uint32)
+        pos = np.cumsum(steps, dtype=np.int64)
+        count[pos], number[pos] = c, symbol
+    walk = _Walk(row, count, number, model)
     for d in range(1, depth):
         walk.go(d, by.get(d, []))
     return walk
@@ -286,8 +311,6 @@ def _ask(model: Model, depth: int):
         walk = _walk(left, right, model, depth)
         walk.ask()
         rows = list(walk.questions(held))
-        if depth == 1:  # a group of its own, to come back as it is
-            rows.append((-1 - chunk, _pack(walk.count)))
         return pa.table({"shard": pa.array([s for s, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
                          "blob": pa.array([x for _, x in rows], pa.binary())})
 
@@ -310,29 +333,30 @@ def _reply(depth: int):
     def run(table: pa.Table) -> pa.Table:
         shard, chunks, blobs = table.column("shard")[0].as_py(), table.column("chunk").to_pylist(), table.column("blob").to_pylist()
         out: list[tuple] = []
-        if shard < 0:
-            out = [(chunks[0], 0, shard, blobs[0], None, None, None, None)]
-        else:
-            got = [_unpack(x, np.uint64, np.uint8, np.float64, np.uint32, np.uint64, np.uint32) for x in blobs]
-            keys, hot, logs, sizes, runs, n = (np.concatenate(x) for x in zip(*got))
-            keys, first, entry = np.unique(keys, return_index=True, return_inverse=True)
-            hot = hot[first].astype(bool)
-            logs = np.bincount(entry, logs, len(keys))
-            runs, first, of = np.unique(runs, return_index=True, return_inverse=True)
-            total = np.bincount(of, n, len(runs)).astype(np.int64)
-            context = np.repeat(entry, sizes)[first]
-            n = np.bincount(context, total, len(keys))
-            types = np.bincount(context[total > 0], minlength=len(keys))
-            part = np.bincount(context, total * np.log(np.maximum(total, 1)), len(keys)) - logs
-            kept = np.where(_passes(n, types, part) & ~hot, types, 0).astype(np.uint32)
-            i = j = 0
-            for chunk, x in zip(chunks, got):
-                a, b = i + len(x[0]), j + len(x[4])
-                out.append((chunk, depth, shard, _pack(kept[entry[i:a]], total[of[j:b]]), None, None, None, None))
-                i, j = a, b
-            for k in np.flatnonzero(hot).tolist():
-                out.append((-1, depth, shard, None, int(keys[k].view(np.int64)), int(n[k]), int(types[k]), float(part[k])))
-            out.append((-2, depth, shard, None, None, int((total == 1).sum()), int((total == 2).sum()), None))
+        got = [_unpack(x, np.uint64, np.uint8, np.float64, np.uint32, np.uint32, np.uint32) for x in blobs]
+        keys, hot, logs, sizes, steps, n = (np.concatenate(x) for x in zip(*got))
+        keys, first, entry = np.unique(keys, return_index=True, return_inverse=True)
+        hot = hot[first].astype(bool)
+        logs = np.bincount(entry, logs, len(keys))
+        symbols = np.cumsum(steps, dtype=np.uint64)
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        symbols -= np.repeat(symbols[before] - steps[before], sizes)
+        runs = np.repeat(entry, sizes).astype(np.uint64) << np.uint64(32) | symbols
+        runs, first, of = np.unique(runs, return_index=True, return_inverse=True)
+        total = np.bincount(of, n, len(runs)).astype(np.int64)
+        context = np.repeat(entry, sizes)[first]
+        n = np.bincount(context, total, len(keys))
+        types = np.bincount(context[total > 0], minlength=len(keys))
+        part = np.bincount(context, total * np.log(np.maximum(total, 1)), len(keys)) - logs
+        kept = np.where(_passes(n, types, part) & ~hot, types, 0).astype(np.uint32)
+        i = j = 0
+        for chunk, x in zip(chunks, got):
+            a, b = i + len(x[0]), j + len(x[4])
+            out.append((chunk, depth, shard, _pack(kept[entry[i:a]], total[of[j:b]]), None, None, None, None))
+            i, j = a, b
+        for k in np.flatnonzero(hot).tolist():
+            out.append((-1, depth, shard, None, int(keys[k].view(np.int64)), int(n[k]), int(types[k]), float(part[k])))
+        out.append((-2, depth, shard, None, None, int((total == 1).sum()), int((total == 2).sum()), None))
         names = [x.split()[0] for x in REPLIES.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table({k: pa.array(list(v), t) for k, t, v in zip(names, kinds, zip(*out))})
@@ -340,16 +364,10 @@ def _reply(depth: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _learn(chunks: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
-    """All replies to the chunks, level by level. The driver receives at most one
+    """All replies to the chunks, level by level, after those of depth 0. The driver receives at most one
     row per shard and hot context, no state of the others."""
-    spark, levels = chunks.sparkSession, None
+    spark = chunks.sparkSession
     asking = chunks.select("chunk", "held", "lengths", "words", "tokens")
     for depth in range(1, DEPTH + 1):
         asked = asking.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(
@@ -363,9 +381,8 @@ def _learn(chunks: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
         model.hot.append((keys[order], np.where(_passes(n, types, part), types, 0).astype(np.int64)[order]))
         model.discounts.append(_discount(once or 0, twice or 0))
         level = level.filter("chunk >= 0").select(F.col("chunk").alias("of"), "depth", "shard", "blob")
-        levels = level if levels is None else levels.unionByName(level)
-        replies = levels
-        _release(spark)
+        replies = replies.unionByName(level)
+        release_shuffles(spark)
     return replies
 
 
@@ -480,10 +497,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     result; repeated texts count as often as they come. Other columns are ignored.
     """
     arrays.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     chunks = materialize(encode(docs, id_col, text_col, held_out), "chunks")
     counts = materialize(word_counts(chunks), "word-counts")
+    release_shuffles(spark)
     model = _model(counts)
-    replies = _word_replies(chunks, counts)
+    replies = materialize(_word_replies(chunks, counts), "word-replies")
+    release_shuffles(spark)
     if model.total:
         replies = _learn(chunks, replies, model)
     kind = docs.schema[id_col].dataType.simpleString()

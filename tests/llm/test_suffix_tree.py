@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,23 @@ def test_hot_contexts_over_shards(spark, monkeypatch):
     suffix_tree.score(docs, held_col())
     assert not len(made[0].hot[0][0]) and len(made[1].hot[0][0])
     assert many.keys() == few.keys() and all(math.isclose(many[i], few[i], rel_tol=1e-9) for i in many)
+
+
+def test_questions_are_short(spark):
+    """A run is asked for by a small step and its count, not by a hash; packing keeps every array."""
+    parts = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint8), np.asarray([0.1, -2.5]), np.asarray([7, 1 << 31], np.uint32)]
+    back = suffix_tree._unpack(suffix_tree._pack(*parts), np.uint64, np.uint8, np.float64, np.uint32)
+    assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(parts, back))
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(300 * rng.random() ** 2)}" for _ in range(400)), "en", "a") for i in range(60)]
+    chunks = suffix_tree.materialize(suffix_tree.encode(make_docs(spark, rows), "doc_id", "text", F.lit(False)), "test-chunks")
+    counted = suffix_tree.materialize(suffix_tree.word_counts(chunks), "test-counts")
+    model, replies = suffix_tree._model(counted), suffix_tree._word_replies(chunks, counted).toArrow()
+    left = chunks.toArrow()
+    for i in range(left.num_rows):
+        one = left.slice(i, 1)
+        walk = suffix_tree._walk(one, replies.filter(pc.equal(replies.column("of"), one.column("chunk")[0])), model, 1)
+        walk.ask()
+        asked = sum(len(x) for _, x in walk.questions(np.zeros(len(walk.lengths), bool)))
+        assert asked < 3 * len(walk.runs) + 24 * len(walk.keys)
