@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.llm import arrays
+from pairscreen.llm import arrays, exact
 from pairscreen.llm.graph import components
-from pairscreen.session import Scratch, materialize
+from pairscreen.session import Scratch, materialize, release_shuffles
 
 WORDS = 5
 PERCENT = 80
@@ -143,6 +143,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return known.unionByName(_with_node(unknown, "text", k))
 
 
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: false where ``key`` is certainly not among the values of ``wanted``, told by a bit map of
+    fixed size. It spares the other rows a shuffle; what is marked by mistake is left to a join."""
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(exact.MAP_BITS)) + 1
+    bits = wanted.select(at.alias("_at")).distinct().groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    found = rows.withColumn("_at", at).join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")
+    return found.withColumn("_may", exact._is_set(F.col("_bits"), F.col("_at"))).drop("_at", "_bucket", "_bits")
+
+
 def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -282,6 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "class", F.when(F.col("n") > 0, F.col("class"))).select(
         "id", "node", "n", "class"), "classed")
     scratch.drop("sketches")
+    release_shuffles(docs.sparkSession)
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link to equal ones only
     bytes_ = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(
@@ -294,8 +305,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.table("ranked-bands", met.join(met.groupBy("node").agg(F.sum("size").alias("rank")), "node").select(
         "key", "band", "node", "rank"))
     scratch.drop("shared-bands")
+    release_shuffles(docs.sparkSession)
     # the texts that any comparison may need, once
-    texts = scratch.table("texts", _texts(docs, id_col, text_col, k).join(shared.select("node").distinct(), "node", "left_semi"))
+    needed = materialize(shared.select("node").distinct(), "needed")
+    texts = scratch.table("texts", marked(_texts(docs, id_col, text_col, k), "node", needed).filter("_may").drop("_may").join(
+        needed, "node", "left_semi"))
+    release_shuffles(docs.sparkSession)
     open_ = shared.withColumn("comp", F.col("node"))
     links = tried = hubs = None
     for _ in range(ROUNDS):
@@ -316,8 +331,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         open_ = materialize(now.join(mixed, "key").select("key", "band", "node", "rank", "comp"), "open-bands")
     scratch.drop("ranked-bands")
+    release_shuffles(docs.sparkSession)
     undecided = materialize(_undecided(open_, classes, percent), "undecided")
     scratch.drop("classes")
+    release_shuffles(docs.sparkSession)
     links = links.unionByName(materialize(_linked(undecided, texts, k, percent), "links"))
     scratch.drop("texts")
     # rows of one id with several sets hang together
@@ -347,10 +364,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     # whole rows in one column, so that no column of theirs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key = F.col("row").getField(id_col)
-    dropped = found.filter("not kept and id is not null").select("id").distinct()
+    dropped = materialize(found.filter("not kept and id is not null").select("id").distinct(), "dropped")
     repeated = materialize(found.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated")
-    known = rows.filter(key.isNotNull()).withColumn("id", key.cast("long")).join(dropped, "id", "left_anti")
-    once = known.join(repeated, "id", "left_anti").select("row")
+    known = marked(rows.filter(key.isNotNull()).withColumn("id", key.cast("long")), "id", dropped.unionByName(repeated))
+    sure = known.filter("not _may").select("row")
+    known = known.filter("_may").drop("_may").join(dropped, "id", "left_anti")
+    once = sure.unionByName(known.join(repeated, "id", "left_anti").select("row"))
     if not repeated.isEmpty():
         once = once.unionByName(known.join(repeated, "id", "left_semi").dropDuplicates(["id"]).select("row"))
     unknown = _with_node(rows.filter(key.isNull()), f"row.{text_col}", k)

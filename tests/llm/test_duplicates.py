@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from llm_cases import make_docs, prose, words_of
-from pairscreen.llm import embeddings, minhash, spotsigs
+from pairscreen.llm import embeddings, exact, minhash, spotsigs
 from pairscreen.llm.graph import components
 
 
@@ -252,3 +252,17 @@ def test_hopeless_lengths_are_not_compared(spark):
 
 def test_sketch_bytes():
     assert minhash._regs(pa.array([b"\x01\x00" * 128])).tolist() == [[1] * 128]
+
+
+def test_a_bit_map_spares_rows_a_join_and_changes_none(spark, monkeypatch):
+    rows, wanted = spark.range(1000), spark.range(0, 1000, 10)
+    got = [r.id for r in minhash.marked(rows, "id", wanted).filter("_may").collect()]
+    assert {r.id for r in wanted.collect()} <= set(got) and len(got) < 110
+    assert not minhash.marked(rows, "id", wanted.limit(0)).filter("_may").count()
+
+    text = "one two three four five six seven eight nine"
+    docs = make_docs(spark, [(i, f"{text} {i % 7}" if i % 3 else f"other{i} " + text[::-1] + f" {i}", "en", "a") for i in range(40)]
+                     + [(5, f"{text} 5", "en", "a"), (None, "without an id", "en", "a"), (50, None, "en", "a")])
+    few = sorted(minhash.keep_one(docs).collect(), key=str)
+    monkeypatch.setattr(exact, "MAP_BITS", 8)  # nearly all rows are marked
+    assert few == sorted(minhash.keep_one(docs).collect(), key=str)
