@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -244,3 +245,11 @@ def test_bilinear_head_scores_like_its_pair_vector(spark):
     assert np.allclose(np.diag(head.grid(d, p)), built @ beta + 0.5)
     with pytest.raises(ValueError, match="matrices"):
         training.head_from_coefficients(beta.tolist(), 0.5, "full_bilinear")
+
+
+def test_vectors_of_a_fit_take_as_much_on_disk_as_in_tasks(spark):
+    """So a split of bounded size is a task of bounded size, however often numbers come."""
+    same = F.array(*[F.lit(0.5)] * 32)
+    rows = training.cls_rows(spark.range(3000).select((F.col("id") % 2).cast("int").alias("label"), same.alias("drug_vec"), same.alias("prot_vec")))
+    files = [f.removeprefix("file:") for f in rows.inputFiles()]
+    assert sum(map(os.path.getsize, (f.replace("///", "/") for f in files))) >= 3000 * 96 * 8
