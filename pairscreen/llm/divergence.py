@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairscreen.llm.arrays import small_batches, text_array
+from pairscreen.llm.arrays import chunks, giving_back, small_batches, text_array
 from pairscreen.operators.ordering import number_rows, top_k_per_group
 from pairscreen.session import materialize, parallelism
 
@@ -30,6 +30,8 @@ BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
+#: Bytes of text split into words at once, or one row.
+PART_BYTES = 2 << 20
 #: Rows of counts that a task holds before it passes them on.
 HELD_ROWS = 1 << 19
 #: Words of a shard on average, and sources of a block.
@@ -39,6 +41,11 @@ BLOCK = 128
 PARTS = "lang string, source string, term string, n long, docs long"
 
 
+def _group(table: pa.Table, keys: list[str], sums: list) -> pa.Table:
+    """One thread: Arrow's would each fill a table of groups, and hold memory of their own, beside the task's cores."""
+    return table.group_by(keys, use_threads=False).aggregate(sums)
+
+
 def _batch_counts(batch: pa.RecordBatch) -> pa.Table:
     """Occurrences and rows of every (lang, source, term) of a batch."""
     lang, source, text = (pc.fill_null(text_array(batch.column(i)), "") for i in range(3))
@@ -46,17 +53,17 @@ def _batch_counts(batch: pa.RecordBatch) -> pa.Table:
     rows, terms = pc.list_parent_indices(pieces), pc.list_flatten(pieces)
     found = pc.not_equal(terms, "")
     coded = terms.filter(found).dictionary_encode()
-    by_row = pa.table({"row": rows.filter(found), "term": coded.indices}).group_by(["row", "term"]).aggregate([([], "count_all")])
+    by_row = _group(pa.table({"row": rows.filter(found), "term": coded.indices}), ["row", "term"], [([], "count_all")])
     at = by_row.column("row")
     named = pa.table({"lang": lang.take(at), "source": source.take(at), "term": by_row.column("term"), "n": by_row.column("count_all")})
-    merged = named.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("n", "count")])
+    merged = _group(named, ["lang", "source", "term"], [("n", "sum"), ("n", "count")])
     return pa.table({"lang": merged.column("lang").cast(pa.string()), "source": merged.column("source").cast(pa.string()),
                      "term": coded.dictionary.take(merged.column("term")).cast(pa.string()),
                      "n": merged.column("n_sum").cast(pa.int64()), "docs": merged.column("n_count").cast(pa.int64())})
 
 
 def _merge(held: list[pa.Table]) -> pa.Table:
-    merged = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    merged = _group(pa.concat_tables(held), ["lang", "source", "term"], [("n", "sum"), ("docs", "sum")])
     return merged.rename_columns(["lang", "source", "term", "n", "docs"])
 
 
@@ -64,19 +71,20 @@ def partial_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: st
     """``lang, source, term, n, docs``: counts of runs of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
         held: list[pa.Table] = []
         for batch in batches:
-            held.append(_batch_counts(batch))
-            if len(held) > 1 and sum(t.num_rows for t in held) > HELD_ROWS:
-                held = [_merge(held)]
-                if held[0].num_rows > HELD_ROWS // 2:
-                    yield from held.pop().to_batches(1 << 16)
+            for a, b in chunks(text_array(batch.column(2)), PART_BYTES):
+                # a copy: Arrow's split by a pattern fails on slices
+                held.append(_batch_counts(batch.take(pa.array(range(a, b), pa.int64()))))
+                if len(held) > 1 and sum(t.num_rows for t in held) > HELD_ROWS:
+                    held = [_merge(held)]
+                    if held[0].num_rows > HELD_ROWS // 2:
+                        yield from held.pop().to_batches(1 << 16)
         if held:
             yield from _merge(held).to_batches(1 << 16)
 
     named = [F.col(f"`{c}`").cast("string") for c in (lang_col, source_col, text_col)]
-    return docs.select(*named).mapInArrow(run, PARTS)
+    return docs.select(*named).mapInArrow(giving_back(run), PARTS)
 
 
 def _p(n: Column, total: Column, terms: Column) -> Column:

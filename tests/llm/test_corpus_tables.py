@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -219,3 +221,23 @@ def test_p_is_exact(spark, cases):
     assert got == [1 + 10 ** 9 * (n + 2) // (t + 2 * v) for n, t, v in cases]
     p, q = np.asarray(got), np.asarray(got[::-1])
     assert divergence.differ(p, q).tolist() == [(a - b) ** 2 // (a + b) for a, b in zip(got, got[::-1])]
+
+
+def test_divergence_splits_bounded_parts(spark, monkeypatch):
+    """A batch is split into words by parts of bounded size, with the same counts."""
+    class Seen:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"w{chr(97 + (i * k) % 7)}" for k in range(30)) for i in range(50)] + [None, "", "x " * 400]
+    batch = pa.record_batch({"lang": ["en", None, "de"] * 17 + ["en"] * 2, "source": ["a"] * len(texts), "text": texts})
+    run, sizes = divergence.partial_counts(Seen(), "text", "lang", "source"), []
+    whole = pa.Table.from_batches(run(iter([batch]))).sort_by([(k, "ascending") for k in ("lang", "source", "term")])
+    count = divergence._batch_counts
+    monkeypatch.setattr(divergence, "PART_BYTES", 500)
+    monkeypatch.setattr(divergence, "_batch_counts", lambda b: sizes.append((b.num_rows, pc.sum(pc.binary_length(b.column(2))).as_py() or 0)) or count(b))
+    parts = pa.Table.from_batches(run(iter([batch]))).sort_by([(k, "ascending") for k in ("lang", "source", "term")])
+    assert parts.equals(whole) and len(sizes) > 5 and all(b <= 500 or n == 1 for n, b in sizes)
