@@ -205,51 +205,77 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the place of every code among them. Codes that
+    leave room for it carry their position through a plain sort, several times as fast as sorting positions."""
+    bits = max(len(codes) - 1, 0).bit_length()
+    if not len(codes) or int(codes.max()).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    held = np.sort(codes << bits | np.arange(len(codes)))
+    at = held & ((1 << bits) - 1)
+    held >>= bits
+    new = np.ones(len(held), bool)
+    new[1:] = held[1:] != held[:-1]
+    places = np.empty(len(held), np.int64)
+    places[at] = np.cumsum(new) - 1
+    return held[new], places
+
+
 class _Walk:
-    """The tokens of a chunk, each with its context of the present depth: that
-    context's ``key`` and training count ``n`` (0: no candidate), the ``run`` it makes
-    with the token, and the token's probability ``p`` in its longest kept context so far."""
+    """The tokens of a chunk, each with the number ``of`` its context of the present depth
+    (-1: none), and its probability ``p`` in its longest kept context so far. Contexts have
+    a key and a training count (0: no candidate), and make a run with every symbol."""
 
     def __init__(self, row: dict, count: np.ndarray, number: np.ndarray, model: Model):
         self.tokens, self.lengths, words = _decode(row)
-        self.model, self.count, self.number = model, count, number  # training count and symbol of its words
+        self.model, self.count = model, count  # training count of its words
         self.known = (count > 0) & ((count >= model.least_symbol) | (words == END))
-        symbol = np.where(self.known, words.view(np.uint64), np.uint64(REST))
         end = int(np.flatnonzero(words == END)[0])
-        before = _contexts(self.tokens, self.lengths, 1, end)[0]
+        # the chunk's symbols by their number, the rest first
+        self.numbers, symbol = np.unique(np.where(self.known, number, np.uint32(0)), return_inverse=True)
+        self.symbol_keys, self.context_n = np.empty(len(self.numbers), np.uint64), np.empty(len(self.numbers), np.int64)
+        self.symbol_keys[symbol] = np.where(self.known, words.view(np.uint64), np.uint64(REST))
+        self.context_n[symbol] = np.where(self.known, count, model.rest_count)
+        self.context_keys = self.symbol_keys
         self.symbols = symbol[self.tokens]
-        self.key = symbol[before]
-        self.n = np.where(self.known, count, model.rest_count)[before]
+        self.of = symbol[_contexts(self.tokens, self.lengths, 1, end)[0]]
         self.p = np.where(self.known, (count - model.discount) / max(model.total, 1), model.rest)[self.tokens]
-        self.first = np.zeros(len(self.tokens), bool)
-        self.first[np.cumsum(self.lengths) - self.lengths] = True
+        self.first = np.cumsum(self.lengths) - self.lengths
 
     def ask(self) -> None:
         """Distinct runs of candidate contexts, in order of shards and contexts.
         A context's runs are in one shard; those of a hot one, more than a
         shard's share of all tokens, in all."""
-        bits = np.uint64(self.model.bits)
-        self.run = _combine(self.key, self.symbols)
-        self.here = np.flatnonzero(self.n >= self.model.least_context)
-        runs, first, of = np.unique(self.run[self.here], return_index=True, return_inverse=True)
-        keys, n, last = self.key[self.here][first], self.n[self.here][first], self.number[self.tokens[self.here][first]]
-        hot = n > self.model.total >> self.model.bits
-        place = arrays.mix(keys)
-        top = arrays.mix(runs[hot]) >> (np.uint64(64) - bits) << (np.uint64(64) - bits)
-        place[hot] = top | (place[hot] >> bits)
-        order = np.lexsort((last, keys, place))
+        down = np.uint64(64 - self.model.bits)
+        open_ = np.append(self.context_n >= self.model.least_context, False)  # the last for tokens without a context
+        self.here = np.flatnonzero(open_[self.of])
+        found = np.flatnonzero(open_)
+        place = arrays.mix(self.context_keys[found])
+        order = np.argsort(place)
+        rank = np.zeros(len(open_), np.int64)
+        rank[found[order]] = np.arange(len(found))
+        found, place = found[order], place[order]
+        runs, of = _distinct(rank[self.of[self.here]] * len(self.numbers) + self.symbols[self.here])
+        context, symbol = np.divmod(runs, len(self.numbers))
+        self.runs = _combine(self.context_keys[found[context]], self.symbol_keys[symbol])
+        self.run_n = self.context_n[found[context]]  # of runs' contexts
+        hot = self.run_n > self.model.total >> self.model.bits
+        shard = (place >> down)[context]
+        shard[hot] = arrays.mix(self.runs[hot]) >> down
+        # small numbers are sorted by counting
+        order = np.argsort(shard.astype(np.uint16) if self.model.bits <= 16 else shard, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.at = rank[of]  # of tokens, among runs
-        self.runs, place, keys, hot, last = runs[order], place[order], keys[order], hot[order], last[order].astype(np.uint32)
+        self.runs, self.run_n, context, shard, last = self.runs[order], self.run_n[order], context[order], shard[order], self.numbers[symbol[order]]
         new = np.ones(len(order), bool)
-        new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
+        new[1:] = (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])
         self.entry = np.cumsum(new) - 1  # of runs, among contexts
         self.starts = np.flatnonzero(new)
         self.steps = last.copy()  # from one run's symbol to the next in its context
         self.steps[1:] -= np.where(new[1:], np.uint32(0), last[:-1])
-        self.keys, self.is_hot = keys[new], hot[new]
-        self.shard = (place[new] >> (np.uint64(64) - bits)).astype(np.int64)
+        self.keys, self.is_hot = self.context_keys[found[context[new]]], hot[order][new]
+        self.shard = shard[new].astype(np.int64)
 
     def questions(self, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """By shard: contexts, whether hot, the sum of their training tokens' log
@@ -274,13 +300,15 @@ class _Walk:
         if self.is_hot.any():
             types[self.is_hot] = followers[np.searchsorted(keys, arrays.mix(self.keys[self.is_hot]))]
         self.types, self.counts = types, n
-        d, here = self.model.discounts[depth - 1], self.here
-        n, types = n[self.at], types[self.entry[self.at]]
-        inside = (np.maximum(n - d, 0) + d * types * self.p[here]) / self.n[here]
-        self.p[here] = np.where(types > 0, inside, self.p[here])
-        longer = np.zeros(len(self.tokens), np.int64)
-        longer[here] = n
-        self.key, self.n = np.roll(self.run, 1), np.where(self.first, 0, np.roll(longer, 1))
+        d, p = self.model.discounts[depth - 1], self.p[self.here]
+        types = types[self.entry]
+        inside = (np.maximum(n - d, 0)[self.at] + (d * types)[self.at] * p) / self.run_n[self.at]
+        self.p[self.here] = np.where((types > 0)[self.at], inside, p)
+        self.of = np.full(len(self.tokens) + 1, -1, np.int64)
+        self.of[self.here + 1] = self.at
+        self.of = self.of[:-1]
+        self.of[self.first] = -1
+        self.context_keys, self.context_n = self.runs, n
 
 
 def _by_depth(replies: pa.Table) -> dict[int, list[bytes]]:
@@ -342,9 +370,9 @@ def _reply(depth: int):
         before = np.cumsum(sizes, dtype=np.int64) - sizes
         symbols -= np.repeat(symbols[before] - steps[before], sizes)
         runs = np.repeat(entry, sizes).astype(np.uint64) << np.uint64(32) | symbols
-        runs, first, of = np.unique(runs, return_index=True, return_inverse=True)
+        runs, of = np.unique(runs, return_inverse=True)
         total = np.bincount(of, n, len(runs)).astype(np.int64)
-        context = np.repeat(entry, sizes)[first]
+        context = (runs >> np.uint64(32)).astype(np.int64)
         n = np.bincount(context, total, len(keys))
         types = np.bincount(context[total > 0], minlength=len(keys))
         part = np.bincount(context, total * np.log(np.maximum(total, 1)), len(keys)) - logs

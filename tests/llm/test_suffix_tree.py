@@ -195,3 +195,31 @@ def test_questions_are_short(spark):
         walk.ask()
         asked = sum(len(x) for _, x in walk.questions(np.zeros(len(walk.lengths), bool)))
         assert asked < 3 * len(walk.runs) + 24 * len(walk.keys)
+
+
+@pytest.mark.parametrize("top", [0, 5, 1 << 40, (1 << 62) - 1])
+def test_distinct_codes(top):
+    """The same whether codes leave room for their positions or not."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        codes = rng.integers(0, 40, n) * (top // 40) + rng.integers(0, min(top, 3) + 1, n)
+        values, places = suffix_tree._distinct(codes)
+        assert np.array_equal(values, np.unique(codes)) and np.array_equal(values[places], codes)
+
+
+def test_runs_are_numbered_without_sorting_positions(spark, monkeypatch):
+    """No step of a walk sorts the places of all tokens, which took most of its time."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(EN[:12]) for _ in range(300)), "en", "a") for i in range(40)]
+    chunks = suffix_tree.materialize(suffix_tree.encode(make_docs(spark, rows), "doc_id", "text", F.lit(False)), "test-chunks")
+    counted = suffix_tree.materialize(suffix_tree.word_counts(chunks), "test-counts")
+    model, replies = suffix_tree._model(counted), suffix_tree._word_replies(chunks, counted).toArrow()
+    left = chunks.toArrow().slice(0, 1)
+    walk = suffix_tree._walk(left, replies.filter(pc.equal(replies.column("of"), left.column("chunk")[0])), model, 1)
+    sorted_ = []
+    for name in ("unique", "lexsort", "argsort"):
+        monkeypatch.setattr(np, name, lambda x, *a, f=getattr(np, name), **b: sorted_.append(np.shape(x)[-1]) or f(x, *a, **b))
+    walk.ask()
+    assert len(walk.here) == len(walk.tokens) > 2000 and max(sorted_) == len(walk.runs) < 200
+    contexts = np.searchsorted(walk.starts, np.arange(len(walk.runs)), "right") - 1
+    assert np.array_equal(walk.entry, contexts) and np.array_equal(np.unique(walk.at), np.arange(len(walk.runs)))
