@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairscreen.llm.arrays import LOWER, add_columns, buffer, chunks, small_batches, text_array
+from pairscreen.llm.arrays import LOWER, add_columns, buffer, chunks, giving_back, small_batches, text_array
 from pairscreen.session import materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -79,7 +79,7 @@ def text_counts(df: DataFrame, text_col: str, declared_col: str, languages: Sequ
         yield pa.record_batch([pa.array(full // BUCKETS, pa.int32()), pa.array(full % BUCKETS, pa.int32()),
                                pa.array(total[full], pa.int64())], names=["language", "bucket", "n"])
 
-    counted = df.select(text_col, declared_col).mapInArrow(run, "language int, bucket int, n long")
+    counted = df.select(text_col, declared_col).mapInArrow(giving_back(run), "language int, bucket int, n long")
     return counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 

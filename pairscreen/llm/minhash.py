@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     pa.array([r.tobytes() for r in regs], pa.binary())], names=["id", "node", "n", "d1", "d2", "regs"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
-        run, "id long, node long, n long, d1 long, d2 long, regs binary")
+        arrays.giving_back(run), "id long, node long, n long, d1 long, d2 long, regs binary")
 
 
 def _with_node(df: DataFrame, text: str, k: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     joined = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(arrays.giving_back(run), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(arrays.giving_back(run), "a long, b long")
 
 
 def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pairscreen.llm.arrays import small_batches, text_array
+from pairscreen.llm.arrays import giving_back, small_batches, text_array
 from pairscreen.llm.tokens import Encoder
 
 WINDOW = 4096
@@ -187,4 +187,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if rows:
             yield out()
 
-    return docs.select(id_col, text_col).mapInArrow(run, PIECES.format(id=kind))
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), PIECES.format(id=kind))
