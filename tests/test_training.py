@@ -253,3 +253,17 @@ def test_vectors_of_a_fit_take_as_much_on_disk_as_in_tasks(spark):
     rows = training.cls_rows(spark.range(3000).select((F.col("id") % 2).cast("int").alias("label"), same.alias("drug_vec"), same.alias("prot_vec")))
     files = [f.removeprefix("file:") for f in rows.inputFiles()]
     assert sum(map(os.path.getsize, (f.replace("///", "/") for f in files))) >= 3000 * 96 * 8
+
+
+def test_gaps_build_pair_vectors_only_where_both_sides_have_met(spark, labelled, monkeypatch):
+    """So a shuffled row is two vectors, not a pair vector; the draw's shuffles are given up before."""
+    given_up = []
+    monkeypatch.setattr(training, "release_shuffles", given_up.append, raising=False)
+    gaps = training.rank_differences(spark.createDataFrame(labelled, SCHEMA), "protein", "row_id", cap=10 ** 6)
+    plan = gaps._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan.partition("Join")[0] and "zip_with" not in plan.partition("Join")[2]
+    assert len(given_up) == 1
+    by_id = {r[0]: r for r in labelled}
+    drawn = training.pos_neg_pairs(spark.createDataFrame(labelled, SCHEMA), "protein", "row_id", cap=10 ** 6).collect()
+    want = sorted(tuple(sign * (vector(by_id[r["pos_row_id"]]) - vector(by_id[r["neg_row_id"]]))) for r in drawn for sign in (1.0, -1.0))
+    assert np.allclose(sorted(tuple(r["features"].toArray()) for r in gaps.select("features").collect()), want, rtol=0, atol=0)
