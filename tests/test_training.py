@@ -267,3 +267,43 @@ def test_gaps_build_pair_vectors_only_where_both_sides_have_met(spark, labelled,
     drawn = training.pos_neg_pairs(spark.createDataFrame(labelled, SCHEMA), "protein", "row_id", cap=10 ** 6).collect()
     want = sorted(tuple(sign * (vector(by_id[r["pos_row_id"]]) - vector(by_id[r["neg_row_id"]]))) for r in drawn for sign in (1.0, -1.0))
     assert np.allclose(sorted(tuple(r["features"].toArray()) for r in gaps.select("features").collect()), want, rtol=0, atol=0)
+
+
+def test_the_registered_run_trains_as_long_as_a_run_does(spark, monkeypatch, tmp_path):
+    """No parameter leaves out epochs, steps or patience."""
+    import inspect
+    from types import SimpleNamespace
+
+    from catalog import training as queries
+    from pairscreen.plans import train
+
+    spark.createDataFrame([(i % 5, i % 7, "RAN"[i % 3]) for i in range(40)], "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, [0.5, 1.0]) for i in range(9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = []
+
+    def run(*args, **kwargs):
+        asked.append(inspect.signature(train_run).bind(*args, **kwargs))
+        asked[0].apply_defaults()
+        return SimpleNamespace(reports="reports")
+
+    monkeypatch.setattr(queries, "train_run", run)
+    assert queries.whole_run(spark, str(tmp_path)) == "reports"
+    own = asked[0].arguments
+    assert tuple(own["epochs"]) == train.EPOCHS == (20, 80, 50) and own["steps"] == 5 and own["patience"] == training.PATIENCE == 10
+
+
+@pytest.mark.parametrize("metric", ["f1", "balanced_acc", "youden", "mcc"])
+def test_monitors_counted_in_one_place_are_the_same(spark, metric):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        cls, rank = rng.choice([rng.gauss(0, 1), 0.0, -0.0, round(rng.gauss(0, 1), 1)]), round(rng.gauss(0, 1), 1)
+        rows.append((i, f"p{i % 9}", 1 if i % 9 == 8 else rng.choice([-1, 0, 1]), cls, rank, 0.002 * rng.randrange(501), 0.5))
+    cells = "row_id long, protein string, label int, cls_logit double, rank_logit double, cls_prob double, rank_prob double"
+    for part in (rows, [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 0]):
+        df = spark.createDataFrame(part, cells)
+        want, got = (training.monitor_values(df, metric=metric, rows=n).first().asDict() for n in (None, len(part)))
+        assert got == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert training._few_monitors(spark.createDataFrame(rows[:9], cells).select(
+        F.lit(None).cast("string").alias("g"), F.col("label").cast("double"), "cls_prob", "rank_logit").toArrow(), metric) is None
